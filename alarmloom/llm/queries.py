@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_spliced_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import vocabulary
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import vocabulary
+    from .packing import pack_documents, packed_digests
+
+    return packed_digests(pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1))
+
+
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -18,7 +32,7 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_balanced_shards,)}
+    return {f.__name__: f for f in (op2_spliced_token_counts, op4_vector_packing, op5_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
