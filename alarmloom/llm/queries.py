@@ -31,8 +31,15 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import vocabulary
+    from .token_files import token_file_digests
+
+    return token_file_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spliced_token_counts, op4_vector_packing, op5_balanced_shards)}
+    return {f.__name__: f for f in (op2_spliced_token_counts, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
             texts = batch.column("__text")
             got = [count_text(own, x, chunk, overlap) for x in texts.to_pylist()]
             columns = [batch.column(k) for k in keys]
-            columns += [pa.compute.binary_length(texts).cast(pa.int64())]
+            columns += [pc.binary_length(texts).cast(pa.int64())]
             columns += [pa.array([x[i] for x in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_bytes", "n_tokens", "n_chunks", "n_widened"])
 
