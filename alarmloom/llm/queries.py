@@ -18,6 +18,12 @@ def op2_spliced_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op3_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import vocabulary
     from .packing import pack_documents, packed_digests
@@ -39,7 +45,7 @@ def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spliced_token_counts, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
+    return {f.__name__: f for f in (op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
 
 
 def oracle_sql() -> dict[str, str]:
