@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features, store_media
+
+    return media_features(store_media(table(spark, sf_dir, "documents")))
+
+
 def op2_spliced_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import vocabulary
     from .token_counts import count_tokens
@@ -45,7 +51,7 @@ def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
+    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
 
 
 def oracle_sql() -> dict[str, str]:
