@@ -43,6 +43,12 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import vocabulary
     from .token_files import token_file_digests
@@ -51,7 +57,7 @@ def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op8_perfect_hash_files)}
+    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op7_importance_resampling, op8_perfect_hash_files)}
 
 
 def oracle_sql() -> dict[str, str]:
