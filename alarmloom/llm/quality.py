@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces
 from .common import prefix_sums, temp_names
+from .words import parts_of
 
 WORD_BUCKETS = BYTE_BUCKETS = 1 << 16
 BUCKETS = WORD_BUCKETS + BYTE_BUCKETS
@@ -78,18 +79,6 @@ def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = No
     return np.concatenate(found).astype(np.int64), np.concatenate(whose), last
 
 
-def parts_of(text: bytes) -> Iterator[bytes]:
-    """A text in parts of about CHUNK bytes, cut at white space if there is any near."""
-    at = 0
-    while at < len(text):
-        end = at + CHUNK
-        if end < len(text):
-            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
-            end = cut + 1 if cut >= at else end
-        yield text[at:end]
-        at = end
-
-
 def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, number of texts, buckets, text of each bucket from the first) for runs of texts; a long text may come in several."""
     held, size, first = [], 0, 0
@@ -103,7 +92,7 @@ def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.nd
             break
         if len(text) > CHUNK:
             carried = None
-            for part in parts_of(text):
+            for part in parts_of(text, CHUNK):
                 whole = part + b" "
                 buckets, owner, carried = feature_buckets(np.frombuffer(whole, np.uint8), np.array([len(whole)]), carried)
                 yield i, 1, buckets, owner

@@ -43,6 +43,12 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op6_fair_queue_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import resample
 
@@ -56,9 +62,17 @@ def op8_perfect_hash_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import component_ids
+
+    return component_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op7_importance_resampling, op8_perfect_hash_files)}
+    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op6_fair_queue_mixture, op7_importance_resampling, op8_perfect_hash_files, op9_anchor_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import MIXTURE_SQL
+
+    return {"op6_fair_queue_mixture": MIXTURE_SQL}
