@@ -68,11 +68,18 @@ def op9_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents"))
 
 
+def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op6_fair_queue_mixture, op7_importance_resampling, op8_perfect_hash_files, op9_anchor_simhash)}
+    return {f.__name__: f for f in (op1_jpeg_media, op2_spliced_token_counts, op3_trigram_secret_scan, op4_vector_packing, op5_balanced_shards, op6_fair_queue_mixture, op7_importance_resampling, op8_perfect_hash_files, op9_anchor_simhash, op10_pivot_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIXTURE_SQL
+    from .topk import TOP_K_SQL
 
-    return {"op6_fair_queue_mixture": MIXTURE_SQL}
+    return {"op6_fair_queue_mixture": MIXTURE_SQL, "op10_pivot_top_k": TOP_K_SQL}
