@@ -32,12 +32,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import Rows, pieces
 from .bpe import encoder
-from .common import checkpointed, ensure_checkpoint_dir, shuffle_partitions
+from .common import checkpointed, ensure_checkpoint_dir, remove, shuffle_partitions
 
 MAGIC, VERSION, HEADER = 0x3158444944494B54, 1, 12
 SLOT = np.dtype([("fingerprint", "<u4"), ("entry", "<u8")])
@@ -271,12 +271,6 @@ def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def token_file_digests(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Writes the documents' ids to files in the shared folder, reads them back and returns doc_id, start, n_tokens and ids_crc32.
 
