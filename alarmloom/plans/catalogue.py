@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .log_queries import LOG
+from .retrieval_queries import RETRIEVAL
 
-ALL = {**LOG}
+ALL = {**LOG, **RETRIEVAL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
