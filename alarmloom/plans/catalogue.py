@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .forecast_queries import FORECAST, OTHER
 from .log_queries import LOG
 from .retrieval_queries import RETRIEVAL
 
-ALL = {**LOG, **RETRIEVAL}
+ALL = {**LOG, **RETRIEVAL, **FORECAST, **OTHER}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import features as X
 from ..operators import retrieval as R
 from ..operators import windows as W
@@ -20,13 +20,15 @@ THRESHOLDS = (0.1, 0.3, 0.5)
 
 
 class Inputs:
-    """Frames that the queries share. They are marked to be kept, in memory or else on disk, as many branches
-    of one query read them; ``spark.catalog.clearCache()`` lets them go."""
+    """Frames that the queries share, stored as many branches of one query read them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, dense: bool = False):
-        self.events = processed(spark, sf_dir, dense).persist(StorageLevel.MEMORY_AND_DISK)
-        self.episodes = summarize(self.events).persist(StorageLevel.MEMORY_AND_DISK)
-        self.documents = X.documents_of(identify_events(self.events)).persist(StorageLevel.MEMORY_AND_DISK)
+        self.events = stored(processed(spark, sf_dir, dense))
+        self.episodes = stored(summarize(self.events))
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return stored(X.documents_of(identify_events(self.events)))
 
     def vectors(self, shape: float) -> DataFrame:
         return X.feature_vectors(self.episodes, self.documents, 1.0, shape)
