@@ -11,10 +11,10 @@ from .common import checkpointed
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for each number in ``links`` (columns a, b), where root is the smallest number reached.
 
-    Each round hangs every node below its smallest neighbour, follows that twice
-    more, and puts roots in place of nodes in the links; links inside a tree go. The links
-    that are left shrink with every round and are stored, so no round depends on
-    more than the one before. Minimums are worked out before rows are shuffled,
+    Each round hangs every node below its smallest neighbour, follows that up to the
+    root by doubling, and puts roots in place of nodes in the links; links inside a tree go.
+    At least half of the nodes that have links go with every round, a chain of any length in one.
+    What is left is stored, so no round depends on more than the one before. Minimums are worked out before rows are shuffled,
     so a node with many links is no hot spot. No links give an empty result.
     """
     rest = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         below = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        tree = checkpointed(follow(follow(checkpointed(below))))
+        tree = to_roots(checkpointed(below))
         if labels is None:
             labels = tree.select("node", F.col("up").alias("root"))
         else:
@@ -37,7 +37,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     return rest.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels
 
 
-def follow(tree: DataFrame) -> DataFrame:
-    """Each node below what its parent is below."""
-    above = tree.select(F.col("node").alias("parent"), F.col("up").alias("higher"))
-    return tree.join(above, F.col("up") == F.col("parent")).select("node", F.col("higher").alias("up"))
+def to_roots(tree: DataFrame) -> DataFrame:
+    """Each node below its root; the steps are the logarithm of the tree's height."""
+    while True:
+        above = tree.select(F.col("node").alias("parent"), F.col("up").alias("higher"))
+        moved = tree.join(above, F.col("up") == F.col("parent")).select("node", F.col("higher").alias("up"), (F.col("higher") != F.col("up")).alias("moved"))
+        tree = checkpointed(moved)
+        if tree.where("moved").isEmpty():
+            return tree.select("node", "up")
