@@ -15,7 +15,7 @@ from ..operators import sequences as Q
 from ..operators import windows as W
 from ..sources.events import table_events
 from . import oracle_base as O
-from .log_queries import LEAST_EPISODES, WITH_FLAGS, flagged
+from .log_queries import LEAST_EPISODES, WITH_FLAGS, flagged, processed
 from .retrieval_queries import DOCUMENTS, FEATURES, Inputs, future, joined_arrays, rounded, similarity
 
 HOURS, SPLIT, K = 6.0, "test", 5
@@ -236,3 +236,31 @@ OTHER = {
     "padded_sequences": (lambda s, d: joined_arrays(S.padded_samples(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS))), PADDED_SQL),
     "sequence_encoding": (lambda s, d: (lambda i: Q.encode(i.documents, Q.fit(i.documents), 8))(Inputs(s, d)).select("incident_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"), "sequence_length", "machine_number"), SEQUENCE_SQL),
 }
+
+
+def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.linear import score_linear
+
+    forecast = Forecast(spark, sf_dir)
+    return score_linear(forecast.inputs.episodes, forecast.inputs.documents, forecast.labels)
+
+
+def gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.recurrent import score_gru
+
+    forecast = Forecast(spark, sf_dir)
+    return score_gru(forecast.inputs.documents, forecast.labels, epochs=4)
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..streaming.sessions import streaming_sessions
+
+    return streaming_sessions(processed(spark, sf_dir)).drop("first_alarm_code", "last_alarm_code")
+
+
+#: The models have no SQL; the session windows have that of the batch rule.
+OTHER |= {
+    "linear_forecast": (linear, None),
+    "gru_forecast": (gru, None),
+    "streaming_sessions": (streamed, f"WITH {O.episodes()} SELECT machine_id, split, start_time, end_time, event_count FROM inc"),
+}
