@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import horizon_micros, jaccard, micros, ratio, time_of
-from .features import ALARM_VERSION, COMBINED_VERSION
+from ..functions.scalars import jaccard, micros, ratio
+from ..functions.storage import stored
 
 POLICIES = ("expanding_history", "train_only")
 STATUSES = ("query_outcome_incomplete", "query_without_future_alarms", "no_evaluable_candidates", "evaluated")
@@ -164,17 +164,17 @@ def retrieve(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None
     ``best``: up to k candidates by similarity, then later end, then id; ``relevant``: for each
     threshold the candidates of the whole pool whose outcome is at least so similar.
     """
-    rows = searchable(episodes, vectors, outcomes)
-    n = episodes.count()
-    query_blocks, candidate_blocks = max(1, ceil(queries.count() / QUERY_BLOCK)), max(1, ceil(n / CANDIDATE_BLOCK))
+    rows = stored(searchable(episodes, vectors, outcomes))
+    asked = stored(rows.join(queries.select("incident_id"), "incident_id", "left_semi"))
+    query_blocks, candidate_blocks = max(1, ceil(asked.count() / QUERY_BLOCK)), max(1, ceil(rows.count() / CANDIDATE_BLOCK))
     key = F.xxhash64("incident_id")
-    asked = rows.join(queries.select("incident_id"), "incident_id", "left_semi").withColumn("qb", F.pmod(key, F.lit(query_blocks)).cast("int"))
+    asked = asked.withColumn("qb", F.pmod(key, F.lit(query_blocks)).cast("int"))
     asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))))
     held = rows.withColumn("cb", F.pmod(key, F.lit(candidate_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     if search.outcome_gate:
         held = held.where(F.col("ready_us").isNotNull())
 
-    held = held.select(*(F.col(c).alias(c) for c in held.columns))  # both sides come from the same rows; new names keep them apart
+    held = held.select(*(F.col(c).alias(c) for c in held.columns))  # both sides may come from the same rows; new names keep them apart
 
     def block(q: pa.Table, c: pa.Table) -> pa.Table:
         return block_result(q, c, search)
@@ -274,3 +274,31 @@ def split_metrics(records: DataFrame, by: tuple[str, ...] = ("split",)) -> DataF
         *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in STATUSES[:3]), relevant.alias("query_with_relevant_candidates_count"), ratio(relevant, n).alias("relevant_candidate_query_share"),
         *(F.avg(m).alias(f"mean_{m}") for m in MEANS),
     )
+
+
+#: Measures of a result table and their short names in reports on the first five candidates.
+DIAGNOSTICS = {
+    "feature_version": "feature_version",
+    "future_horizon_hours": "horizon_h",
+    "relevance_threshold": "threshold",
+    "evaluation_coverage": "coverage",
+    "relevant_candidate_query_share": "relevant_query_share",
+    "mean_relevant_candidate_share": "relevant_candidate_share",
+    "mean_hit_at_k": "hit_at_5",
+    "mean_precision_at_k": "precision_at_5",
+    "mean_expected_random_precision_at_k": "random_precision_at_5",
+    "mean_precision_lift_at_k": "precision_lift_at_5",
+    "mean_recall_at_k": "recall_at_5",
+    "mean_maximum_recall_at_k": "max_recall_at_5",
+    "mean_recall_efficiency_at_k": "recall_efficiency_at_5",
+    "mean_reciprocal_rank": "mrr",
+    "mean_ndcg_at_k": "ndcg_at_5",
+}
+
+
+def diagnostics(results: DataFrame) -> DataFrame:
+    """The measures that tell how good the first five are, by their short names."""
+    missing = sorted(set(DIAGNOSTICS) - set(results.columns))
+    if missing:
+        raise ValueError(f"measures are missing: {', '.join(missing)}")
+    return results.select(*(F.col(c).alias(name) for c, name in DIAGNOSTICS.items()))

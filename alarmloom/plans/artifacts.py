@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import subprocess
 from datetime import datetime
 from pathlib import Path
@@ -15,6 +16,23 @@ from pyspark.sql import functions as F
 from ..operators import forecasting as Y
 
 
+FOLDER_VARIABLE = "ALARMLOOM_ARTIFACTS"
+CORE = ("events.parquet", "incidents.parquet", "incident_events.parquet", "forecast_model.json")
+
+
+def artifact_folder(root: str | Path) -> Path:
+    """The folder that the environment names, else the processed data if it is whole, else what is deployed."""
+    named = os.environ.get(FOLDER_VARIABLE)
+    if named:
+        return Path(root) / named  # an absolute name stands for itself
+    own = Path(root) / "data" / "processed"
+    return own if all((own / name).exists() for name in CORE) else Path(root) / "data" / "deployment"
+
+
+def missing_artifacts(root: str | Path) -> list[str]:
+    return [name for name in CORE if not (artifact_folder(root) / name).exists()]
+
+
 def file_sha256(path: str | Path) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as file:

@@ -15,7 +15,7 @@ from ..operators import sequences as Q
 from ..operators import windows as W
 from ..sources.events import table_events
 from . import oracle_base as O
-from .log_queries import LEAST_EPISODES, WITH_FLAGS, flagged, processed
+from .log_queries import WITH_FLAGS, flagged, processed
 from .retrieval_queries import DOCUMENTS, FEATURES, Inputs, future, joined_arrays, rounded, similarity
 
 HOURS, SPLIT, K = 6.0, "test", 5

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import baselines as B
 from ..operators import episodes as E
 from ..operators import ingest as I
@@ -25,7 +25,7 @@ def episodes(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = episodes(spark, sf_dir)
+    rows = stored(episodes(spark, sf_dir))
     return B.apply_flags(rows, B.fit_global(rows), B.fit_machines(rows, least=LEAST_EPISODES))
 
 
@@ -97,7 +97,7 @@ LOG = {
     "dominant_alarm": (lambda s, d: episodes(s, d, True).select("incident_id", "dominant_alarm_code"), f"WITH {O.episodes(True)} SELECT incident_id, dominant_alarm_code FROM inc"),
     "gap_sensitivity": (lambda s, d: E.sensitivity_profile(processed(s, d), GAPS), f"WITH {O.processed()}, {SENSITIVITY_BASE} {SENSITIVITY_SQL}"),
     "transition_view": (lambda s, d: E.transition_view(processed(s, d, True)), f"WITH {O.episodes(True)}, {O.MAPPING}{RUNS_SQL}"),
-    "global_baseline": (lambda s, d: B.fit_global(episodes(s, d)), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM overall"),
+    "global_baseline": (lambda s, d: B.fit_global(stored(episodes(s, d))), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM overall"),
     "machine_baselines": (lambda s, d: B.fit_machines(episodes(s, d), least=LEAST_EPISODES), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM machines"),
     "incident_flags": (flagged, f"{WITH_FLAGS} SELECT {O.SUMMARY}, {FLAG_SQL} FROM flagged"),
     "split_upper_tail_share": (lambda s, d: B.upper_tail_shares(flagged(s, d)), f"{WITH_FLAGS} SELECT split, count(*) AS incident_count, count(*) FILTER (upper_tail_flag_count > 0) AS upper_tail_count, count(*) FILTER (upper_tail_flag_count > 0)::DOUBLE / count(*) AS upper_tail_share FROM flagged GROUP BY split"),

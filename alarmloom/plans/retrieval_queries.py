@@ -78,7 +78,8 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = R.ranked_results(rows, inputs.episodes, R.raw_codes(inputs.documents), X.COMBINED_VERSION, search.policy)
     labelled = R.label_relevance(results, inputs.episodes, inputs.outcomes(6.0), 0.3)
     kept = ("query_incident_id", "rank", "candidate_incident_id", "similarity_score", "query_outcome_is_complete", "query_has_future_alarms", "candidate_outcome_is_complete", "candidate_outcome_available_before_query", "evaluation_eligible", "outcome_jaccard", "relevance_threshold", "is_relevant")
-    return rounded(labelled.select(*kept))
+    # a double, as null, true and false in one column are read in more than one way
+    return rounded(labelled.select(*kept).withColumn("is_relevant", F.col("is_relevant").cast("double")))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             parts.append(scored.withColumns({"future_horizon_hours": F.lit(hours), "shape_weight": F.lit(shape)}))
     by = ("split", "feature_version", "future_horizon_hours", "relevance_threshold", "k", "candidate_policy", "shape_weight")
     out = R.split_metrics(reduce(DataFrame.unionByName, parts), by)
-    return rounded(out.withColumnsRenamed({"split": "selection_split", "k": "top_k"}).withColumns({"alarm_weight": F.lit(1.0), "query_limit": F.lit(None).cast("long")}))
+    return rounded(out.withColumnsRenamed({"split": "selection_split", "k": "top_k"}).withColumns({"alarm_weight": F.lit(1.0), "query_limit": F.lit(None).cast("double")}))
 
 
 # ------------------------------------------------------------------ SQL
@@ -168,7 +169,7 @@ RELEVANCE_SQL = f"""{FEATURES}, {future(6)}, {similarity(1.0, 'c.end_us < q.star
 , labelled AS (SELECT r.*, fq.is_complete AS qc, len(fq.codes) > 0 AS qf, fc.is_complete AS cc, fc.out_us < fq.start_us AS av FROM ranked r JOIN fut fq ON fq.incident_id = r.q JOIN fut fc ON fc.incident_id = r.c WHERE rank <= 5)
 SELECT q AS query_incident_id, rank::INTEGER AS rank, c AS candidate_incident_id, round(similarity, 9) AS similarity_score, qc AS query_outcome_is_complete, qf AS query_has_future_alarms, cc AS candidate_outcome_is_complete,
        av AS candidate_outcome_available_before_query, qc AND qf AND cc AND av AS evaluation_eligible, round(CASE WHEN qc AND qf AND cc AND av THEN jaccard END, 9) AS outcome_jaccard, 0.3::DOUBLE AS relevance_threshold,
-       CASE WHEN qc AND qf AND cc AND av THEN jaccard >= 0.3::DOUBLE END AS is_relevant FROM labelled"""
+       CASE WHEN qc AND qf AND cc AND av THEN (jaccard >= 0.3::DOUBLE)::INTEGER::DOUBLE END AS is_relevant FROM labelled"""
 
 
 def records_cte(suffix: str, version: str, thresholds: tuple[float, ...], k: int = 5) -> str:
@@ -213,7 +214,7 @@ def grid_sql() -> str:
             parts.append(f"fut{own} AS (SELECT * FROM fut{tag})")
             parts.append(similarity(shape, OUTCOME_GATE, USABLE, f"ranked{own}", f"fut{own}"))
             parts.append(records_cte(own, version, THRESHOLDS))
-            out.append(f"SELECT split AS selection_split, feature_version, {hours}::DOUBLE AS future_horizon_hours, relevance_threshold, k AS top_k, candidate_policy, {shape}::DOUBLE AS shape_weight, 1.0::DOUBLE AS alarm_weight, NULL::BIGINT AS query_limit, {METRICS_SQL} FROM rec{own} GROUP BY split, feature_version, relevance_threshold, k, candidate_policy")
+            out.append(f"SELECT split AS selection_split, feature_version, {hours}::DOUBLE AS future_horizon_hours, relevance_threshold, k AS top_k, candidate_policy, {shape}::DOUBLE AS shape_weight, 1.0::DOUBLE AS alarm_weight, NULL::DOUBLE AS query_limit, {METRICS_SQL} FROM rec{own} GROUP BY split, feature_version, relevance_threshold, k, candidate_policy")
     return ", ".join(parts) + f" SELECT {round_sql(MEAN_NAMES)} FROM (" + " UNION ALL ".join(out) + ")"
 
 
@@ -263,4 +264,5 @@ RETRIEVAL = {
     "retrieval_query_metrics": (lambda s, d: rounded(records(s, d)), f"{RECORDS} SELECT {round_sql(RECORD_DOUBLES)} FROM rec"),
     "retrieval_split_metrics": (lambda s, d: rounded(R.split_metrics(records(s, d))), f"{RECORDS} SELECT {round_sql(MEAN_NAMES)} FROM (SELECT split, {METRICS_SQL} FROM rec GROUP BY split)"),
     "retrieval_grid": (grid, grid_sql()),
+    "retrieval_diagnostics": (lambda s, d: rounded(R.diagnostics(grid(s, d))), "SELECT " + ", ".join(f"{c} AS {name}" for c, name in R.DIAGNOSTICS.items()) + f" FROM ({grid_sql()})"),
 }

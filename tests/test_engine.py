@@ -319,6 +319,20 @@ def test_settings():
             parse(bad)
 
 
+def test_artifact_folder(tmp_path, monkeypatch):
+    from alarmloom.plans import artifacts as A
+
+    assert A.artifact_folder(tmp_path) == tmp_path / "data" / "deployment" and len(A.missing_artifacts(tmp_path)) == 4
+    (tmp_path / "data" / "processed").mkdir(parents=True)
+    for name in A.CORE:
+        (tmp_path / "data" / "processed" / name).touch()
+    assert A.artifact_folder(tmp_path) == tmp_path / "data" / "processed" and not A.missing_artifacts(tmp_path)
+    monkeypatch.setenv(A.FOLDER_VARIABLE, "other")
+    assert A.artifact_folder(tmp_path) == tmp_path / "other"
+    with pytest.raises(ValueError):
+        A.checked_time(datetime(2020, 1, 1))
+
+
 def test_portable_model(labels):
     from alarmloom.plans.artifacts import RuntimeModel, model_json
 
