@@ -300,6 +300,18 @@ def test_shards_are_contiguous_and_balanced(docs, empty):
     assert shard_documents(empty).count() == 0
 
 
+def test_written_shards_hold_all_rows(spark, docs, tmp_path):
+    from alarmloom.llm.sharding import shard_documents, write_shards
+
+    write_shards(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1]) for r in rows())
+    placed = {(r.doc_id, r.text_crc32): r.shard for r in shard_documents(docs, 4).collect() if r.doc_id not in (0, None)}
+    for r in back.collect():
+        if r.doc_id not in (0, None):
+            assert placed[r.doc_id, zlib.crc32((r.text or "").encode())] == r["__shard"]
+
+
 def water_filled(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
