@@ -26,7 +26,7 @@ WORD_BUCKETS = BYTE_BUCKETS = 1 << 16
 BUCKETS = WORD_BUCKETS + BYTE_BUCKETS
 STEP = np.uint64(0x100000001B3)
 TURN = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
