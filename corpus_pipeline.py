@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from alarmloom.llm.bpe import vocabulary
 from alarmloom.llm.common import ensure_checkpoint_dir, remove
 from alarmloom.llm.mixing import mixed_documents
+from alarmloom.llm.near_copies import drop_near_copies
 from alarmloom.llm.packing import pack_documents, packed_digests
 from alarmloom.llm.quality import keep_drawn
 from alarmloom.llm.secret_scan import redact
-from alarmloom.llm.simhash import drop_near_duplicates
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -30,8 +30,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
-    return drop_near_duplicates(docs)
+    """Keeps one document of each set that SimHash links and near copies (five-word similarity of 0.8 or more) join."""
+    return drop_near_copies(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -510,6 +510,45 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_drops_near_copies_beyond_four_bits(spark, monkeypatch):
+    import corpus_pipeline
+    from alarmloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 400)  # buckets in several blocks
+    rng, made = random.Random(3), []
+    for _ in range(30):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(8, 120))]
+        made.append(base)
+        for _ in range(rng.randint(0, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+            made.append(copy)
+    hot = [f"h{i}" for i in range(90)]
+    made += [[f"z{k}" if i == 11 * k % 90 else w for i, w in enumerate(hot)] for k in range(40)]
+    made = [" ".join(words) for words in made] + ["only four words here", "Only four words HERE", "", None]
+    ids = list(range(len(made)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in made)]
+    prints, parent, far = [brute_fingerprint(t) for t in made], list(ids), 0
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in ids:
+        for j in range(i):
+            bits = bin(prints[i] ^ prints[j]).count("1")
+            near = bool(sets[i]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+            far += near and bits > 4
+            if near or bits <= 4:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert far > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, made)] + [(0, made[0], "en", "s", 1), (None, made[3], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert listed(corpus_pipeline.deduplicate(spark, docs, ""), "doc_id") == sorted({(find(i),) for i in ids})
+    assert corpus_pipeline.deduplicate(spark, docs.limit(0), "").count() == 0
+
+
 # ------------------------------------------------------------ top-k
 
 
