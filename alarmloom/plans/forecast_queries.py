@@ -17,6 +17,7 @@ from ..sources.events import table_events
 from . import oracle_base as O
 from .log_queries import WITH_FLAGS, flagged, processed
 from .retrieval_queries import DOCUMENTS, FEATURES, Inputs, future, joined_arrays, rounded, similarity
+from .settings import Forecasting
 
 HOURS, SPLIT, K = 6.0, "test", 5
 LEAST_MACHINE, LEAST_TRANSITION, RARE_MOST, COMMON_LEAST = 200, 20, 49, 500
@@ -226,6 +227,19 @@ pos AS (SELECT incident_id, event_position, coalesce(tv.id, 1) AS id, count(*) O
 SELECT d.incident_id, array_to_string(list_resize(list(p.id ORDER BY p.event_position), 8, 0), ' ') AS token_ids, least(any_value(p.n), 8)::INTEGER AS sequence_length, coalesce(any_value(mv.id), 0)::INTEGER AS machine_number
 FROM docs d JOIN pos p USING (incident_id) LEFT JOIN mv USING (machine_id) WHERE p.event_position >= p.n - 8 GROUP BY d.incident_id"""
 
+PRODUCTION_LENGTH = Forecasting().sequence_max_length
+FULL_SEQUENCE_SQL = SEQUENCE_SQL.replace(", 8, 0)", f", {PRODUCTION_LENGTH}, 0)").replace("(p.n), 8)", f"(p.n), {PRODUCTION_LENGTH})").replace("p.n - 8 ", f"p.n - {PRODUCTION_LENGTH} ")
+
+
+def sequences(length: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        documents = Inputs(spark, sf_dir).documents
+        ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ")
+        return Q.encode(documents, Q.fit(documents), length).select("incident_id", ids.alias("token_ids"), "sequence_length", "machine_number")
+
+    return query
+
+
 OTHER = {
     "observed_episode": (observed, OBSERVED_SQL),
     "retrieved_evidence": (evidence, EVIDENCE_SQL),
@@ -234,7 +248,8 @@ OTHER = {
     "window_samples": (lambda s, d: S.windowed(table_events(s, d), OFFSETS, *WINDOWS), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, us, source_row, alarm_code, bin, part FROM parts"),
     "pruned_sequences": (lambda s, d: joined_arrays(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS)), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, bin, array_to_string(x, ' ') AS x, array_to_string(y, ' ') AS y FROM pairs"),
     "padded_sequences": (lambda s, d: joined_arrays(S.padded_samples(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS))), PADDED_SQL),
-    "sequence_encoding": (lambda s, d: (lambda i: Q.encode(i.documents, Q.fit(i.documents), 8))(Inputs(s, d)).select("incident_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"), "sequence_length", "machine_number"), SEQUENCE_SQL),
+    "sequence_encoding": (sequences(8), SEQUENCE_SQL),
+    "sequence_encoding_production": (sequences(PRODUCTION_LENGTH), FULL_SEQUENCE_SQL),
 }
 
 

@@ -281,6 +281,22 @@ def test_sequences(spark):
     assert got == {"a": ([2, 3], 2, 1), "b": ([1, 2], 2, 0)}
 
 
+def test_production_sequences_agree_with_their_sql_beyond_eight_events(spark):
+    import duckdb
+    from pathlib import Path
+
+    from alarmloom.plans import catalogue
+
+    folder = "/root/testdata/sf0.1"
+    got = sorted(map(tuple, catalogue.queries()["sequence_encoding_production"](spark, folder).collect()))
+    db = duckdb.connect()
+    for path in Path(folder).glob("*.parquet"):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    assert got == sorted(db.execute(catalogue.oracle_sql()["sequence_encoding_production"]).fetchall())
+    lengths = [row[2] for row in got]
+    assert max(lengths) == 64 and sum(n > 8 for n in lengths) > len(lengths) / 2
+
+
 def test_summaries():
     observed = [{"incident_id": "q", "machine_id": "4", "position": 1, "alarm_code": "98", "start_time": at(1), "end_time": at(2), "event_count": 1, "distinct_alarm_count": 1, "is_upper_tail": False}]
     evidence = [{"incident_id": "c", "rank": 1, "similarity_score": 0.5, "shared_alarm_codes": ["98"], "future_alarm_codes": [], "future_horizon_hours": 6.0}]
