@@ -264,7 +264,7 @@ def gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.recurrent import score_gru
 
     forecast = Forecast(spark, sf_dir)
-    return score_gru(forecast.inputs.documents, forecast.labels, epochs=4)
+    return score_gru(forecast.inputs.documents, forecast.labels)
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,24 @@ def test_gru_on_held_out_episodes(spark):
     assert all(0 <= r.score <= 1 for r in scores.collect())
     with pytest.raises(ValueError):
         score_gru(documents, labels, mode="x")
+
+
+def test_gru_query_trains_the_production_epochs(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from alarmloom.operators import recurrent
+    from alarmloom.plans import forecast_queries
+    from alarmloom.plans.settings import Forecasting
+
+    signature, seen = inspect.signature(score_gru), []
+
+    def spy(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        seen.append(bound.arguments["epochs"])
+
+    monkeypatch.setattr(recurrent, "score_gru", spy)
+    monkeypatch.setattr(forecast_queries, "Forecast", lambda *_: SimpleNamespace(inputs=SimpleNamespace(documents=None), labels=None))
+    forecast_queries.gru(None, "")
+    assert seen == [Forecasting().sequence_epochs]
