@@ -264,6 +264,39 @@ def test_trigram_queries_and_many_matches(spark):
     assert [(s.kind, s.start, s.end) for s in got] == plain_spans(text, BASE_RULES)
 
 
+def random_match(items, rng):
+    out = ""
+    for op, value in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            one, of = rng.choice(value)
+            out += chr(of if str(one) == "LITERAL" else rng.randint(*of))
+        elif kind == "MAX_REPEAT":
+            out += "".join(random_match(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        else:
+            out += random_match({"SUBPATTERN": lambda: value[3], "BRANCH": lambda: rng.choice(value[1])}[kind](), rng)
+    return out
+
+
+def test_stated_literals_lie_in_every_match():
+    import re
+    from dataclasses import replace
+
+    from alarmloom.llm.secret_scan import BASE_RULES, MORE_RULES, trigram_query, trigrams
+
+    def missed(rule):
+        rng, query, tree = random.Random(5), trigram_query(rule), re._parser.parse(rule.pattern)
+        found = [random_match(tree, rng) for _ in range(400)]
+        assert all(re.fullmatch(rule.pattern, m) for m in found)
+        return [m for m in found if query is not None and not any(q <= trigrams(m.lower()) for q in query)]
+
+    for rule in BASE_RULES + MORE_RULES:
+        assert not missed(rule), rule.kind
+    assert missed(replace(BASE_RULES[0], parts=(BASE_RULES[0].parts[0][1:],)))
+
+
 def test_redaction_keeps_clean_texts(docs):
     from alarmloom.llm.secret_scan import plain_spans, BASE_RULES, redact
 
