@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ PARTITION = "__part"
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (tests, local runs) gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Without that setting a local
+    session gets a folder of its own; on a cluster no folder of one machine would do,
+    so that raises.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
@@ -22,6 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="alarmloom-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -39,6 +43,28 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Stored:
+    """Frames written in the shared folder that are given up one by one, for loops that outgrow what they stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+        self.count = 0
+        self.held: dict[str, str] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as stored. What stood under ``name`` before, and may be read to write ``df``, is deleted behind it."""
+        path, self.count = f"{self.base}/{self.count}", self.count + 1
+        df.write.parquet(path)
+        self.drop(name)
+        self.held[name] = path
+        return self.spark.read.parquet(path)
+
+    def drop(self, name: str) -> None:
+        if name in self.held:
+            remove(self.spark, self.held.pop(name))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,6 +85,30 @@ def temp_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, by which equal rows are equal; maps, which have no hash, as JSON."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(*parts)
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, whose ``small_key`` is unique, though many rows of ``big`` may have one key.
+
+    A key with more rows than half a partition's even share goes to all tasks, so its rows
+    stay where they are; there are at most twice as many such keys as partitions, which bounds
+    the broadcast. All other keys are joined by a shuffle. ``big`` is read four times, so it
+    should be stored or a table; ``how`` is inner or left.
+    """
+    held, is_hot = temp_names(big, *temp_names(small, "hot_key", "is_hot"))
+    most = big.count() // (2 * shuffle_partitions(big.sparkSession)) + 1
+    counts = big.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(held)).agg(F.count(F.lit(1)).alias(is_hot))
+    hot = counts.where(F.col(is_hot) > most).select(held)
+    known = hot.join(small, F.col(held) == F.col(small_key), how).withColumn(is_hot, F.lit(True))
+    near = big.join(F.broadcast(known), F.col(key) == F.col(held), "left").where(is_hot).drop(held, is_hot)
+    far = big.join(F.broadcast(hot), F.col(key) == F.col(held), "left_anti").join(small, F.col(key) == F.col(small_key), how)
+    return near.unionByName(far)
+
+
 def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` in ranges of ``order``, each range in one partition numbered in PARTITION, stored.
 

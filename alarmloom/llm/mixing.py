@@ -3,7 +3,7 @@
 Each source's documents stand in a shuffled order and may be gone through three
 times. A copy's virtual finish time is the number of the source's words up to its
 end, divided by the source's target; all copies are sorted by it and taken until
-the budget is used up.
+the budget is used up. Nothing else decides what is taken.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, temp_names
+from .common import checkpointed, join_spread, prefix_sums, row_hash, temp_names
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -22,10 +22,10 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def items(docs: DataFrame, text_hash: str = "text_hash") -> DataFrame:
-    """Rows equal in doc_id, source and text as one item with the number of them."""
-    sized = docs.select("doc_id", "source", F.xxhash64(F.col("text")).alias(text_hash), word_count().alias("size"))
-    return sized.groupBy("doc_id", "source", text_hash).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+def items(docs: DataFrame, key: str) -> DataFrame:
+    """Equal rows of ``docs`` as one item with the number of them; ``key`` names their hash."""
+    sized = docs.select("doc_id", "source", row_hash(docs).alias(key), word_count().alias("size"))
+    return sized.groupBy("doc_id", "source", key).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -57,62 +57,84 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", "source_rank", "source_start", "budget", F.least(F.col("cap"), F.col("best") * F.col("weight")).alias("target"))
 
 
+ORDER = ("finish", "place", "doc_id", "row_key", "copy", "epoch")
+
+
+def finish(epoch: Column, copy: Column) -> Column:
+    """Virtual time at which a row's copy ends: the words of its source up to there over the source's target."""
+    words = epoch * F.col("source_size") + F.col("within") + (copy + 1) * F.col("size")
+    return words.cast("double") / F.col("target")
+
+
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, size, rows, source_size, target and copies of each item of ``docs``.
-
-    ``copies``, 0 to 3, is how often each of the item's rows is taken. The order of
-    a source's documents follows from the hash of doc_id, so reruns agree. A source
-    stops at the copy of which less than half is within its target, and the end of the
-    budget cuts off only copies that reach beyond their source's target, so a source
-    takes at most half a document more and a document less than its target.
-    Sources of size 0 have target 0 and take nothing.
+    """``items`` of ``docs`` (their hash as row_key) with source_size, target, and ``taken_copies``: how often each of the item's rows is taken.
+
+    Every row has three places in the queue, one for each time its source is gone
+    through; equal rows stand one behind another with a place each. The order of a
+    source's documents follows from the hash of doc_id, so reruns agree. All
+    copies are sorted by their finish times, over all sources, and taken up to
+    the budget. When every source has just met its target, the words taken make
+    up the budget; so a source falls short of its target by less than a document,
+    and shares with the others what such shortfalls leave over.
+    Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is
+    a document. Sources of size 0 have target 0 and take nothing. An empty table gives no rows.
     """
-    all_items = items(docs)
+    all_items = items(docs, "row_key")
     sources = targets(all_items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
     joined = all_items.alias("i").join(sources.alias("s"), F.col("i.source").eqNullSafe(F.col("s.source"))).select("i.*", *(f"s.{c}" for c in sources.columns if c != "source"))
-    words = F.col("size") * F.col("rows")
-    shuffled = joined.withColumn("place", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")))).withColumn("words", words)
-    summed = prefix_sums(shuffled, [F.col(c) for c in ("source_rank", "place", "doc_id", "text_hash")], {"so_far": F.col("words")})
-    within = F.col("so_far") - F.col("source_start")
-
-    def middle(epoch: Column) -> Column:
-        return ((epoch * F.col("source_size") + within).cast("double") + F.col("words").cast("double") / 2.0) / F.col("target")
-
-    def finish(epoch: Column) -> Column:
-        return (epoch * F.col("source_size") + within + F.col("words")).cast("double") / F.col("target")
-
-    epochs = F.array(*(F.lit(e) for e in range(MOST_COPIES)))
-    started = F.when(F.col("target") > 0, F.filter(epochs, lambda e: middle(e) < 1.0)).otherwise(F.array().cast("array<int>"))
-    queued = summed.withColumn("epochs", started)
-    order = ["finish", "place", "doc_id", "text_hash", "epoch"]
-    copies = queued.select("place", "doc_id", "text_hash", "words", "budget", "source_size", "so_far", "source_start", "target", F.explode("epochs").alias("epoch"))
-    timed = copies.select(finish(F.col("epoch")).alias("finish"), "place", "doc_id", "text_hash", "epoch", "words", "budget")
-    sorted_copies = prefix_sums(timed, [F.col(c) for c in order], {"used": F.col("words")})
-    taken = sorted_copies.where(F.col("used") + F.col("words") <= F.col("budget"))
-    last = taken.agg(F.max(F.struct(*order)).alias("last")).first()["last"]  # one row
+    shuffled = joined.withColumn("place", F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))))
+    order = [F.col(c) for c in ("source_rank", "place", "doc_id", "row_key")]
+    summed = prefix_sums(shuffled, order, {"so_far": F.col("size") * F.col("rows")}).withColumn("within", F.col("so_far") - F.col("source_start"))
+    waiting = summed.where(F.col("target") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    waiting = waiting.withColumn("epoch", F.explode(F.array(*map(F.lit, range(MOST_COPIES)))))
+    queue = waiting.select(finish(F.col("epoch"), F.col("copy")).alias("finish"), *ORDER[1:], "size", "budget")
+    sums = prefix_sums(queue, [F.col(c) for c in ORDER], {"used": F.col("size")})
+    last = sums.where(F.col("used") + F.col("size") <= F.col("budget")).agg(F.max(F.struct(*ORDER)).alias("last")).first()["last"]  # one row
+    places = F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)
     if last is None:
-        count = F.lit(0)
+        counts = F.transform(places, lambda c: F.lit(0))
     else:
-        kinds = dict(timed.dtypes)
-        bound = F.struct(*(F.lit(last[c]).cast(kinds[c]).alias(c) for c in order))
-        count = F.size(F.filter("epochs", lambda e: F.struct(finish(e).alias("finish"), *(F.col(c) for c in order[1:-1]), e.alias("epoch")) <= bound))
-    return queued.select("doc_id", "source", "text_hash", "size", "rows", "source_size", "target", count.alias("copies"))
+        kinds = dict(queue.dtypes)
+        bound = F.struct(*(F.lit(last[c]).cast(kinds[c]).alias(c) for c in ORDER))
+        epochs = F.array(*map(F.lit, range(MOST_COPIES)))
+
+        def reached(copy: Column, epoch: Column) -> Column:
+            own = F.struct(finish(epoch, copy).alias("finish"), *(F.col(c) for c in ORDER[1:4]), copy.alias("copy"), epoch.alias("epoch"))
+            return (F.col("target") > 0) & (own <= bound)
+
+        counts = F.transform(places, lambda c: F.size(F.filter(epochs, lambda e: reached(c, e))))
+    return summed.select("doc_id", "source", "row_key", "size", "rows", "source_size", "target", counts.alias("taken_copies"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """One row a document of ``docs``: its size, its source's size and target, and the words taken of it."""
-    rows = mix(docs).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    """One row a row of ``docs``: its size, its source's size and target, and the words taken of it."""
+    rows = mix(docs.select("doc_id", "source", "text")).withColumn("copies", F.explode("taken_copies"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken."""
-    (text_hash, copies) = temp_names(docs, "text_hash", "copies")
-    taken = mix(docs).where("copies > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash", "copies")))
-    keyed = docs.withColumn(text_hash, F.xxhash64(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col(text_hash) == F.col("__text_hash"))
-    joined = keyed.join(taken, same)
-    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``.
+
+    A text of any length is counted whole and moved only where equal rows must be told
+    apart. Rows equal in all columns are taken together; of what their number does not
+    divide, one stands for the rest. Columns of ``docs`` may have any names.
+    """
+    key, taken, n, copies, there = temp_names(docs, "mix_key", "mix_taken", "mix_rows", "mix_copies", "mix_there")
+    total = F.aggregate("taken_copies", F.lit(0).cast("long"), lambda a, x: a + x)
+    counted = checkpointed(mix(docs).select(F.col("row_key").alias(key), total.alias(taken), F.col("rows").alias(n)).groupBy(key).agg(F.sum(taken).alias(taken), F.sum(n).alias(n)).where(F.col(taken) > 0))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(there, row_hash(docs))
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn(copies, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*columns)
+
+    joined = join_spread(keyed, counted, there, key)
+    out = repeated(joined, F.floor(F.col(taken) / F.col(n)))
+    rest = counted.where(F.col(taken) % F.col(n) > 0)
+    if rest.isEmpty():
+        return out
+    one = keyed.join(rest, F.col(there) == F.col(key)).dropDuplicates([there])
+    return out.unionByName(repeated(one, F.col(taken) % F.col(n)))
 
 
 #: The same mix in SQL, for tables whose rows differ in doc_id.
@@ -142,7 +164,7 @@ WITH sized AS (
 ), copies AS (
   SELECT p.*, e.epoch, (e.epoch * source_size + within + size)::DOUBLE / target AS finish
   FROM placed p CROSS JOIN (VALUES (0), (1), (2)) e(epoch)
-  WHERE target > 0 AND ((e.epoch * source_size + within)::DOUBLE + size::DOUBLE / 2.0) / target < 1.0
+  WHERE target > 0
 ), queued AS (
   SELECT *, sum(size) OVER (ORDER BY finish, place, doc_id, epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM copies
 ), taken AS (

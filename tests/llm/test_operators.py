@@ -359,31 +359,81 @@ def water_filled(sizes):
         capped |= over
 
 
+def words_of(text):
+    import re
+
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def queued(table):
+    """(words taken of each source, rows of the queue that the budget cuts off) by a plain queue over (doc_id, source, text)."""
+    sizes, order = defaultdict(int), defaultdict(list)
+    for row in table:
+        sizes[row[1]] += words_of(row[2])
+        order[row[1]].append((hashlib.md5(":".join(["mix"] + [str(row[0])] * (row[0] is not None)).encode()).hexdigest(), row[0] is not None, row[0] or 0, words_of(row[2])))
+    target, queue = water_filled(dict(sizes)), []
+    for source, members in order.items():
+        at = 0
+        for place, known, doc, size in sorted(members) * 3 if target[source] else []:
+            at += size
+            queue.append((at / target[source], place, known, doc, len(queue), source, size))
+    used, taken, left = 0, defaultdict(int), 0
+    for *_, source, size in sorted(queue):
+        left += left > 0 or used + size > sum(sizes.values())
+        if not left:
+            used += size
+            taken[source] += size
+    return dict(taken), left
+
+
 def test_mixture(docs, empty):
     from alarmloom.llm.mixing import mixture, mixed_documents
-    import re
 
     out = mixture(docs).collect()
     again = mixture(docs.repartition(2)).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
-    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = defaultdict(int)
     for r in rows():
-        sizes[r[3]] += size(r[1])
-    assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], size(r[1])) for r in rows())
+        sizes[r[3]] += words_of(r[1])
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((r[0], words_of(r[1])) for r in rows())
     targets = water_filled(dict(sizes))
     taken = defaultdict(int)
     for r in out:
         taken[r.source] += r.taken
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source]) and r.taken <= 3 * r.size
-    most = 2 * max(r.size for r in out)
-    assert all(abs(taken[s] - targets[s]) <= most for s in sizes) and sum(taken.values()) <= sum(sizes.values())
+    most = max(r.size for r in out)
+    assert all(targets[s] - taken[s] < most for s in sizes)
+    assert 0 <= sum(sizes.values()) - sum(taken.values()) < most
+    expected, cut = queued([(r[0], r[3], r[1]) for r in rows()])
+    assert cut and {s: n for s, n in taken.items() if n} == {s: n for s, n in expected.items() if n}
     copies = Counter(r.doc_id for r in mixed_documents(docs).collect())
     wanted = Counter()
     for r in out:
         wanted[r.doc_id] += r.copies
     assert copies == +wanted
-    assert mixture(empty).count() == 0
+    assert mixture(empty).count() == 0 and mixed_documents(empty).count() == 0
+
+
+def test_mixture_of_repeated_rows_and_clashing_names(spark):
+    from alarmloom.llm.mixing import mixture, mixed_documents
+
+    table = [(1, "a", "w " * 20, 1, 2, 3, 4)] * 40 + [(100 + i, "b", "w " * 20, 1, 2, 3, 4) for i in range(40)] + [(7, None, "x " * 30_000, 0, 0, 0, 0)]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string, mix_key int, row_key int, hot_key int, size int").repartition(3)
+    out = mixture(df).collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    expected, cut = queued([r[:3] for r in table])
+    assert cut and +taken == Counter(expected)
+    target = {r.source: r.target for r in out}
+    assert all(abs(taken[s] - target[s]) <= 20 for s in "ab")
+    rows_out = mixed_documents(df)
+    assert rows_out.columns == df.columns
+    got = Counter()
+    for r in rows_out.collect():
+        got[r.source] += words_of(r.text)
+        assert r.mix_key == r.hot_key - 2 or r.source is None
+    assert got == +taken
 
 
 def test_targets_stop_at_three_times_the_source(spark):
