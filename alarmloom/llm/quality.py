@@ -27,6 +27,8 @@ BUCKETS = WORD_BUCKETS + BYTE_BUCKETS
 STEP = np.uint64(0x100000001B3)
 TURN = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 1 << 18
+#: Log ratios are whole multiples of 1 / STEPS, so that sums of any 2 ** 28 of them are exact in any order.
+STEPS = float(1 << 20)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,12 +44,15 @@ def step_powers(n: int) -> np.ndarray:
 POWERS = step_powers(256)
 
 
-def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
+NONE = np.zeros(0, np.uint8)
+
+
+def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = None, tail: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, int | None]:
     """Buckets of all n-grams of texts that stand one after another in ``data``, and the text of each.
 
     ``ends``: where each text ends; a white space byte stands last in each text.
-    ``carried``: the hash of the word before the first, if the text goes on from an
-    earlier part. Also gives the hash of the last word.
+    ``carried`` and ``tail``: the hash of the word before the first, and the last two bytes before ``data``,
+    if the text goes on from an earlier part. Also gives the hash of the last word.
     """
     owner = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -55,7 +60,7 @@ def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = No
     found, whose = [], []
     last = carried
     if len(start):
-        place = np.arange(len(data)) - np.repeat(start, np.diff(np.r_[start, len(data)])) if start[0] == 0 else np.arange(len(data)) - np.r_[np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.r_[start, len(data)]))]
+        place = np.arange(len(data)) - np.r_[np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.r_[start, len(data)]))]
         parts = (data.astype(np.uint64) + np.uint64(1)) * POWERS[place & 255]
         parts[space] = 0
         words = mixed(np.add.reduceat(parts, start))
@@ -69,8 +74,9 @@ def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = No
             found.append(mixed(np.array([carried], np.uint64) * TURN + words[:1]) % np.uint64(WORD_BUCKETS))
             whose.append(of[:1])
         last = int(words[-1])
-    if len(data) > 2:
-        runs = data[:-2].astype(np.uint64) | data[1:-1].astype(np.uint64) << np.uint64(8) | data[2:].astype(np.uint64) << np.uint64(16)
+    whole, owner = np.concatenate([tail, data]), np.concatenate([np.zeros(len(tail), np.int64), owner])
+    if len(whole) > 2:
+        runs = whole[:-2].astype(np.uint64) | whole[1:-1].astype(np.uint64) << np.uint64(8) | whole[2:].astype(np.uint64) << np.uint64(16)
         same = owner[2:] == owner[:-2]
         found.append((mixed(runs * TURN) % np.uint64(BYTE_BUCKETS) + np.uint64(WORD_BUCKETS))[same])
         whose.append(owner[2:][same])
@@ -79,6 +85,16 @@ def feature_buckets(data: np.ndarray, ends: np.ndarray, carried: int | None = No
     return np.concatenate(found).astype(np.int64), np.concatenate(whose), last
 
 
+def long_batches(text: bytes) -> Iterator[np.ndarray]:
+    """The buckets of one long text in parts; together they are those of the text in one piece."""
+    carried, tail = None, NONE
+    for part in parts_of(text + b" ", CHUNK):
+        data = np.frombuffer(part, np.uint8)
+        buckets, _, carried = feature_buckets(data, np.array([len(data)]), carried, tail)
+        tail = np.concatenate([tail, data[-2:]])[-2:]
+        yield buckets
+
+
 def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, number of texts, buckets, text of each bucket from the first) for runs of texts; a long text may come in several."""
     held, size, first = [], 0, 0
@@ -91,11 +107,8 @@ def batches_of(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.nd
         if text is None:
             break
         if len(text) > CHUNK:
-            carried = None
-            for part in parts_of(text, CHUNK):
-                whole = part + b" "
-                buckets, owner, carried = feature_buckets(np.frombuffer(whole, np.uint8), np.array([len(whole)]), carried)
-                yield i, 1, buckets, owner
+            for buckets in long_batches(text):
+                yield i, 1, buckets, np.zeros(len(buckets), np.int64)
             continue
         if not held:
             first = i
@@ -120,7 +133,8 @@ def good_sample(labels: DataFrame, max_labelled: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, prior: float = 100.0) -> Model:
     """Counts both models in one pass over all documents.
 
-    Without good documents all ratios are 1, and without labels the share is 1.
+    Without good documents all ratios are 1, and without labels the share is 1. A null
+    or empty text has no n-grams; repeated rows count each; a long text counts whole, in parts.
     """
     chosen = F.broadcast(good_sample(labels, max_labelled).withColumn("good", F.lit(True)))  # max_labelled rows at most
     tagged = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -148,12 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, prior: f
             share = r / r.sum()
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio[part] = np.where(r > 0, np.log((t + prior * share) / (t.sum() + prior) / share), 0.0)
+    ratio = np.round(ratio * STEPS) / STEPS
     known = labels.where(F.col("quality").isNotNull()).agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     return Model(ratio, 1.0 if known is None else float(known))
 
 
 def with_log_weights(docs: DataFrame, model: Model, name: str) -> DataFrame:
-    """``docs`` with the log weight of the whole text; a text without n-grams (null, empty) has 0."""
+    """``docs`` with the log weight of the whole text in ``name``, which must be a new column.
+
+    A text without n-grams (null, empty) has 0, an empty table gives none; equal texts have
+    equal weights, however long they are and whatever rows they are read with.
+    """
     (body,) = temp_names(docs, "text_bytes")
     table = docs.sparkSession.sparkContext.broadcast(model.log_ratio)  # BUCKETS numbers
     source = docs.withColumn(body, F.coalesce("text", F.lit("")).cast("binary"))
@@ -197,7 +216,11 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) ->
 
 
 def keep_drawn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that are drawn. Rows equal in doc_id and text are kept or dropped together."""
+    """The rows of ``docs`` that are drawn, with its columns, whatever their names.
+
+    Rows equal in doc_id and text are kept or dropped together. Null doc_ids and
+    texts are drawn like others; an empty table gives no rows.
+    """
     model = fit(docs, labels, max_labelled)
     last = ranked(docs, model).where("keep").agg(F.max_by(F.struct("gumbel_key", "row_hash"), "rank")).first()[0]  # one row
     if last is None:
