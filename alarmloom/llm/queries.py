@@ -80,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIXTURE_SQL
+    from .secret_scan import REPORT_SQL
     from .topk import TOP_K_SQL
 
-    return {"op6_fair_queue_mixture": MIXTURE_SQL, "op10_pivot_top_k": TOP_K_SQL}
+    return {"op3_trigram_secret_scan": REPORT_SQL, "op6_fair_queue_mixture": MIXTURE_SQL, "op10_pivot_top_k": TOP_K_SQL}

@@ -2,103 +2,135 @@
 
 Everything here is DataFrame expressions.
 
-Each rule's pattern has a Boolean query over trigrams that every match must
-contain: alternatives of sets of trigrams. The index holds a posting for each
-document and each trigram that some query names; postings of a document are
-brought together and the queries answered on them. Only documents that answer a
-rule's query are run through its pattern. A pattern without a trigram that every
-match must contain (a run of hex digits) scans all documents.
+Each rule's pattern gives a Boolean query over trigrams that every match must
+contain (``trigrams.trigram_query``): alternatives of sets of trigrams. The index
+has a row a block of documents and a column a trigram, with the posting list of
+the documents in the block that have it. For each rule the lists of an
+alternative's trigrams are intersected and the alternatives united. Only
+documents so found are run through the rule's pattern. A rule without a trigram that
+every match must contain (a run of hex digits) scans all documents.
+
+Texts are not shuffled to meet their candidates: a bit map of the candidates' keys, of
+a fixed size, goes to all tasks, and only rows that it does not rule out are joined.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import temp_names, text_of
+from .common import checkpointed, join_spread, temp_names, text_of
+from .trigrams import trigram_query
+
+#: Documents in a block of the index, as a power of two.
+BLOCK_BITS = 12
+#: Rows of 64 bits in the map of candidates.
+MAP_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``parts`` state the pattern: strings are literal choices that every match
-    contains in a row, None is anything else. Empty parts: no trigram is sure."""
+    """A kind of secret: matches of ``pattern`` of which ``group`` has at least ``least`` code points."""
 
     kind: str
     pattern: str
-    least: int = 0  # code points of ``group`` that a match needs
+    least: int = 0
     group: int = 0
-    any_case: bool = False
-    parts: tuple[tuple[str, ...], ...] = ()
 
 
 #: The three kinds that every scan has, in the order in which their ties stand.
 BASE_RULES = (
-    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, True, (("password", "passwd", "secret", "token", "api_key", "apikey"),)),
-    Rule("access", r"AKIA[A-Z0-9]+", 20, 0, False, (("AKIA",),)),
+    Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
+    Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
 #: Further kinds, with the published forms of such secrets.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0, False, (("-----BEGIN ",), ("PRIVATE KEY-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, False, (("eyJ",), (".eyJ",))),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 
-def trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
-
-
-def trigram_query(rule: Rule) -> list[frozenset[str]] | None:
-    """Alternatives of trigrams, lower-cased, one of which lies whole in each document that matches; None if unknown."""
-    choices = [frozenset().union(*map(trigrams, chosen)) for chosen in product(*(tuple(p.lower() for p in part) for part in rule.parts))]
-    if not rule.parts or not all(choices):
-        return None
-    return sorted({c for c in choices if not any(other < c for other in choices)}, key=sorted)
+def posting_lists(docs: DataFrame, key: Column, body: Column, words: list[str]) -> DataFrame:
+    """The inverted index over ``words``: a row a block, in column p0, p1, ... the keys of its documents with that trigram in any case.
 
-
-def postings(docs: DataFrame, key: Column, body: Column, words: list[str]) -> DataFrame:
-    """The inverted index over ``words``: a row (trigram, key) for each trigram and document that has it in any case."""
-    lowered = F.lower(body)
-    return docs.select(key.alias("key"), F.explode(F.filter(F.array(*(F.when(F.contains(lowered, F.lit(w)), F.lit(i)) for i, w in enumerate(words))), lambda x: x.isNotNull())).alias("trigram"))
+    A block is a run of rows of one input partition, so its lists are made where its rows are read.
+    """
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    lowered = docs.select(block.alias("block"), key.alias("key"), F.lower(body).alias("lowered"))
+    has = lowered.select("block", "key", *(F.contains("lowered", F.lit(w)).alias(f"has{i}") for i, w in enumerate(words)))
+    return has.groupBy("block").agg(*(F.collect_list(F.when(F.col(f"has{i}"), F.col("key"))).alias(f"p{i}") for i in range(len(words))))
 
 
 def candidates(docs: DataFrame, key: Column, body: Column, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, rules): the numbers of the rules whose trigram query the document answers; documents without any are left out."""
-    asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r)) is not None}
+    asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     words = sorted(frozenset().union(*(c for q in asked.values() for c in q)))
     number = {w: i for i, w in enumerate(words)}
-    met = postings(docs, key, body, words).groupBy("key").agg(F.collect_set("trigram").alias("met"))
+    index = posting_lists(docs, key, body, words)
 
-    def answered(query: list[frozenset[str]]) -> Column:
-        one = F.lit(False)
-        for choice in query:
-            one = one | (F.size(F.array_intersect("met", F.array(*(F.lit(number[w]) for w in sorted(choice))))) == len(choice))
-        return one
+    def found(query: list[frozenset[str]]) -> Column:
+        lists = [reduce(F.array_intersect, (F.col(f"p{number[w]}") for w in sorted(choice))) for choice in query]
+        return reduce(F.array_union, lists)
 
-    hits = F.filter(F.array(*(F.when(answered(q), F.lit(i)) for i, q in asked.items())), lambda x: x.isNotNull())
-    return met.select("key", hits.alias("rules")).where(F.size("rules") > 0)
+    answers = F.array(*(F.struct(F.lit(i).alias("rule"), found(q).alias("keys")) for i, q in asked.items())) if asked else F.array().cast("array<struct<rule:int,keys:array<bigint>>>")
+    flat = index.select(F.explode(answers).alias("a")).select("a.rule", F.explode("a.keys").alias("key"))
+    return flat.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
-def running_starts(lengths: Column, block: int = 256) -> Column:
-    """For an array of lengths, the sum of those before each: blocks first, then inside each block, so time stays near the array's length."""
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
+def bit_of(key: Column) -> Column:
+    """The place of a key in the map of candidates, from 0 to 64 * MAP_ROWS - 1."""
+    return F.pmod(F.xxhash64(key), F.lit(64 * MAP_ROWS))
 
-    def before(sums: Column) -> Column:
-        return F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+def with_candidates(docs: DataFrame, rules: tuple[Rule, ...], held: str) -> DataFrame:
+    """``docs`` with ``held``, the numbers of the rules for which the row is a candidate (null: none)."""
+    key, other, row, bits, there = temp_names(docs, "scan_key", "scan_other", "scan_row", "scan_bits", "scan_there")
+    body = text_of()
+    row_key = F.xxhash64("doc_id", body)
+    hits = checkpointed(candidates(docs, row_key, body, rules)).select(F.col("key").alias(other), F.col("rules").alias(held))
+    place, own = bit_of(F.col(other)), bit_of(F.col(key))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))  # of a place, a shift looks at the last six bits
+    bit_map = hits.groupBy(F.shiftright(place, 6).alias(row)).agg(F.bit_or(bit).alias(bits))
+    keyed = docs.withColumn(key, row_key).withColumn(there, F.shiftright(own, 6))
+    marked = keyed.join(F.broadcast(bit_map), F.col(there) == F.col(row), "left")  # MAP_ROWS rows at most
+    lit = F.call_function("shiftrightunsigned", F.col(bits), own.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    marked = marked.withColumn(there, F.coalesce(lit, F.lit(False))).drop(row, bits)
+    none = F.lit(None).cast("array<int>")
+    far = marked.where(~F.col(there)).drop(there, key).withColumn(held, none)
+    near = join_spread(marked.where(there).drop(there), hits, key, other, "left").drop(key, other)
+    return far.unionByName(near)
+
+
+def running(values: Column, step, block: int = 256) -> Column:
+    """For an array of numbers from 0 up, ``step`` (sum or maximum) over those before each, 0 for the first: blocks
+    first, then inside each block, so time stays near the array's length."""
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+
+    def before(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
     inside = F.transform(blocks, before)
-    starts = F.zip_with(inside, F.slice(before(totals), F.lit(1), F.size(totals)), lambda own, start: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda x: x + start))
+    starts = F.zip_with(inside, F.slice(before(totals), F.lit(1), F.size(totals)), lambda own, start: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda x: step(x, start)))
     return F.when(n > 0, F.flatten(starts)).otherwise(F.array().cast("array<int>"))
 
 
+def running_starts(lengths: Column) -> Column:
+    return running(lengths, lambda a, x: a + x)
+
+
+def running_maximum(ends: Column) -> Column:
+    return running(ends, lambda a, x: F.greatest(a, x))
+
+
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -125,23 +157,22 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """All columns of ``docs`` and ``secret_spans``: an array of (kind, start, end) in code points, by start, then in the order of ``rules``.
 
     Matches of a kind do not overlap and are the leftmost; spans of two kinds may
-    overlap. A null text has no spans. Rows are told apart by the hash of doc_id
+    overlap. A null or empty text has no spans; a long text is scanned whole. Rows are told apart by the hash of doc_id
     and text; equal rows, and rows whose hashes agree by chance, share their
     candidates, which changes nothing as every candidate is verified on its own text.
+    Other columns may have any names; one named secret_spans is replaced. An empty table gives no rows.
     """
-    key, held = temp_names(docs, "key", "rules")
+    (held,) = temp_names(docs, "scan_rules")
     body = text_of()
-    row_key = F.xxhash64("doc_id", body)
-    hits = candidates(docs, row_key, body, rules).select(F.col("key").alias(key), F.col("rules").alias(held))
-    df = docs.withColumn(key, row_key).join(hits, key, "left")
+    df = with_candidates(docs, rules, held)
     names = temp_names(df, *(f"spans_{i}" for i in range(len(rules))))
     for i, (rule, name) in enumerate(zip(rules, names)):
-        asked = F.lit(True) if trigram_query(rule) is None else F.coalesce(F.array_contains(held, i), F.lit(False))
+        asked = F.lit(True) if trigram_query(rule.pattern) is None else F.coalesce(F.array_contains(held, i), F.lit(False))
         df = with_spans(df, body, rule, i, asked, name)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     ordered = F.array_sort(F.concat(*names))
     spans = F.transform(ordered, lambda x: F.struct(F.element_at(kinds, x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns), spans.alias("secret_spans"))
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"), spans.alias("secret_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -159,26 +190,50 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *(count(r.kind) for r in BASE_RULES), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
 
 
+def kept_text(body: Column, gaps: Column, mark: str) -> Column:
+    """What lies in ``gaps`` (array of start, end in code points, ascending) of ``body``, with ``mark`` between.
+
+    Taking a part of a text walks it from its start, so gaps are taken in blocks of about
+    the square root of their number: each block's text first, then the gaps of it.
+    """
+    n = F.size(gaps)
+    block = F.ceil(F.sqrt(n)).cast("int")
+
+    def of_block(k: Column) -> Column:
+        own = F.slice(gaps, k * block + 1, block)
+        start, end = own[0]["start"], F.element_at(own, -1)["end"]
+        held = F.array(F.struct(F.substring(body, start + 1, end - start).alias("text"), start.alias("start"), own.alias("own")))
+        return F.transform(held, lambda h: F.array_join(F.transform(h["own"], lambda g: F.substring(h["text"], g["start"] - h["start"] + 1, g["end"] - g["start"])), mark))[0]
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), of_block), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with ``mark`` in place of each secret, overlapping spans as one; texts without secrets stay as they are.
+    """``docs`` with ``mark`` in place of each secret, overlapping spans as one; texts without secrets, null and empty ones stay as they are.
 
-    ``n_chars``, where there is one, follows the new text of a changed row.
+    ``n_chars``, where there is one, follows the new text of a changed row. Rows, repeated
+    ones too, keep their number and their columns, whatever their names; an empty table gives no rows.
     """
-    (name,) = temp_names(docs, "text_redacted")
-    scanned = scan_secrets(docs)
-    spans, body = F.col("secret_spans"), F.col("text")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, span: Column) -> Column:
-        new = span["start"] >= state["at"]
-        gap = F.substring(body, state["at"] + 1, span["start"] - state["at"])
-        parts = F.when(new, F.concat(state["parts"], F.array(gap, F.lit(mark)))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
-
-    done = F.aggregate(spans, empty, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(body, s["at"] + 1, F.length(body))))
-    changed = F.size(spans) > 0
-    new = scanned.withColumn(name, F.when(changed, done).otherwise(body))
-    columns = [F.col(name).alias("text") if c == "text" else F.when(changed, F.length(name)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    name, gaps, spans = temp_names(docs, "text_redacted", "text_gaps", "text_spans")
+    own = docs.withColumnRenamed("secret_spans", temp_names(docs, "kept_spans")[0])
+    scanned = scan_secrets(own).withColumnRenamed("secret_spans", spans)
+    body, changed = F.col("text"), F.size(spans) > 0
+    # a span opens a gap's end unless an earlier one reaches to or beyond its start
+    reach = running_maximum(F.transform(spans, lambda x: x["end"]))
+    joined = F.zip_with(F.col(spans), reach, lambda x, r: F.struct(r.alias("start"), x["start"].alias("end")))
+    opening = F.filter(joined, lambda g: (g["end"] >= g["start"]))
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    all_gaps = F.concat(opening, F.array(F.struct(last.alias("start"), F.length(body).alias("end"))))
+    step = scanned.withColumn(gaps, F.when(changed, all_gaps))
+    new = step.withColumn(name, F.when(changed, kept_text(body, F.col(gaps), mark)).otherwise(body))
+    columns = []
+    for c, there in zip(docs.columns, own.columns):
+        value = F.col(f"`{there}`")
+        if c == "text":
+            value = F.col(name)
+        elif c == "n_chars":
+            value = F.when(changed, F.length(name)).otherwise(value).cast(docs.schema["n_chars"].dataType)
+        columns.append(value.alias(c))
     return new.select(*columns)
 
 
@@ -188,3 +243,29 @@ def plain_spans(text: str | None, rules: tuple[Rule, ...]) -> list[tuple[str, in
     for rank, rule in enumerate(rules):
         out += [(m.start(), rank, m.end()) for m in re.finditer(rule.pattern, text or "", re.ASCII) if len(m.group(rule.group)) >= rule.least]
     return [(rules[rank].kind, start, end) for start, rank, end in sorted(out)]
+
+
+def spans_sql(rule: Rule, rank: int) -> str:
+    """A list of (start, rank, end) of the rule's matches in ``body``: each starts behind the gaps and matches before it."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    found, gaps = f"regexp_extract_all(body, {pattern}, 0)", f"regexp_split_to_array(body, {pattern})"
+    size = f"length(regexp_extract_all(body, {pattern}, {rule.group})[i])"
+    before = f"list_sum(list_transform({gaps}[:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[:i - 1], lambda x: length(x))), 0)"
+    one = f"{{'start': ({before})::BIGINT, 'rank': {rank}, 'end': ({before} + length({found}[i]))::BIGINT}}"
+    return f"list_transform(list_filter(range(1, len({found}) + 1), lambda i: {size} >= {rule.least}), lambda i: {one})"
+
+
+def report_sql(rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> str:
+    """The report in SQL."""
+    lists = ", ".join(f"{spans_sql(r, i)} AS s{i}" for i, r in enumerate(rules))
+    every = " || ".join(f"s{i}" for i in range(len(rules)))
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    text = f"array_to_string(list_transform({{0}}, lambda x: {kinds}[x.rank + 1] || ':' || x.start || ':' || x.end), ',')"
+    counts = ", ".join(f"len(s{i})::BIGINT AS n_{r.kind}" for i, r in enumerate(BASE_RULES))
+    base = f"list_filter(spans, lambda x: x.rank < {len(BASE_RULES)})"
+    return f"""WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents), found AS (SELECT doc_id, {lists} FROM bodies),
+sorted AS (SELECT *, list_sort({every}) AS spans FROM found)
+SELECT doc_id, {counts}, sha256(coalesce({text.format(base)}, '')) AS base_sha256, coalesce({text.format('spans')}, '') AS spans FROM sorted"""
+
+
+REPORT_SQL = report_sql()
