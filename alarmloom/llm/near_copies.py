@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .arrow import pieces
 from .common import checkpointed
 from .graph import connected_components
-from .simhash import SEED, fingerprint, shingle_hashes, with_roots
+from .simhash import SEED, fingerprint, rows_of, shingle_hashes, with_roots
 from .words import parts_of
 
 SHINGLE, LEAST = 5, 0.8
@@ -95,21 +95,17 @@ def copy_links(sets: list[np.ndarray], labels: np.ndarray, least: float = LEAST)
     return links
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__hash`` of the text and ``__key`` of doc_id and text."""
-    return docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__key", F.xxhash64("doc_id", "__hash"))
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """text_hash and shingles of the texts in ``wanted`` (doc_id, text_hash)."""
-    keys = wanted.select(F.xxhash64("doc_id", "text_hash").alias("__wanted"))
-    source = keyed(docs).select("__key", "__hash", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    source = source.join(keys, F.col("__key") == F.col("__wanted"), "left_semi").select("__hash", "text")
+    text = F.coalesce("text", F.lit(""))
+    keys = wanted.select(F.xxhash64("doc_id", "text_hash").alias("wanted"))
+    source = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    source = source.withColumn("key", F.xxhash64("doc_id", "text_hash")).join(keys, F.col("key") == F.col("wanted"), "left_semi").select("text_hash", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = [shingles(x).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__hash"), pa.array(found, pa.binary())], names=["text_hash", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(found, pa.binary())], names=["text_hash", "shingles"])
 
     return checkpointed(source.mapInArrow(work, "text_hash long, shingles binary").dropDuplicates(["text_hash"]))
 
@@ -140,7 +136,11 @@ def root_links(docs: DataFrame, texts: DataFrame, rooted: DataFrame, least: floa
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` with one row of each set that links of SimHash and of near copies join: that of the smallest doc_id (null last), then text hash."""
+    """``docs`` with one row of each set that links of SimHash and of near copies join: that of the smallest doc_id (null last), then text hash.
+
+    Texts without words (null, empty, white space) are one set; long texts count whole. Of
+    repeated rows one stays. An empty table gives no rows; columns may have any names.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id"))
     same = (F.any_value(c).alias(c) for c in ("fingerprint", "size", "bands"))
     texts = checkpointed(with_sketches(docs).groupBy("text_hash").agg(first.alias("least"), *same))
@@ -148,7 +148,4 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rooted = checkpointed(with_roots(checkpointed(points)))
     joined = connected_components(root_links(docs, texts, rooted, least)).select("node", F.col("root").alias("top"))
     sets = rooted.join(joined, F.col("root") == F.col("node"), "left").groupBy(F.coalesce("top", "root").alias("top")).agg(F.min("first").alias("first"))
-    kept = sets.select(F.col("first.least.doc_id").alias("__doc_id"), F.col("first.text_hash").alias("__text_hash"))
-    kept = kept.withColumn("__kept", F.xxhash64("__doc_id", "__text_hash"))
-    same = (F.col("__key") == F.col("__kept")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__hash") == F.col("__text_hash"))
-    return keyed(docs).join(kept, same, "left_semi").dropDuplicates(["__key", "doc_id", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows_of(docs, sets.select("first.least.doc_id", "first.text_hash"))

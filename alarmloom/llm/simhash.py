@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, join_spread, shuffle_partitions, temp_names
 from .graph import connected_components
 from .words import parts_of
 
@@ -30,6 +30,8 @@ BITS, MOST, SHINGLE, SEED = 64, 4, 4, 42
 #: Exponents of the code's check functions, and the number of code words with them: see ``code_words``.
 CODES = ((7, (0, 1)), (10, (0, 1, 9)), (16, (0, 1, 9, 5)))
 PER_ANCHOR = 256
+#: Fingerprints along a side of a cell.
+SIDE = 1 << 14
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -179,18 +181,79 @@ def anchor_links(points: np.ndarray, home: np.ndarray, most: int = MOST) -> tupl
     return points[moved], points[label[moved]]
 
 
-def near_links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
-    """Links (a, b) between distinct ``fingerprint`` values that join the same sets as all pairs within ``most`` bits."""
+def mixed(values: np.ndarray) -> np.ndarray:
+    x = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def anchor_sizes(spread: DataFrame, words, most: int, side: int) -> dict[int, tuple[int, int]]:
+    """Blocks of those at home and of all for each anchor with more than ``side`` fingerprints; a row an anchor at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, every = np.zeros(len(words.value), np.int64), np.zeros(len(words.value), np.int64)
+        for _, anchor, own in sent_batches(batches, words.value, most):
+            home += np.bincount(anchor[own], minlength=len(home))
+            every += np.bincount(anchor, minlength=len(every))
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(home[some]), pa.array(every[some])], names=["anchor", "home", "every"])
+
+    counts = spread.mapInArrow(count, "anchor int, home long, every long").groupBy("anchor").agg(F.sum("home").alias("home"), F.sum("every").alias("every"))
+    return {r.anchor: (-(-r.home // side), -(-r.every // side)) for r in counts.where((F.col("every") > side) & (F.col("home") > 0)).collect()}
+
+
+def sent_batches(batches: Iterator[pa.RecordBatch], words: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprint, anchor, whether it belongs there) of what is sent, in runs of bounded size."""
+    for batch in batches:
+        values = batch.column("fingerprint").to_numpy(zero_copy_only=False)
+        for k in range(0, len(values), 4096):
+            part = values[k : k + 4096].view(np.uint64)
+            row, anchor, home = sent(part, words, most)
+            yield part[row], anchor, home
+
+
+def cells(points: np.ndarray, anchor: np.ndarray, home: np.ndarray, blocks: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, fingerprint and whether it is at home, for what is sent to anchors.
+
+    An anchor is one cell, unless it is in ``blocks``: then those at home are dealt to rows and all to
+    columns by hash, and each row of blocks meets each column in a cell of its own.
+    """
+    cell, out, own = [anchor.astype(np.int64) << 32], [points], [home]
+    hot = np.isin(anchor, np.fromiter(blocks, np.int64, len(blocks)))
+    if hot.any():
+        cell, out, own = [cell[0][~hot]], [points[~hot]], [home[~hot]]
+        for a in np.unique(anchor[hot]):
+            here = anchor == a
+            p, is_home, (high, wide) = points[here], home[here], blocks[int(a)]
+            hashed = mixed(p)
+            i, j = (hashed % np.uint64(high)).astype(np.int64), (hashed // np.uint64(high) % np.uint64(wide)).astype(np.int64)
+            base = int(a) << 32
+            for column in range(wide):
+                cell.append(base + (i[is_home] << 16) + column)
+                out.append(p[is_home])
+                own.append(np.ones(int(is_home.sum()), bool))
+            for row in range(high):
+                other = ~(is_home & (i == row))
+                cell.append(base + (row << 16) + j[other])
+                out.append(p[other])
+                own.append(np.zeros(int(other.sum()), bool))
+    return np.concatenate(cell), np.concatenate(out), np.concatenate(own)
+
+
+def near_links(fingerprints: DataFrame, most: int = MOST, side: int = SIDE) -> DataFrame:
+    """Links (a, b) between distinct ``fingerprint`` values that join the same sets as all pairs within ``most`` bits.
+
+    An anchor to which more than ``side`` fingerprints are sent is compared in several cells of
+    about ``side`` times ``side``, so no task holds a whole hot anchor.
+    """
     spark, n = fingerprints.sparkSession, fingerprints.count()
     words = spark.sparkContext.broadcast(anchors(n))  # 2 ** 16 words at most
+    spread = fingerprints.select("fingerprint").repartition(shuffle_partitions(spark))
+    blocks = spark.sparkContext.broadcast(anchor_sizes(spread, words, most, side))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column("fingerprint").to_numpy(zero_copy_only=False)
-            for k in range(0, len(values), 4096):
-                part = values[k : k + 4096].view(np.uint64)
-                row, anchor, home = sent(part, words.value, most)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int32()), pa.array(part[row].view(np.int64)), pa.array(home)], names=["anchor", "fingerprint", "home"])
+        for points, anchor, home in sent_batches(batches, words.value, most):
+            cell, out, own = cells(points, anchor, home, blocks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(out.view(np.int64)), pa.array(own)], names=["cell", "fingerprint", "home"])
 
     def link(table: pa.Table) -> pa.Table:
         points = table.column("fingerprint").to_numpy()
@@ -198,8 +261,7 @@ def near_links(fingerprints: DataFrame, most: int = MOST) -> DataFrame:
         a, b = anchor_links(points[order].view(np.uint64), table.column("home").to_numpy(zero_copy_only=False)[order], most)
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
-    spread = fingerprints.repartition(shuffle_partitions(spark)).mapInArrow(send, "anchor int, fingerprint long, home boolean")
-    return spread.groupBy("anchor").applyInArrow(link, "a long, b long")
+    return spread.mapInArrow(send, "cell long, fingerprint long, home boolean").groupBy("cell").applyInArrow(link, "a long, b long")
 
 
 def components(prints: DataFrame, most: int = MOST) -> DataFrame:
@@ -210,16 +272,17 @@ def components(prints: DataFrame, most: int = MOST) -> DataFrame:
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reached over links, for each document.
 
-    Texts without words have fingerprint zero and are linked like any others.
-    Equal fingerprints are one point of the search, so copies cost nothing there.
-    A doc_id that is null is never a component's; a component of nothing else has null.
+    Texts without words (null, empty, white space) have fingerprint zero and are linked like any others; long
+    texts are hashed whole. Equal fingerprints are one point of the search, so copies cost nothing there.
+    A doc_id that is null is never a component's; a component of nothing else has null. An empty table gives no rows;
+    other columns of ``docs`` are not looked at.
     """
     prints = checkpointed(with_fingerprints(docs).select("doc_id", "fingerprint"))
     points = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    joined = with_roots(points)
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_point = joined.join(least, "root").select(F.col("fingerprint").alias("point"), "component_id")
-    out = prints.join(of_point, F.col("fingerprint") == F.col("point"))
+    joined = checkpointed(with_roots(points))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "top")
+    of_point = checkpointed(join_spread(joined, least, "root", "top").select(F.col("fingerprint").alias("point"), "component_id"))
+    out = join_spread(prints, of_point, "fingerprint", "point")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -230,11 +293,23 @@ def with_roots(points: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (null last), then text hash."""
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then text hash.
+
+    Texts without words are one component. Of repeated rows one stays. An empty table gives no rows;
+    columns may have any names.
+    """
     prints = checkpointed(with_fingerprints(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash"))
     points = checkpointed(prints.groupBy("fingerprint").agg(first.alias("first")))
-    kept = with_roots(points).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__doc_id"), F.col("first.text_hash").alias("__text_hash"))
-    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__hash") == F.col("__text_hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = with_roots(points).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    return rows_of(docs, kept)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_hash) of ``kept``."""
+    own, key, doc_id, wanted, kept_hash = temp_names(docs, "own_hash", "own_key", "kept_doc", "kept_key", "kept_hash")
+    asked = kept.select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(kept_hash)).withColumn(wanted, F.xxhash64(doc_id, kept_hash))
+    # the key never is null, so rows without a doc_id find theirs by an equality too
+    keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(key, F.xxhash64("doc_id", own))
+    same = (F.col(key) == F.col(wanted)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(own) == F.col(kept_hash))
+    return keyed.join(asked, same, "left_semi").dropDuplicates([key, "doc_id", own]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -694,6 +694,53 @@ def test_anchors_lose_no_link(code):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected))
 
 
+def test_hot_anchors_are_compared_in_cells(spark):
+    from alarmloom.llm.simhash import components
+
+    rng, hot = np.random.default_rng(6), 0x0123456789ABCDEF
+    prints = {hot} | {hot ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 8), replace=False)) for _ in range(400)} | {int(x) for x in rng.integers(0, 1 << 63, 50)}
+    prints = sorted(prints)
+    expected = brute_components(list(range(len(prints))), prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    for side in (7, 40, 1 << 14):
+        from alarmloom.llm.graph import connected_components
+        from alarmloom.llm.simhash import near_links
+
+        root = dict(map(tuple, connected_components(near_links(frame, 4, side)).collect()))
+        groups = defaultdict(set)
+        for p, c in zip(signed, expected):
+            groups[root.get(p, p)].add(c)
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(expected))
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_spread_join_of_a_hot_key(spark):
+    from alarmloom.llm.common import join_spread
+
+    big = [(1, i) for i in range(300)] + [(k, k) for k in range(2, 40)] + [(None, 5)] * 200 + [(77, 1)] * 150
+    small = [(k, f"v{k}") for k in range(30)]
+    frame = spark.createDataFrame(big, "hot_key int, is_hot int").repartition(3)
+    other = spark.createDataFrame(small, "k int, v string")
+    names = dict(small)
+    for how in ("inner", "left"):
+        got = join_spread(frame, other, "hot_key", "k", how)
+        want = Counter((k, i, k if k in names else None, names.get(k)) for k, i in big if how == "left" or k in names)
+        assert Counter(map(tuple, got.select("hot_key", "is_hot", "k", "v").collect())) == want
+
+
+def test_dropping_copies_keeps_columns_of_any_name(spark):
+    from alarmloom.llm.near_copies import drop_near_copies
+    from alarmloom.llm.simhash import drop_near_duplicates
+
+    names = ("own_hash", "own_key", "kept_doc", "kept_key", "kept_hash", "fingerprint", "text_hash", "root", "__hash", "__doc_id")
+    df = spark.createDataFrame([(i, "a b c d e f " + "gh"[i % 2] * 30, *(f"{n}{i}" for n in names)) for i in (4, 3, 6, 5)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for drop in (drop_near_duplicates, drop_near_copies):
+        out = drop(df)
+        assert out.columns == df.columns
+        assert sorted(tuple(r) for r in out.collect()) == sorted((i, *tuple(r)[1:]) for i in (3, 4) for r in df.collect() if r.doc_id == i)
+
+
 def test_components_of_a_long_chain(spark):
     from alarmloom.llm.graph import connected_components
 
