@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import Rows, pieces
@@ -20,8 +20,8 @@ class Limits:
     """What one sequence may hold."""
 
     tokens: int = 2048
-    segments: int = 512
-    loss_tokens: int = 2048
+    segments: int = 10
+    loss_tokens: int = 2016
 
 
 @dataclass(frozen=True)
@@ -65,13 +65,17 @@ class Window:
         self.held[k], self.vectors[k] = piece, (piece.length, 1, piece.loss)
         self.count += 1
 
-    def fill(self) -> list[Piece]:
-        """The pieces of one sequence: each time the one that fits and whose share of the limits points most along what is left."""
+    def fill(self) -> tuple[list[Piece], str]:
+        """The pieces of one sequence: each time the one that fits and whose share of the limits points most along
+        what is left. And what closed it: the first limit that each waiting piece breaks, or that none waits."""
         left, chosen = self.limits.copy(), []
         while self.count:
-            fits = (self.vectors <= left).all(axis=1) & (self.vectors[:, 1] > 0)
+            here = self.vectors[:, 1] > 0
+            over = self.vectors > left
+            fits = here & ~over.any(axis=1)
             if not fits.any():
-                break
+                broken = over[here]
+                return chosen, next((name for name, by in zip(LIMITS, broken.T) if by.all()), "mixed")
             along = self.vectors @ (left / self.limits**2)
             k = int(np.argmax(np.where(fits, along, -1.0)))
             chosen.append(self.held[k])
@@ -79,64 +83,74 @@ class Window:
             self.held[k], self.vectors[k] = None, 0
             self.free.append(k)
             self.count -= 1
-        return chosen
+        return chosen, "end"
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("input_ids", pa.binary()), ("loss_tokens", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: What a sequence may be closed by; "mixed" where waiting pieces break different limits, "end" where none waits.
+LIMITS = ("tokens", "segments", "loss_tokens")
+OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("input_ids", pa.binary()), ("loss_tokens", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("closed_by", pa.string())])
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Limits(), window: int = 512, loss_column: str | None = None) -> DataFrame:
-    """Packs all documents into sequences within ``limits``; one row a piece, with its ids.
+def first_line(text: Column) -> Column:
+    """What stands before the first line break, as the prompt of a document; no text without one has a prompt."""
+    return F.when(F.contains(text, F.lit("\n")), F.substring_index(text, "\n", 1)).otherwise(F.lit(""))
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Limits = Limits(), window: int = 512, loss_column: str | None = None, prompt: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Packs all documents into sequences within ``limits``; one row a piece, with its ids and what closed its sequence.
 
     A document's ids are those of the library for the whole text (null: empty),
     then ``end_id``, so an empty text is one id long. Documents longer than a
-    sequence are cut. The last ``loss_column`` ids of a document bear loss (null:
-    none; no column: all of them). Pieces of full length make sequences of their own;
+    sequence are cut, whatever their length. The last ``loss_column`` ids of a document bear loss (null:
+    none); or else all but as many as ``prompt`` of the text has ids; or else all of them. Pieces of full length make sequences of their own;
     the others wait in a window of ``window`` to twice as many pieces until
     sequences are filled from it. Each task packs what it reads and ends with at
     most a few sequences that are not full, so nothing is shuffled and no group of
     rows matters; sequence_id holds the task's number in its upper half. Every
-    id lies in exactly one piece. Repeated rows are packed each for itself; an
-    empty table gives no rows.
+    id lies in exactly one piece. Repeated rows are packed each for itself; a null doc_id stays null; an
+    empty table gives no rows; other columns are not looked at.
     """
+    text = F.coalesce("text", F.lit(""))
     loss = F.col(loss_column).cast("long") if loss_column else F.lit(None).cast("long")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), loss.alias("loss"))
-    all_bear = loss_column is None
+    asked = prompt(text) if prompt else F.lit("")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), loss.alias("loss"), asked.alias("prompt"))
+    counted = loss_column is not None
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
         waiting, rows = Window(limits, window), Rows(OUT)
         next_id = TaskContext.get().partitionId() << 32
 
-        def emit(sequence: list[Piece]) -> None:
+        def emit(sequence: list[Piece], closed_by: str) -> None:
             nonlocal next_id
             offset = 0
             for p in sequence:
-                rows.add((p.doc_id, p.start, p.length, p.ids, p.loss, p.doc_tokens, next_id, offset), len(p.ids))
+                rows.add((p.doc_id, p.start, p.length, p.ids, p.loss, p.doc_tokens, next_id, offset, closed_by), len(p.ids))
                 offset += p.length
             next_id += 1
 
         for batch in pieces(batches, "text"):
-            for doc_id, text, bear in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, bear, unmasked in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = own.ids(text) + end
-                for piece in cut(doc_id, ids, len(ids) // 4 if all_bear else max(0, bear or 0), limits):
+                n = len(ids) // 4
+                for piece in cut(doc_id, ids, max(0, bear or 0) if counted else n - len(own.ids(unmasked)) // 4, limits):
                     if piece.length == limits.tokens:
-                        emit([piece])
+                        emit([piece], LIMITS[0])
                     else:
                         waiting.add(piece)
                         while waiting.count >= 2 * window:
-                            emit(waiting.fill())
+                            emit(*waiting.fill())
                     if rows.full:
                         yield rows.take()
         while waiting.count:
-            emit(waiting.fill())
+            emit(*waiting.fill())
             if rows.full:
                 yield rows.take()
         yield rows.take()
 
-    return source.mapInArrow(pack, "doc_id long, start long, length long, input_ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long")
+    return source.mapInArrow(pack, "doc_id long, start long, length long, input_ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long, closed_by string")
 
 
 def packed_digests(packed: DataFrame) -> DataFrame:
     """The pieces of ``pack_documents`` with a checksum in place of their ids."""
-    return packed.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+    return packed.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens", "closed_by")

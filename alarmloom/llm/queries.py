@@ -32,9 +32,9 @@ def op3_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import vocabulary
-    from .packing import pack_documents, packed_digests
+    from .packing import first_line, pack_documents, packed_digests
 
-    return packed_digests(pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1))
+    return packed_digests(pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, prompt=first_line))
 
 
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

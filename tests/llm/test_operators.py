@@ -192,8 +192,37 @@ def test_dot_product_rule_fills_sequences():
     window = Window(Limits(10, 3, 10), 8)
     for i, n in enumerate((6, 5, 4, 3, 2)):
         window.add(Piece(i, 0, b"\0" * 4 * n, n, n))
-    assert [p.length for p in window.fill()] == [6, 4]
-    assert sorted(p.length for p in window.fill()) == [2, 3, 5]
+    first, closed = window.fill()
+    assert [p.length for p in first] == [6, 4] and closed == "tokens"
+    rest, closed = window.fill()
+    assert sorted(p.length for p in rest) == [2, 3, 5] and closed == "end"
+
+
+def test_each_limit_closes_some_sequence(spark):
+    from alarmloom.llm.bpe import vocabulary
+    from alarmloom.llm.packing import Limits, first_line, pack_documents
+
+    plain, rng = library("word_bpe_49k.json"), random.Random(9)
+    made = [" ".join(rng.choices(["house", "tree", "water"], k=rng.randint(1, 5))) for _ in range(60)]
+    made += ["\n".join(" ".join(rng.choices(["house", "tree"], k=n)) for n in (rng.randint(1, 30), rng.randint(1, 60))) for _ in range(80)]
+    made += ["long " * 5000 + "\n" + "tail " * 3000, "", None, "\n", "\nabc"]
+    df = spark.createDataFrame(list(enumerate(made)) + [(3, made[3]), (None, "x\ny")], "doc_id long, text string")
+    limits = Limits(100, 5, 80)
+    out = pack_documents(df, vocabulary("word_bpe_49k.json"), 1, limits, window=16, prompt=first_line).collect()
+    assert {"tokens", "segments", "loss_tokens"} <= {r.closed_by for r in out}
+    sums = defaultdict(lambda: [0, 0, 0])
+    bears, places = Counter(), Counter()
+    for r in out:
+        for k, n in enumerate((r.length, 1, r.loss_tokens)):
+            sums[r.sequence_id][k] += n
+        bears[r.doc_id] += r.loss_tokens
+        places[r.doc_id] += r.length
+    assert all(a <= 100 and b <= 5 and c <= 80 for a, b, c in sums.values())
+    count = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    for i, t in enumerate(made):
+        times = 1 + (i == 3)
+        assert places[i] == times * (count(t or "") + 1)
+        assert bears[i] == times * (count(t or "") + 1 - (count(t.split("\n")[0]) if t and "\n" in t else 0))
 
 
 def test_token_files(spark, docs, empty, tmp_path):
