@@ -16,7 +16,7 @@ from alarmloom.llm.bpe import vocabulary
 from alarmloom.llm.common import ensure_checkpoint_dir, remove
 from alarmloom.llm.mixing import mixed_documents
 from alarmloom.llm.near_copies import drop_near_copies
-from alarmloom.llm.packing import pack_documents, packed_digests
+from alarmloom.llm.packing import first_line, pack_documents, packed_digests
 from alarmloom.llm.quality import keep_drawn
 from alarmloom.llm.secret_scan import redact
 
@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a packed sequence of at most 2048 tokens."""
-    return packed_digests(pack_documents(docs, vocabulary(VOCABULARY), END_ID))
+    """One row a piece of a packed sequence of at most 2048 tokens; all but a document's first line bears loss."""
+    return packed_digests(pack_documents(docs, vocabulary(VOCABULARY), END_ID, prompt=first_line))
 
 
 STAGES = [
