@@ -25,8 +25,8 @@ from .words import parts_of
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Shingles in a block of a bucket.
-BLOCK = 1 << 17
+#: Shingles and texts in a block of a bucket.
+BLOCK, TEXTS = 1 << 17, 256
 TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
 
 
@@ -121,7 +121,7 @@ def root_links(docs: DataFrame, texts: DataFrame, rooted: DataFrame, least: floa
     live = checkpointed(members.join(mixed, "bucket"))
     marks = (F.bit_xor(F.xxhash64("text_hash")).alias("x"), F.bit_xor(F.xxhash64("text_hash", F.lit(1))).alias("y"))
     each = live.groupBy("bucket").agg(F.count("*").alias("n"), *marks, F.sum("size").alias("total"))
-    once = checkpointed(each.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.ceil(F.min("total") / BLOCK).cast("long").alias("blocks")).select("bucket", "blocks"))
+    once = checkpointed(each.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.greatest(F.ceil(F.min("total") / BLOCK), F.ceil(F.min("n") / TEXTS)).cast("long").alias("blocks")).select("bucket", "blocks"))
     live = live.join(once, "bucket")
     wanted = texts.join(live.select("text_hash").distinct(), "text_hash").select("least.doc_id", "text_hash")
     cells = live.withColumn("i", F.pmod(F.xxhash64("text_hash", F.lit(2)), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -242,8 +242,38 @@ def test_token_files(spark, docs, empty, tmp_path):
     manifest = write_token_files(docs, str(tmp_path / "ids"), path)
     assert [x.tolist() for x in lookup(manifest, 7)] == [list(ids[7])]
     assert len(lookup(manifest, 0)) == 2 and lookup(manifest, 10**9) == []
-    assert read_token_files(manifest).count() == len(rows())
-    assert token_file_digests(empty, path).count() == 0
+    some = spark.createDataFrame([(7,), (0,), (0,), (3,)], "doc_id long")
+    assert Counter(r.doc_id for r in read_token_files(manifest, some).collect() if r.doc_id is not None) == {7: 1, 0: 2, 3: 1}
+    assert read_token_files(manifest, docs).count() == len(rows())
+    assert token_file_digests(empty, path).count() == 0 and write_token_files(empty, str(tmp_path / "none"), path).count() == 0
+    with pytest.raises(ValueError):
+        write_token_files(docs, str(tmp_path / "narrow"), path, end_id=70_000, width=2)
+
+
+def test_token_files_of_hot_and_long_documents(spark, tmp_path):
+    from alarmloom.llm.bpe import vocabulary
+    from alarmloom.llm.token_files import SLOT, Shard, lookup, read_token_files, token_file_digests, write_token_files
+
+    path, plain = vocabulary("byte_bpe_50k.json"), library("byte_bpe_50k.json")
+    made = [(5, "hot")] * 200 + [(5, f"other {i}") for i in range(30)] + [(i, "w " * i) for i in range(40)] + [(None, "none")] * 50 + [(99, "long text " * 100_000)]
+    df = spark.createDataFrame([(*r, "x") for r in made], "doc_id long, text string, place string").repartition(3)
+    count = {t: len(plain.encode(t, add_special_tokens=False).ids) + 1 for _, t in set(made)}
+    got = token_file_digests(df, path).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((d, count[t]) for d, t in made)
+    manifest = write_token_files(df, str(tmp_path / "ids"), path)
+    shards = manifest.orderBy("shard").collect()
+    assert sum(r.least <= 5 <= r.most for r in shards if r.least is not None) > 1 and max(r.entries for r in shards) < 200
+    assert len(lookup(manifest, 5)) == 231 and sum(len(x) for x in lookup(manifest, 99)) == count["long text " * 100_000]
+    # a slot whose fingerprint is spoilt is not found, so the read fails
+    broken = next(r for r in shards if r.least is not None).path.removeprefix("file://") + ".idx"
+    shard = Shard("file://" + broken.removesuffix(".idx"))
+    with open(broken, "r+b") as file:
+        file.seek(-SLOT.itemsize * len(shard.slots) - 8 * len(shard.cuts), 2)
+        spoilt = bytes([file.read(1)[0] ^ 1])
+        file.seek(-1, 1)
+        file.write(spoilt)
+    with pytest.raises(Exception, match="does not find"):
+        read_token_files(manifest, df).count()
 
 
 def test_perfect_hash_is_minimal_and_turns_strangers_away():
@@ -834,10 +864,25 @@ def test_top_k(spark):
         if q % 50 == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in ok if c != q and len(a) == len(b))[:5]
             expected += [(q, rank, c, -s) for rank, (s, c) in enumerate(scored, 1)]
-    assert listed(exact_top_k(df), "query_id", "rank", "vec_id", "score") == sorted(expected)
+    for blocks in (None, (3, 5)):
+        assert listed(exact_top_k(df, blocks=blocks), "query_id", "rank", "vec_id", "score") == sorted(expected)
     assert exact_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    from alarmloom.llm.topk import exact_top_k
+
+    table = [(0, [1e300, 2.0]), (1, [1e307, 0.0]), (2, [1e200, 5.0]), (3, [-1e200, 5.0]), (4, [3e9, 1.0]), (5, [0.5, 1.0]), (50, [1.0, 1.0])]
+    got = listed(exact_top_k(spark.createDataFrame(table, "vec_id long, embedding array<double>"), blocks=(2, 3)), "query_id", "rank", "vec_id", "score")
+    most = (1 << 63) - 1
+    scaled = {i: [int(np.floor(256 * x)) for x in v] for i, v in table if i != 1}
+    expected = []
+    for q in (0, 50):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(scaled[q], v)), -most - 1), most), i) for i, v in scaled.items() if i != q)[:5]
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    assert got == sorted(expected)
+
+
 # ------------------------------------------------------------ pipeline
 
 
