@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.storage import stored
 from .operators import baselines as B
 from .operators import episodes as E
 from .operators import features as X
@@ -72,13 +73,22 @@ def evaluate_retrieval(spark: SparkSession, out: str, settings: Settings, split:
     return out_rows.withColumns({"alarm_weight": F.lit(own.alarm_weight), "query_limit": F.lit(most).cast("long")})
 
 
-def validate_retrieval(spark: SparkSession, out: str, settings: Settings, results: str, most: int | None) -> None:
+def sources_of(out: str) -> dict[str, str]:
+    return {n: f"{out}/{n}.parquet" for n in ("events", "incidents", "incident_events")}
+
+
+def validate_retrieval(spark: SparkSession, out: str, settings: Settings, results: str, most: int | None, diagnostics_only: bool = False) -> None:
+    """Writes the measures of the whole grid and prints their short form; ``diagnostics_only`` prints and writes nothing."""
     own = settings.retrieval
     combos = [(v, h) for h in own.future_horizon_hours_candidates for v in (X.ALARM_VERSION, X.COMBINED_VERSION)]
     metrics = evaluate_retrieval(spark, out, settings, "validation", combos, own.relevance_threshold_candidates, most)
+    metrics = stored(metrics)
     A.check_validation(metrics)
+    print(R.diagnostics(metrics).toPandas().to_csv(index=False), end="")  # a row a setting
+    if diagnostics_only:
+        return
     A.write_metrics(metrics, f"{results}/retrieval_validation_results.csv")
-    A.write_json({"settings": asdict(settings), "is_complete": most is None, "generated_at": A.checked_time(datetime.now(UTC))}, f"{results}/retrieval_validation.metadata.json")
+    A.write_json(A.result_metadata(metrics, sources_of(out), asdict(own), "validation", datetime.now(UTC), query_limit=most, is_complete=most is None), f"{results}/retrieval_validation.metadata.json")
 
 
 def test_retrieval(spark: SparkSession, out: str, settings: Settings, results: str) -> None:
@@ -86,8 +96,11 @@ def test_retrieval(spark: SparkSession, out: str, settings: Settings, results: s
     if own.selected_feature_version is None:
         raise ValueError("retrieval has no selected settings")
     metrics = evaluate_retrieval(spark, out, settings, "test", [(own.selected_feature_version, own.future_horizon_hours)], (own.relevance_threshold,))
+    metrics = stored(metrics)
     A.check_locked_test(metrics, "selection_split")
     A.write_metrics(metrics, f"{results}/retrieval_test_results.csv")
+    chosen = {"feature_version": own.selected_feature_version, "future_horizon_hours": own.future_horizon_hours, "relevance_threshold": own.relevance_threshold}
+    A.write_json(A.result_metadata(metrics, sources_of(out), asdict(own), "test", datetime.now(UTC), selected=chosen), f"{results}/retrieval_test.metadata.json")
 
 
 def test_forecast(spark: SparkSession, out: str, settings: Settings, results: str) -> None:
@@ -106,7 +119,10 @@ def test_forecast(spark: SparkSession, out: str, settings: Settings, results: st
     A.write_metrics(metrics, f"{results}/forecast_test_results.csv")
     A.write_metrics(Y.support_group_metrics(per_label, groups), f"{results}/forecast_test_support_groups.csv")
     A.write_metrics(Y.scope_profile(predicted, "test"), f"{results}/forecast_test_scopes.csv")
-    A.write_json(A.model_json(labels, own.minimum_machine_train_samples, own.minimum_transition_train_samples), f"{results}/forecast_model.json")
+    model = A.model_json(labels, own.minimum_machine_train_samples, own.minimum_transition_train_samples)
+    A.write_json(model, f"{results}/forecast_model.json")
+    about = {"model_version": model["model_version"], "alarm_code_count": len(model["alarm_codes"]), "transition_state_count": len(model["transitions"])}
+    A.write_json(A.result_metadata(metrics, sources_of(out), asdict(own), "test", datetime.now(UTC), model=about), f"{results}/forecast_test.metadata.json")
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -119,9 +135,10 @@ def build_parser() -> argparse.ArgumentParser:
         if name == "prepare-data":
             one.add_argument("source", help="CSV log with timestamp, alarm and serial")
         if name not in ("prepare-data", "prepare-incidents"):
-            one.add_argument("--results", default="data/results", help="folder of results")
+            one.add_argument("--results", "--output-dir", default="data/results", help="folder of results")
         if name == "validate-retrieval":
-            one.add_argument("--max-validation-queries", type=int, default=None)
+            one.add_argument("--max-validation-queries", type=int, default=None, help="evaluate the first queries only, for a quick look")
+            one.add_argument("--diagnostics-only", action="store_true", help="print the short measures as CSV and write nothing")
     return parser
 
 
@@ -134,7 +151,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "prepare-incidents":
         prepare_incidents(spark, args.data, settings)
     elif args.command == "validate-retrieval":
-        validate_retrieval(spark, args.data, settings, args.results, args.max_validation_queries)
+        validate_retrieval(spark, args.data, settings, args.results, args.max_validation_queries, args.diagnostics_only)
     elif args.command == "test-retrieval":
         test_retrieval(spark, args.data, settings, args.results)
     else:

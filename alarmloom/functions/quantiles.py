@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARGIN, ACCURACY = 0.002, 10_000
+MARGIN, ACCURACY, MOST_VALUES = 0.002, 10_000, 20_000
 
 
 def checked_quantile(q: float) -> float:
@@ -19,29 +19,64 @@ def checked_quantile(q: float) -> float:
 def upper_quantiles(df: DataFrame, columns: tuple[str, ...], q: float) -> dict[str, float] | None:
     """For each column the value at place ceil((n - 1) q) of its sorted values, from 0; None without rows.
 
-    A sketch gives bounds that are sure to hold the place; only the values between
-    them, about 4 in 1000 rows, are counted one by one.
+    A sketch gives bounds that are sure to hold the place; see ``value_at``.
     """
     checked_quantile(q)
     bounds = [F.percentile_approx(c, [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], ACCURACY).alias(c) for c in columns]
     first = df.agg(F.count(F.lit(1)).alias("n"), *bounds).first()
     if not first["n"]:
         return None
-    place, low, high = ceil((first["n"] - 1) * q), {c: first[c][0] for c in columns}, {c: first[c][1] for c in columns}
-    below = df.agg(*(F.count_if(F.col(c) < low[c]).alias(c) for c in columns)).first()
-    # one row for each column and value between the bounds
-    near = F.filter(F.array(*(F.when(F.col(c).between(low[c], high[c]), F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("value"))) for i, c in enumerate(columns))), lambda x: x.isNotNull())
-    counts = df.select(F.explode(near).alias("x")).groupBy("x").count().orderBy("x.i", "x.value")
-    out, seen = {}, {c: below[c] for c in columns}
-    for row in counts.toLocalIterator():
-        c = columns[row["x"]["i"]]
-        seen[c] += row["count"]
-        if seen[c] > place and c not in out:
-            out[c] = row["x"]["value"]
-    return out
-
-
-def upper_quantile_of_group(values, q: float):
-    """The same within a group, as an aggregate: the group's values are held sorted, so groups must be of bounded size."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.ceil((F.size(ordered) - 1) * F.lit(checked_quantile(q))).cast("int") + 1)
+    places = {c: ceil((first["n"] - 1) * q) for c in columns}
+    return {c: value_at(df, c, places[c], first[c][0], first[c][1]) for c in columns}
+
+
+def value_at(df: DataFrame, column: str, place: int, low: float, high: float) -> float:
+    """The value at ``place`` (from 0) of the sorted values of a column, which lies between ``low`` and ``high``.
+
+    While more than MOST_VALUES different values lie between the bounds, quantiles of
+    those rows bring them nearer; so no more than that go to the driver.
+    """
+    while True:
+        inside = df.where(F.col(column).between(low, high))
+        below, n, different = df.agg(F.count_if(F.col(column) < low), F.count_if(F.col(column).between(low, high)), F.approx_count_distinct(F.when(F.col(column).between(low, high), F.col(column)))).first()
+        if different <= MOST_VALUES:
+            break
+        share = (place - below) / n
+        low, high = inside.agg(F.percentile_approx(column, [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], ACCURACY)).first()[0]
+    seen = below
+    for value, count in inside.groupBy(F.col(column).cast("double").alias("value")).count().orderBy("value").collect():
+        seen += count
+        if seen > place:
+            return value
+    raise ValueError("the place is not between the bounds")
+
+
+def ranked_values(df: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """(keys, metric, value, n, below, total): how often each value of each column stands in its group, how many are below it, and all.
+
+    Counts come before any window, so a window sees a row a different value of its group.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counts = df.select(*keys, pairs.alias("x")).groupBy(*keys, "x.metric", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*keys, "metric")
+    before = group.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*keys, "metric", "value", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.sum("n").over(group).alias("total"))
+
+
+def at_place(place: Column, found: Column, name: str) -> Column:
+    """As an aggregate over ``ranked_values``: the value that stands at ``place`` among the rows where ``found`` holds."""
+    here = found & (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
+    return F.max(F.when(here, F.col("value"))).alias(name)
+
+
+def upper_place(q: float) -> Column:
+    return F.ceil((F.col("total") - 1) * F.lit(checked_quantile(q)))
+
+
+def interpolated(q: float, metric: str, name: str) -> tuple[list[Column], Column]:
+    """Aggregates over ``ranked_values`` and a column of them: the quantile of a metric, between neighbours in proportion."""
+    exact = (F.col("total") - 1) * F.lit(float(q))
+    own = F.col("metric") == metric
+    low, high, part = f"{name}_low", f"{name}_high", f"{name}_part"
+    sums = [at_place(F.floor(exact), own, low), at_place(F.ceil(exact), own, high), F.max(F.when(own, exact - F.floor(exact))).alias(part)]
+    return sums, (F.col(low) + (F.col(high) - F.col(low)) * F.col(part)).alias(name)

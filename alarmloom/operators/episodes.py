@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import interpolated, ranked_values
 from ..functions.scalars import EPISODE_SOURCE, episode_id, micros, ratio, time_of
 from .ingest import by_machine
 
@@ -78,19 +77,40 @@ def summarize(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
     )
 
 
+def episode_sizes(events: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
+    """(gap_minutes, event_count, duration_seconds, distinct_alarm_count) of the episodes of each gap limit, from one sort of the events.
+
+    The events are numbered for all limits side by side; each is then counted once a limit.
+    """
+    running = by_machine().rowsBetween(-(1 << 63), 0)
+    before = F.lag("split").over(by_machine())
+    cut = before.isNull() | (before != F.col("split"))
+    base = events.withColumn("us", micros("timestamp")).withColumn("cut", cut)
+
+    def number(gap: float) -> Column:
+        start = F.col("cut") | F.coalesce(F.col("gap_seconds") > checked_gap(gap) * 60, F.lit(False))
+        return F.sum(start.cast("long")).over(running)
+
+    numbers = F.array(*(F.struct(F.lit(float(g)).alias("gap_minutes"), number(g).alias("episode")) for g in gaps))
+    each = base.select("machine_id", "us", "alarm_code", numbers.alias("numbers")).select("machine_id", "us", "alarm_code", F.explode("numbers").alias("x"))
+    sizes = each.groupBy("x.gap_minutes", "machine_id", "x.episode").agg(F.count(F.lit(1)).alias("event_count"), F.min("us").alias("first"), F.max("us").alias("last"), F.size(F.collect_set("alarm_code")).cast("long").alias("distinct_alarm_count"))
+    return sizes.select("gap_minutes", "event_count", ((F.col("last") - F.col("first")) / F.lit(1e6)).alias("duration_seconds"), "distinct_alarm_count")
+
+
 def sensitivity_profile(events: DataFrame, gaps: tuple[float, ...] = (15.0, 30.0, 60.0)) -> DataFrame:
     """Episode counts and sizes for each gap limit; quantiles interpolate."""
-    sized = reduce(DataFrame.unionByName, (summarize(events, g) for g in gaps))
-    singles = F.count_if(F.col("event_count") == 1)
-    return sized.groupBy("gap_minutes").agg(
-        F.count(F.lit(1)).alias("incident_count"),
-        singles.alias("singleton_incident_count"),
-        ratio(singles, F.count(F.lit(1))).alias("singleton_incident_share"),
-        F.percentile("event_count", 0.5).alias("median_event_count"),
-        F.percentile("event_count", 0.95).alias("p95_event_count"),
-        F.percentile("duration_seconds", 0.5).alias("median_duration_seconds"),
-        F.percentile("duration_seconds", 0.95).alias("p95_duration_seconds"),
-        F.avg("distinct_alarm_count").alias("mean_distinct_alarm_count"),
+    values = ranked_values(episode_sizes(events, gaps), ("gap_minutes",), ("event_count", "duration_seconds", "distinct_alarm_count"))
+    quantiles = [interpolated(q, f"{m}", f"{n}_{m}") for m in ("event_count", "duration_seconds") for n, q in (("median", 0.5), ("p95", 0.95))]
+    of_events, of_codes = F.col("metric") == "event_count", F.col("metric") == "distinct_alarm_count"
+    sums = values.groupBy("gap_minutes").agg(
+        F.max("total").alias("incident_count"),
+        F.coalesce(F.sum(F.when(of_events & (F.col("value") == 1), F.col("n"))), F.lit(0)).alias("singleton_incident_count"),
+        F.sum(F.when(of_codes, F.col("value") * F.col("n"))).alias("code_total"),
+        *(s for parts, _ in quantiles for s in parts),
+    )
+    return sums.select(
+        "gap_minutes", "incident_count", "singleton_incident_count", ratio("singleton_incident_count", "incident_count").alias("singleton_incident_share"),
+        *(column for _, column in quantiles), ratio("code_total", "incident_count").alias("mean_distinct_alarm_count"),
     )
 
 

@@ -17,6 +17,7 @@ from ..functions.scalars import f1, ratio
 GLOBAL, MACHINE, TRANSITION = "global_frequency_v1", "machine_frequency_v1", "transition_frequency_v1"
 #: Simpler models go first among equals.
 COMPLEXITY = {GLOBAL: 0, MACHINE: 1, TRANSITION: 2, "ovr_logistic_none_v1": 3, "ovr_logistic_balanced_v1": 3, "gru_none_v1": 4, "gru_balanced_capped_v1": 4}
+LOGISTIC, LOGISTIC_BALANCED, RECURRENT, RECURRENT_BALANCED = "ovr_logistic_none_v1", "ovr_logistic_balanced_v1", "gru_none_v1", "gru_balanced_capped_v1"
 GROUPS = ("rare", "medium", "common")
 
 
@@ -166,6 +167,12 @@ def predict(labels: DataFrame, model: str = TRANSITION, k: int = 5, least_machin
     return out.select(*found.columns, best.alias("top"))
 
 
+def predict_scored(labels: DataFrame, scores: DataFrame, k: int = 5) -> DataFrame:
+    """The frame of ``predict`` for a model that scores each episode itself: ``scores`` has (incident_id, alarm_code, score)."""
+    top = top_codes(scores, ("incident_id",), k)
+    return labels.select("incident_id", "machine_id", "split", "outcome_is_complete", F.lit("model").alias("baseline_scope")).join(top, "incident_id")
+
+
 def flat_predictions(predicted: DataFrame) -> DataFrame:
     return predicted.select("incident_id", "baseline_scope", F.explode("top").alias("t")).select("incident_id", "baseline_scope", "t.rank", "t.alarm_code", "t.score")
 

@@ -11,6 +11,8 @@ from .forecasting import complete_train, fit_vocabulary
 from .sequences import FIRST_TOKEN, encode, fit as fit_numbers
 
 MODES = ("none", "balanced_capped")
+#: Their first rows stand for padding and for machines that are not known: zero, and never learnt.
+PADDED = ("token", "machine")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -26,6 +28,8 @@ class Gru:
             "token": rng.normal(0, 0.1, (tokens, size)), "machine": rng.normal(0, 0.1, (machines, machine_size)), "wx": rng.normal(0, size**-0.5, (size, 3 * hidden)),
             "wh": rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)), "b": np.zeros(3 * hidden), "out": rng.normal(0, hidden**-0.5, (hidden + machine_size, codes)), "bias": np.zeros(codes),
         }
+        for name in PADDED:
+            self.p[name][0] = 0
         self.hidden = hidden
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
 
@@ -63,7 +67,8 @@ class Gru:
             g["wh"] += h.T @ into
             np.add.at(g["token"], ids[:, t], gate @ p["wx"].T)
             dh = np.where(live, own * z + into @ p["wh"].T, dh)
-        g["token"][0] = 0  # padding is never learnt
+        for name in PADDED:
+            g[name][0] = 0
         self.t += 1
         for k in p:
             self.m[k] = 0.9 * self.m[k] + 0.1 * g[k]

@@ -10,7 +10,7 @@ from datetime import datetime
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forecasting as Y
@@ -88,6 +88,43 @@ def events_metadata(events: DataFrame, source: str, settings: dict[str, Any], ge
     }
 
 
+def result_metadata(metrics: DataFrame, sources: dict[str, str], settings: dict[str, Any], split: str, generated: datetime, **more: Any) -> dict[str, Any]:
+    """What stands beside a result file: where it comes from, with which settings and code, and what it holds."""
+    return {
+        "git_commit": commit_of(),
+        "generated_at": checked_time(generated),
+        "evaluation_split": split,
+        "is_final_test": split == "test",
+        "sources": {name: {"path": path, "sha256": folder_sha256(path)} for name, path in sources.items()},
+        "settings": settings,
+        "result_rows": metrics.count(),
+        "schema": dict(metrics.dtypes),
+        **more,
+    }
+
+
+def folder_sha256(path: str) -> str | None:
+    """Of a file, or of the digests of a folder's data files by name; none for what is not on this machine."""
+    place = Path(path)
+    if place.is_file():
+        return file_sha256(place)
+    files = sorted(p for p in place.glob("*") if p.is_file() and not p.name.startswith((".", "_")))
+    return hashlib.sha256("".join(file_sha256(p) for p in files).encode()).hexdigest() if files else None
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A result file written by ``write_metrics``."""
+    return spark.read.csv(path, header=True, inferSchema=True)
+
+
+def evaluation_tables(spark: SparkSession, results: str) -> dict[str, DataFrame]:
+    """The locked results that an evaluation page shows, checked: one test row each, and all support groups."""
+    names = {"retrieval": "retrieval_test_results", "forecast": "forecast_test_results", "groups": "forecast_test_support_groups"}
+    found = {k: read_metrics(spark, f"{results}/{n}.csv") for k, n in names.items()}
+    check_evaluation(found["retrieval"], found["forecast"], found["groups"])
+    return found
+
+
 def check_validation(metrics: DataFrame) -> None:
     if {r[0] for r in metrics.select("selection_split").distinct().limit(3).collect()} != {"validation"}:
         raise ValueError("only validation results may be written here")

@@ -22,6 +22,7 @@ from .settings import Forecasting
 HOURS, SPLIT, K = 6.0, "test", 5
 LEAST_MACHINE, LEAST_TRANSITION, RARE_MOST, COMMON_LEAST = 200, 20, 49, 500
 MODELS = (Y.GLOBAL, Y.MACHINE, Y.TRANSITION)
+LEARNED = (Y.LOGISTIC, Y.LOGISTIC_BALANCED, Y.RECURRENT, Y.RECURRENT_BALANCED)
 
 
 class Forecast:
@@ -38,7 +39,18 @@ class Forecast:
     def groups(self) -> DataFrame:
         return Y.support_groups(Y.support_profile(self.labels), RARE_MOST, COMMON_LEAST)
 
+    def scores(self, model: str) -> DataFrame:
+        """Scores of a learned model, one of its four forms."""
+        from ..operators.linear import score_linear
+        from ..operators.recurrent import score_gru
+
+        if model in (Y.RECURRENT, Y.RECURRENT_BALANCED):
+            return score_gru(self.inputs.documents, self.labels, mode="none" if model == Y.RECURRENT else "balanced_capped")
+        return score_linear(self.inputs.episodes, self.inputs.documents, self.labels, class_weight="none" if model == Y.LOGISTIC else "balanced")
+
     def predicted(self, model: str = Y.TRANSITION) -> DataFrame:
+        if model in LEARNED:
+            return stored(Y.predict_scored(self.labels, self.scores(model), K))
         return stored(Y.predict(self.labels, model, K, LEAST_MACHINE, LEAST_TRANSITION))
 
     def per_label(self, model: str = Y.TRANSITION, split: str = SPLIT, predicted: DataFrame | None = None) -> DataFrame:
@@ -71,6 +83,14 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Y.select_model(metrics, 0.01))
 
 
+def selection_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation measures of all seven models, and which of them is selected."""
+    metrics = stored(Forecast(spark, sf_dir).per_split(MODELS + LEARNED, ("validation",)))
+    Y.check_selection(metrics)
+    chosen = Y.select_model(metrics, 0.01).select("model_version", F.lit(True).alias("selected"))  # one row
+    return rounded(metrics.join(chosen, "model_version", "left").withColumn("selected", F.coalesce("selected", F.lit(False))))
+
+
 def all_split_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Forecast(spark, sf_dir).per_split(MODELS, ("validation", SPLIT)))
 
@@ -277,5 +297,6 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHER |= {
     "linear_forecast": (linear, None),
     "gru_forecast": (gru, None),
+    "model_selection_of_seven": (selection_of_seven, None),
     "streaming_sessions": (streamed, f"WITH {O.episodes()} SELECT machine_id, split, start_time, end_time, event_count FROM inc"),
 }

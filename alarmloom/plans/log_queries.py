@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.storage import stored
+from ..functions.storage import shared_folder, stored
 from ..operators import baselines as B
 from ..operators import episodes as E
 from ..operators import ingest as I
 from ..operators import profiles as P
-from ..sources.events import table_events
+from ..sources.events import read_alarm_csv, table_events, write_alarm_csv
 from . import oracle_base as O
 
 LEAST_EPISODES = 150
@@ -20,6 +22,13 @@ def processed(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFram
     return I.processed_events(table_events(spark, sf_dir, dense))
 
 
+def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as a CSV log of several files in the shared folder and read back through its contract."""
+    path = f"{shared_folder(spark).rstrip('/')}/csv-log-{uuid.uuid4().hex}"
+    write_alarm_csv(table_events(spark, sf_dir), path)
+    return read_alarm_csv(spark, path)
+
+
 def episodes(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     return E.summarize(processed(spark, sf_dir, dense))
 
@@ -75,6 +84,7 @@ WITH_FLAGS = f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)}, {O.flags()}"
 #: name -> (query, SQL)
 LOG = {
     "load_events": (lambda s, d: table_events(s, d), f"WITH {O.events()} SELECT timestamp, alarm_code, machine_id, source_row FROM ev"),
+    "load_events_csv": (csv_events, f"WITH {O.events()} SELECT timestamp, alarm_code, machine_id, row_number() OVER (ORDER BY source_row) - 1 AS source_row FROM ev"),
     "processed_events": (processed, f"WITH {O.processed()} SELECT {PROCESSED_SQL} FROM proc"),
     "processed_events_dense": (lambda s, d: processed(s, d, True), f"WITH {O.processed(True)} SELECT {PROCESSED_SQL} FROM proc"),
     "duplicate_groups": (lambda s, d: P.duplicate_groups(table_events(s, d, True)), f"WITH {O.events(True)} SELECT timestamp, alarm_code, machine_id, count(*) AS duplicate_group_size FROM ev GROUP BY ALL HAVING count(*) > 1"),

@@ -15,5 +15,7 @@ def session(app: str = "alarmloom", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # stored frames that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return builder.config(map=settings | conf).getOrCreate()

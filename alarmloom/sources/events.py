@@ -38,24 +38,24 @@ def check_raw(raw: DataFrame) -> None:
         raise ContractError(f"rows that break the contract: {broken}")
 
 
-def normalized(raw: DataFrame, order: list) -> DataFrame:
-    """Events with names and types of the engine; source_row is the place in ``order``, from 0.
+def normalized(raw: DataFrame, parts: tuple[str, ...], line: str) -> DataFrame:
+    """Events with names and types of the engine; source_row is the place by ``parts``, then ``line``, from 0.
 
-    The places are made in two steps, each partition's rows on their own and the
-    partitions' totals before them, so that no task orders all rows.
+    The places are made in two steps, each part's rows on their own and the parts' totals before
+    them, so that no task orders all rows; only the totals, a row a part, go through one.
     """
-    part = raw.withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy(*order)
-    numbered = part.withColumn("__inside", F.row_number().over(inside) - 1)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = part.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    placed = numbered.join(F.broadcast(starts), "__part")  # a row a partition
+    inside = Window.partitionBy(*parts).orderBy(line)
+    numbered = raw.withColumn("__inside", F.row_number().over(inside) - 1)
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    starts = raw.groupBy(*parts).count().select(*parts, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    placed = numbered.join(starts, list(parts))
     return placed.select(parsed_time().alias("timestamp"), F.col("alarm").alias("alarm_code"), F.col("serial").alias("machine_id"), (F.col("__start") + F.col("__inside")).cast("long").alias("source_row"))
 
 
 def read_alarm_csv(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
     """Events of a CSV log with a header, all columns read as text; source_row is the line's number without the header, from 0.
 
+    Of several files, each with the same header, the lines of one follow those of the one before it by name.
     With ``validate`` broken rows raise at once, before anything lazy is returned.
     """
     header = spark.read.text(path).limit(1).first()
@@ -64,7 +64,15 @@ def read_alarm_csv(spark: SparkSession, path: str, validate: bool = True) -> Dat
     raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
     if validate:
         check_raw(raw.select(*RAW_COLUMNS))
-    return normalized(raw.withColumn("__line", F.monotonically_increasing_id()), [F.col("__line")])
+    # a block of a file is read from its start to its end by one task, so ids rise with its lines
+    lines = raw.select(*RAW_COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    return normalized(lines, ("__file", "__block"), "__line")
+
+
+def write_alarm_csv(events: DataFrame, path: str, files: int = 4) -> None:
+    """The events as a CSV log that ``read_alarm_csv`` reads back, in order of source_row over ``files`` files at most."""
+    raw = events.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"), F.col("alarm_code").alias("alarm"), F.col("machine_id").alias("serial"), "source_row")
+    raw.repartitionByRange(files, "source_row").sortWithinPartitions("source_row").drop("source_row").write.mode("overwrite").csv(path, header=True)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -302,13 +302,54 @@ def test_summaries():
     evidence = [{"incident_id": "c", "rank": 1, "similarity_score": 0.5, "shared_alarm_codes": ["98"], "future_alarm_codes": [], "future_horizon_hours": 6.0}]
     found = V.Investigation(observed, evidence, [{"rank": 1, "alarm_code": "11", "model_score": 0.25, "baseline_scope": "transition", "train_support": 20}])
     plain = V.template_summary(found)
-    assert "0.500" in plain.evidence[0][1] and "none" in plain.evidence[0][1] and "0.250" in plain.predictions[0]
+    assert "0.500" in plain.evidence[0][1] and "none" in plain.evidence[0][1] and "0.250" in plain.predictions[0] and not plain.used_fallback
+    two = V.Investigation(observed, [*evidence, {**evidence[0], "rank": 2, "incident_id": "d"}], [])
+    asked = []
+    cited = V.guarded_summary(two, lambda request: asked.append(request) or {"overview": "x", "cited_incident_ids": ["d"], "cited_alarm_codes": ["98"]}, "p")
+    assert [i for i, _ in cited.evidence] == ["d"] and {"task", "required_output"} <= set(asked[0]) and len(asked[0]["evidence"]) == 2
     good = V.guarded_summary(found, lambda _: {"overview": " fine ", "cited_incident_ids": ["c"], "cited_alarm_codes": ["11"]}, "p")
     assert (good.overview, good.generator, good.fallback_reason) == ("fine", "p", None)
     bad = V.guarded_summary(found, lambda _: {"overview": "x", "cited_incident_ids": ["z"], "cited_alarm_codes": []}, "p")
-    assert bad.fallback_reason == "GuardrailError" and bad.overview == plain.overview
+    assert bad.fallback_reason == "GuardrailError" and bad.overview == plain.overview and bad.used_fallback
     with pytest.raises(ValueError):
         V.Investigation([])
+    for facts, match, score in (
+        ({"event_count": 2}, {}, {}), ({"distinct_alarm_count": 0}, {}, {}), ({"gap_seconds": -1.0}, {}, {}), ({"gap_seconds": float("nan")}, {}, {}), ({"position": 2}, {}, {}), ({}, {"similarity_score": float("nan")}, {}),
+        ({}, {"similarity_score": 1.1}, {}), ({}, {"rank": 0}, {}), ({}, {"future_horizon_hours": 0.0}, {}), ({}, {}, {"baseline_scope": "other"}), ({}, {}, {"train_support": -1}), ({}, {}, {"rank": 0}),
+    ):
+        with pytest.raises(ValueError):
+            V.Investigation([{**observed[0], **facts}], [{**evidence[0], **match}], [{**found.predictions[0], **score}])
+
+
+def test_one_call_investigation(spark):
+    from alarmloom.plans.forecast_queries import Forecast, LEAST_MACHINE, LEAST_TRANSITION
+    from alarmloom.plans.log_queries import B as baselines
+
+    folder = "/root/testdata/sf0.001"
+    forecast = Forecast(spark, folder)
+    inputs = forecast.inputs
+    flagged = baselines.apply_flags(inputs.episodes, baselines.fit_global(inputs.episodes), baselines.fit_machines(inputs.episodes))
+    service = V.Investigator(flagged, inputs.events, inputs.documents, inputs.vectors(1.0), inputs.outcomes(6.0), forecast.labels, LEAST_MACHINE, LEAST_TRANSITION)
+    episode = flagged.where("split = 'test'").orderBy("start_time", "incident_id").first()
+    found = service.investigate(episode.incident_id, k=3)
+    assert len(found.observed) == episode.event_count and len(found.predictions) == 3
+    expected = V.retrieved_evidence(*V.online_results(inputs, "test", 3)).where(F.col("query_incident_id") == episode.incident_id).orderBy("rank").collect()
+    assert [(e["rank"], e["incident_id"]) for e in found.evidence] == [(r["rank"], r.incident_id) for r in expected]
+    assert all(e["end_time"] < episode.start_time for e in found.evidence)
+    assert V.template_summary(found).observed_facts and service.machine_ids() and service.options(episode.machine_id).count()
+    with pytest.raises(KeyError):
+        service.investigate("none")
+
+
+def test_csv_of_several_files(spark, tmp_path):
+    from alarmloom.sources.events import read_alarm_csv, write_alarm_csv
+
+    (tmp_path / "b.csv").write_text("timestamp,alarm,serial\n" + "".join(f"2019-02-21 10:00:{i:02d}.5,{i},4\n" for i in range(40)))
+    (tmp_path / "a.csv").write_text("timestamp,alarm,serial\n" + "".join(f"2019-02-20 10:00:{i:02d}.25,{100 + i},6\n" for i in range(3)))
+    got = read_alarm_csv(spark, str(tmp_path)).orderBy("source_row").collect()
+    assert [(r.source_row, r.alarm_code) for r in got] == list(enumerate([str(100 + i) for i in range(3)] + [str(i) for i in range(40)]))
+    write_alarm_csv(read_alarm_csv(spark, str(tmp_path)), str(tmp_path / "out"))
+    assert [tuple(r) for r in read_alarm_csv(spark, str(tmp_path / "out")).orderBy("source_row").collect()] == [tuple(r) for r in got]
 
 
 def test_csv_contract(spark, tmp_path):
@@ -380,7 +421,7 @@ def test_streaming_sessions_agree_with_the_batch_rule(spark, tmp_path):
     assert set(map(tuple, spark.table("sessions").select("machine_id", "start_time", "end_time", "event_count").collect())) == closed
 
 
-def test_jobs_end_to_end(spark, tmp_path):
+def test_jobs_end_to_end(spark, tmp_path, capsys):
     from alarmloom import cli
     from alarmloom.plans.settings import parse
 
@@ -397,13 +438,26 @@ def test_jobs_end_to_end(spark, tmp_path):
     cli.test_forecast(spark, out, settings, results)
     for name in ("retrieval_test_results.csv", "forecast_test_results.csv", "forecast_test_support_groups.csv", "forecast_model.json"):
         assert (tmp_path / "results" / name).stat().st_size
+    import json
+
+    from alarmloom.plans.artifacts import evaluation_tables
+
+    for name in ("retrieval_test", "forecast_test"):
+        about = json.loads((tmp_path / "results" / f"{name}.metadata.json").read_text())
+        assert about["is_final_test"] and about["result_rows"] == 1 and about["sources"]["events"]["sha256"] and about["generated_at"]
+    assert set(evaluation_tables(spark, results)) == {"retrieval", "forecast", "groups"}
+    cli.validate_retrieval(spark, out, settings, str(tmp_path / "none"), 20, diagnostics_only=True)
+    assert not (tmp_path / "none").exists() and "hit_at_5" in capsys.readouterr().out
 
 
-def test_entry_works_without_the_llm_folder():
+def test_entry_works_without_the_llm_folders(tmp_path):
+    import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__file__).resolve().parent.parent
-    hide = "import sys; sys.modules['alarmloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not [n for n in q if n.startswith('op')] and set(e.oracle_sql()) <= set(q) and len(q) > 60"
-    subprocess.run([sys.executable, "-c", hide], cwd=root, check=True)
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", "corpus_pipeline.py")])
+    check = "import __spark_entry__ as e; q = e.queries(); assert e.__file__.startswith(sys.argv[1]) and 'pipeline' not in q and not [n for n in q if n.startswith('op')] and set(e.oracle_sql()) <= set(q) and len(q) > 60"
+    subprocess.run([sys.executable, "-c", "import sys; " + check, str(copy)], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin"})
