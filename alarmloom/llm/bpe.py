@@ -36,6 +36,10 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: Longer words are worked out each time, so that the number of words bounds the memo's bytes.
+LONGEST = 64
+
+
 class Memo(dict):
     """word -> ids as bytes of unsigned 32-bit integers; words not yet known are worked out."""
 
@@ -44,7 +48,9 @@ class Memo(dict):
         self.find = find
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.find(word)
+        ids = self.find(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, text_of
+from .common import prefix_sums, temp_names, text_of
 
 LAW = "bytes"
 
@@ -46,13 +46,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
-    """Writes the documents as Parquet below ``path``, a folder for each shard.
+    """Writes the documents as Parquet below ``path``, a folder ``__shard=N`` for each shard.
 
-    Rows with the same doc_id and text are alike, so each takes one of their places.
+    Rows with the same doc_id and text are alike, so they go to one of their places. Null doc_ids and texts
+    are documents like others, long texts too; an empty table writes no shard. Columns of ``docs`` may have any names (one
+    named __shard stays, the folders' name then ends in another _).
     """
-    keys = ["doc_id", "text_hash"]
-    placed = balanced_shards(with_sizes(docs), n_shards)
-    places = placed.groupBy(*keys).agg(F.min(F.struct("shard", "slot")).alias("__place"))
-    tagged = docs.withColumn("text_hash", F.xxhash64(text_of()))
-    joined = tagged.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")))
-    joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("__place.shard").alias("__shard")).write.mode("overwrite").partitionBy("__shard").parquet(path)
+    shard, place, text_hash, doc_id, placed_hash, key, placed_key = temp_names(docs, "__shard", "place", "own_hash", "placed_doc", "placed_hash", "own_key", "placed_key")
+    placed = balanced_shards(with_sizes(docs), n_shards).select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(placed_hash), "shard", "slot")
+    places = placed.groupBy(doc_id, placed_hash).agg(F.min(F.struct("shard", "slot")).alias(place)).withColumn(placed_key, F.xxhash64(doc_id, placed_hash))
+    tagged = docs.withColumn(text_hash, F.xxhash64(text_of())).withColumn(key, F.xxhash64("doc_id", text_hash))
+    same = (F.col(key) == F.col(placed_key)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(text_hash) == F.col(placed_hash))
+    joined = tagged.join(places, same).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{place}.shard").alias(shard))
+    joined.write.mode("overwrite").partitionBy(shard).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow import pieces
 from .bpe import Encoder, encoder
+from .common import temp_names
 
 BOUNDARY = re.compile(r"(?<=\S)[ \n](?=\S)").finditer
 
@@ -94,21 +95,22 @@ def count_text(own: Encoder, text: str, chunk: int, overlap: int) -> tuple[int,
     return len(ids), chunks, widened
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int = 32_768, overlap: int = 1_024, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int = 8_192, overlap: int = 512, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` of each document with n_bytes, n_tokens, over_limit, n_chunks and n_widened.
 
     The count is that of the library for the whole text, without special tokens
-    added. A null text counts as empty: no bytes, no tokens. Rows are handled
+    added. A null text counts as empty: no bytes, no tokens; an empty table gives no rows; other columns are not looked at. Rows are handled
     one by one where they are read, so repeated rows and keys do not matter; no
     text is held but the one in work, and the ids of no more than two chunks.
     """
-    source = docs.select(*keys, F.coalesce("text", F.lit("")).alias("__text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"]
+    (body,) = temp_names(docs, "body")
+    source = docs.select(*keys, F.coalesce("text", F.lit("")).alias(body))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != body]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for batch in pieces(batches, "__text"):
-            texts = batch.column("__text")
+        for batch in pieces(batches, body):
+            texts = batch.column(body)
             got = [count_text(own, x, chunk, overlap) for x in texts.to_pylist()]
             columns = [batch.column(k) for k in keys]
             columns += [pc.binary_length(texts).cast(pa.int64())]

@@ -447,6 +447,17 @@ def test_written_shards_hold_all_rows(spark, docs, tmp_path):
             assert placed[r.doc_id, zlib.crc32((r.text or "").encode())] == r["__shard"]
 
 
+def test_written_shards_keep_columns_of_any_name(spark, tmp_path):
+    from alarmloom.llm.sharding import write_shards
+
+    names = ("text_hash", "own_hash", "place", "shard", "slot", "size", "__shard", "placed_doc", "own_key")
+    df = spark.createDataFrame([(i % 9 or None, f"text {i % 5}" if i % 7 else None, *(f"{n}{i}" for n in names)) for i in range(30)] + [(1, "long " * 200_000, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    write_shards(df, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(tuple, back.select(*(f"`{c}`" for c in df.columns)).collect())) == Counter(map(tuple, df.collect()))
+    write_shards(df.limit(0), str(tmp_path / "none"), 3)
+
+
 def water_filled(sizes):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
