@@ -591,7 +591,8 @@ def padded(text: bytes) -> bytes:
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``media``, a JPEG file that holds the bytes of the whole text (null: none), padded.
 
-    Equal texts give equal files. Rows are handled one by one where they are read.
+    Equal texts give equal files. Rows are handled one by one where they are read; a null doc_id stays null, an
+    empty table gives no rows, other columns are not looked at. A long text is one picture, so it takes some ten times its bytes in its task.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
@@ -608,7 +609,10 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads the files of ``store_media`` back: checksums of the payload and of the file, dimensions and thumbnail hashes."""
+    """Reads the files of ``store_media`` back: checksums of the payload and of the file, dimensions and thumbnail hashes.
+
+    One row a file, repeated ones too; an empty table gives no rows. A file that is null or not whole raises.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
     names = [x.split()[0] for x in schema.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -629,8 +633,10 @@ def media_features(media: DataFrame) -> DataFrame:
 def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
     """``media`` with width, height, the DC-only thumbnail (rows of pixels), its hash and an error for each JPEG file of ``column``.
 
-    A null or a file that is no baseline JPEG has nulls and the reason in ``media_error``.
+    A null or a file that is no baseline JPEG has nulls and the reason in ``media_error``. Repeated rows are
+    handled each for itself, an empty table gives no rows, and columns of the added names are replaced.
     """
+    media = media.drop("media_width", "media_height", "thumbnail", "thumbnail_width", "thumbnail_hash", "media_error")
     added = "media_width int, media_height int, thumbnail binary, thumbnail_width int, thumbnail_hash string, media_error string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
