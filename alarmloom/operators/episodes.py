@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import interpolated, ranked_values
 from ..functions.scalars import EPISODE_SOURCE, episode_id, micros, ratio, time_of
-from .ingest import by_machine
+from .ingest import by_block, in_blocks
 
 SUMMARY_COLUMNS = ("incident_id", "machine_id", "split", "incident_source", "is_ground_truth", "gap_minutes", "start_time", "end_time", "duration_seconds", "event_count", "distinct_alarm_count", "first_alarm_code", "last_alarm_code", "dominant_alarm_code", "duplicate_event_count")
 
@@ -18,30 +18,74 @@ def checked_gap(gap_minutes: float) -> float:
     return float(gap_minutes)
 
 
+def opened(events: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
+    """``in_blocks`` with the event's place in the machine's log (from 1) and, for limit i of ``gaps``, start_i, episode_i (from 0) and opening_i.
+
+    An episode starts with a machine's first event, a new split, or a gap above the limit (a gap of
+    just the limit stays). Inside a block that is seen in place. A row a block tells
+    how its first event differs from the block before and which episode is open at its end, and a
+    window over those rows carries places, numbers and openings across blocks, so that neither
+    a machine nor an episode is bound to one task.
+    """
+    limits = [checked_gap(g) * 60 for g in gaps]
+    blocks = in_blocks(events).withColumn("row", F.row_number().over(by_block())).withColumn("new_split", ~F.lag("split").over(by_block()).eqNullSafe(F.col("split")))
+
+    def long_gap(column: str, limit: float) -> Column:
+        return F.coalesce(F.col(column) > limit, F.lit(False))
+
+    inside = [(F.col("row") > 1) & (F.col("new_split") | long_gap("gap_seconds", limit)) for limit in limits]
+    ends = blocks.groupBy("machine_id", "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct("us", "source_row", "split", "gap_seconds"), "row").alias("first"),
+        F.max_by("split", "row").alias("last_split"),
+        *(F.max(F.when(s, F.struct("row", "us", "source_row"))).alias(f"last_{i}") for i, s in enumerate(inside)),
+        *(F.count_if(s).alias(f"starts_{i}") for i, s in enumerate(inside)),
+    )
+    order = Window.partitionBy("machine_id").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    cut = (F.row_number().over(order) == 1) | ~F.lag("last_split").over(order).eqNullSafe(F.col("first.split"))
+    placed = ends.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("cut", cut)
+    placed = placed.withColumns({f"opens_{i}": F.col("cut") | long_gap("first.gap_seconds", limit) for i, limit in enumerate(limits)})
+
+    def own(i: int) -> Column:
+        last = F.col(f"last_{i}")
+        late = F.struct(last["us"].alias("us"), last["source_row"].alias("source_row"), (F.col("before") + last["row"]).alias("place"))
+        return F.when(last.isNotNull(), late).when(F.col(f"opens_{i}"), F.struct(F.col("first.us"), F.col("first.source_row"), (F.col("before") + 1).alias("place")))
+
+    carried = placed.select(
+        "machine_id",
+        "block",
+        "before",
+        *(f"opens_{i}" for i in range(len(gaps))),
+        *(F.last(own(i), ignorenulls=True).over(earlier).alias(f"held_{i}") for i in range(len(gaps))),
+        *(F.coalesce(F.sum(F.col(f"starts_{i}") + F.col(f"opens_{i}").cast("long")).over(earlier), F.lit(0)).alias(f"numbers_{i}") for i in range(len(gaps))),
+    )
+    running = by_block().rowsBetween(Window.unboundedPreceding, 0)
+    joined = blocks.join(carried, ["machine_id", "block"], "left").withColumn("place", F.coalesce("before", F.lit(0)) + F.col("row"))
+    joined = joined.withColumns({f"start_{i}": F.when(F.col("row") > 1, s).otherwise(F.coalesce(f"opens_{i}", F.lit(True))) for i, s in enumerate(inside)})
+    found = {}
+    for i in range(len(gaps)):
+        found[f"episode_{i}"] = F.coalesce(f"numbers_{i}", F.lit(0)) + F.sum(F.col(f"start_{i}").cast("long")).over(running) - 1
+        found[f"opening_{i}"] = F.coalesce(F.last(F.when(F.col(f"start_{i}"), F.struct("us", "source_row", "place")), ignorenulls=True).over(running), F.col(f"held_{i}"))
+    return joined.select(*events.columns, "us", "place", *(f"start_{i}" for i in range(len(gaps))), *(c.alias(n) for n, c in found.items()))
+
+
 def mark_starts(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
-    """Adds is_incident_start: a machine's first event, a new split, or a gap above the limit (a gap of just the limit stays)."""
-    before = F.lag("split").over(by_machine())
-    start = before.isNull() | (before != F.col("split")) | F.coalesce(F.col("gap_seconds") > checked_gap(gap_minutes) * 60, F.lit(False))
-    return events.withColumn("us", micros("timestamp")).withColumn("is_incident_start", start)
+    """Adds is_incident_start."""
+    return opened(events, (gap_minutes,)).select(*events.columns, F.col("start_0").alias("is_incident_start"))
 
 
 def number_episodes(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
-    """Adds machine_episode (from 0 within the machine) and what names the episode; all windows share one sort."""
-    running = by_machine().rowsBetween(-(1 << 63), 0)
-    started = mark_starts(events, gap_minutes)
-    number = F.sum(F.col("is_incident_start").cast("long")).over(running) - 1
-    opening = F.last(F.when(F.col("is_incident_start"), F.struct("us", "source_row")), ignorenulls=True).over(running)
-    return started.withColumn("machine_episode", number).withColumn("__opening", opening)
+    """Adds us, place, machine_episode (from 0 within the machine) and opening, which names the episode."""
+    marks = (F.col("start_0").alias("is_incident_start"), F.col("episode_0").alias("machine_episode"), F.col("opening_0").alias("opening"))
+    return opened(events, (gap_minutes,)).select(*events.columns, "us", "place", *marks)
 
 
 def identify_events(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
     """Each event with its episode's id and its place in it, from 0."""
-    numbered = number_episodes(events, gap_minutes)
-    key = episode_id(F.col("machine_id"), F.col("split"), F.col("__opening.us"), F.col("__opening.source_row"), gap_minutes)
-    place = F.row_number().over(by_machine()) - 1
-    counted = numbered.withColumn("__place", place)
-    first = F.last(F.when(F.col("is_incident_start"), F.col("__place")), ignorenulls=True).over(by_machine().rowsBetween(-(1 << 63), 0))
-    return counted.withColumn("incident_id", key).withColumn("event_position", (F.col("__place") - first).cast("long")).drop("__opening", "__place", "us")
+    key = episode_id(F.col("machine_id"), F.col("split"), F.col("opening.us"), F.col("opening.source_row"), gap_minutes)
+    position = (F.col("place") - F.col("opening.place")).cast("long")
+    return number_episodes(events, gap_minutes).select(*events.columns, "is_incident_start", "machine_episode", key.alias("incident_id"), position.alias("event_position"))
 
 
 def event_mapping(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
@@ -49,7 +93,7 @@ def event_mapping(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
 
 
 def summarize(events: DataFrame, gap_minutes: float = 30.0) -> DataFrame:
-    """One row an episode. Grouping by machine and number keeps the machines where they are: no further shuffle."""
+    """One row an episode; its parts in several blocks are summed up before they are shuffled."""
     order = F.struct("us", "source_row")
     grouped = number_episodes(events, gap_minutes).groupBy("machine_id", "machine_episode").agg(
         F.first("split").alias("split"),
@@ -82,17 +126,8 @@ def episode_sizes(events: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
 
     The events are numbered for all limits side by side; each is then counted once a limit.
     """
-    running = by_machine().rowsBetween(-(1 << 63), 0)
-    before = F.lag("split").over(by_machine())
-    cut = before.isNull() | (before != F.col("split"))
-    base = events.withColumn("us", micros("timestamp")).withColumn("cut", cut)
-
-    def number(gap: float) -> Column:
-        start = F.col("cut") | F.coalesce(F.col("gap_seconds") > checked_gap(gap) * 60, F.lit(False))
-        return F.sum(start.cast("long")).over(running)
-
-    numbers = F.array(*(F.struct(F.lit(float(g)).alias("gap_minutes"), number(g).alias("episode")) for g in gaps))
-    each = base.select("machine_id", "us", "alarm_code", numbers.alias("numbers")).select("machine_id", "us", "alarm_code", F.explode("numbers").alias("x"))
+    numbers = F.array(*(F.struct(F.lit(float(g)).alias("gap_minutes"), F.col(f"episode_{i}").alias("episode")) for i, g in enumerate(gaps)))
+    each = opened(events, gaps).select("machine_id", "us", "alarm_code", F.explode(numbers).alias("x"))
     sizes = each.groupBy("x.gap_minutes", "machine_id", "x.episode").agg(F.count(F.lit(1)).alias("event_count"), F.min("us").alias("first"), F.max("us").alias("last"), F.size(F.collect_set("alarm_code")).cast("long").alias("distinct_alarm_count"))
     return sizes.select("gap_minutes", "event_count", ((F.col("last") - F.col("first")) / F.lit(1e6)).alias("duration_seconds"), "distinct_alarm_count")
 
@@ -117,8 +152,6 @@ def sensitivity_profile(events: DataFrame, gaps: tuple[float, ...] = (15.0, 30.0
 def transition_view(events: DataFrame) -> DataFrame:
     """Runs of one code within an episode: where each starts and ends and how often the code repeats."""
     identified = events if "event_position" in events.columns else identify_events(events)
-    from pyspark.sql import Window
-
     place = Window.partitionBy("machine_id", "incident_id").orderBy("event_position")
     changed = F.coalesce((F.lag("alarm_code").over(place) != F.col("alarm_code")).cast("long"), F.lit(1))
     runs = identified.withColumn("__change", changed).withColumn("run", F.sum("__change").over(place) - 1)

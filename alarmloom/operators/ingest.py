@@ -13,21 +13,71 @@ PROCESSED_COLUMNS = ("timestamp", "alarm_code", "machine_id", "source_row", "dup
 SPLITS = ("train", "validation", "test")
 
 
-def by_machine() -> Window:
-    return Window.partitionBy("machine_id").orderBy("us", "source_row")
+#: Time that one block of a machine's log spans, in microseconds: a day.
+BLOCK = 86_400_000_000
+
+
+def in_blocks(events: DataFrame) -> DataFrame:
+    """Adds us and block, and puts each block, a day of one machine, into one partition.
+
+    Windows go over blocks, so there are as many tasks as days of machines allow; what a block
+    needs of those before it is worked out from a row a block. Machine and time are
+    not null in a log that meets its contract; a row without them is a block of its own.
+    """
+    step = events.withColumn("us", micros("timestamp"))
+    return step.withColumn("block", F.floor(F.col("us") / F.lit(BLOCK)).cast("long")).repartition("machine_id", "block")
+
+
+def by_block() -> Window:
+    return Window.partitionBy("machine_id", "block").orderBy("us", "source_row")
+
+
+def with_earlier_blocks(events: DataFrame) -> DataFrame:
+    """``in_blocks`` with the machine's last time before the block, its number of distinct times before it, and that of its whole log."""
+    dealt = in_blocks(events)
+    ends = dealt.groupBy("machine_id", "block").agg(F.max("us").alias("end_us"), F.count_distinct("us").alias("times"))
+    machine = Window.partitionBy("machine_id")
+    earlier = machine.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "machine_id",
+        "block",
+        F.lag("end_us").over(machine.orderBy("block")).alias("__before_us"),
+        F.coalesce(F.sum("times").over(earlier), F.lit(0)).alias("__before_times"),
+        F.sum("times").over(machine).alias("__times"),
+    )
+    return dealt.join(carried, ["machine_id", "block"], "left")
+
+
+def duplicates_in_blocks(blocks: DataFrame) -> DataFrame:
+    same = Window.partitionBy("machine_id", "block", "timestamp", "alarm_code")
+    return blocks.withColumn("duplicate_group_size", F.count(F.lit(1)).over(same)).withColumn("is_exact_duplicate", F.col("duplicate_group_size") > 1)
+
+
+def gaps_in_blocks(blocks: DataFrame) -> DataFrame:
+    step = blocks.withColumn("__previous", F.coalesce(F.lag("us").over(by_block()), F.col("__before_us")))
+    return step.withColumn("previous_timestamp", time_of("__previous")).withColumn("gap_seconds", (F.col("us") - F.col("__previous")) / F.lit(1e6))
+
+
+def splits_in_blocks(blocks: DataFrame, train: float, validation: float, test: float) -> DataFrame:
+    if min(train, validation, test) <= 0 or not isclose(train + validation + test, 1.0):
+        raise ValueError("shares must be above zero and sum to one")
+    inside = F.dense_rank().over(Window.partitionBy("machine_id", "block").orderBy("us")) - 1
+    step = blocks.withColumn("__place", F.col("__before_times") + inside)
+
+    def cut(share: float):
+        return F.floor(F.col("__times").cast("double") * F.lit(share)).cast("long")
+
+    return step.withColumn("split", F.when(F.col("__place") < cut(train), "train").when(F.col("__place") < cut(train + validation), "validation").otherwise("test"))
 
 
 def mark_duplicates(events: DataFrame) -> DataFrame:
     """Adds the number of events that agree in time, code and machine, and whether it is above one."""
-    same = Window.partitionBy("machine_id", "timestamp", "alarm_code")
-    return events.withColumn("duplicate_group_size", F.count(F.lit(1)).over(same)).withColumn("is_exact_duplicate", F.col("duplicate_group_size") > 1)
+    return duplicates_in_blocks(in_blocks(events)).select(*events.columns, "duplicate_group_size", "is_exact_duplicate")
 
 
 def add_gaps(events: DataFrame) -> DataFrame:
     """Adds the time of the machine's event before and the seconds since then; null for its first."""
-    step = events.withColumn("us", micros("timestamp")).withColumn("previous_us", F.lag("us").over(by_machine()))
-    gap = (F.col("us") - F.col("previous_us")) / F.lit(1e6)
-    return step.withColumn("previous_timestamp", time_of("previous_us")).withColumn("gap_seconds", gap).drop("us", "previous_us")
+    return gaps_in_blocks(with_earlier_blocks(events)).select(*events.columns, "previous_timestamp", "gap_seconds")
 
 
 def assign_splits(events: DataFrame, train: float = 0.70, validation: float = 0.15, test: float = 0.15) -> DataFrame:
@@ -36,18 +86,7 @@ def assign_splits(events: DataFrame, train: float = 0.70, validation: float = 0.
     All events of one machine and time are in one split. Cuts are at the whole part of
     the product in binary doubles.
     """
-    if min(train, validation, test) <= 0 or not isclose(train + validation + test, 1.0):
-        raise ValueError("shares must be above zero and sum to one")
-    machine = Window.partitionBy("machine_id")
-    step = events.withColumn("us", micros("timestamp"))
-    step = step.withColumn("__place", F.dense_rank().over(machine.orderBy("us")) - 1)
-    step = step.withColumn("__times", F.max("__place").over(machine) + 1)
-
-    def cut(share: float):
-        return F.floor(F.col("__times").cast("double") * F.lit(share)).cast("long")
-
-    split = F.when(F.col("__place") < cut(train), "train").when(F.col("__place") < cut(train + validation), "validation").otherwise("test")
-    return step.withColumn("split", split).drop("us", "__place", "__times")
+    return splits_in_blocks(with_earlier_blocks(events), train, validation, test).select(*events.columns, "split")
 
 
 def split_boundaries(events: DataFrame) -> DataFrame:
@@ -70,6 +109,6 @@ def check_splits(events: DataFrame) -> None:
 
 
 def processed_events(events: DataFrame, train: float = 0.70, validation: float = 0.15, test: float = 0.15) -> DataFrame:
-    """All nine columns. One shuffle by machine serves every window."""
-    dealt = events.repartition("machine_id")
-    return assign_splits(mark_duplicates(add_gaps(dealt)), train, validation, test).select(*PROCESSED_COLUMNS)
+    """All nine columns. One shuffle into blocks serves every window."""
+    blocks = gaps_in_blocks(duplicates_in_blocks(with_earlier_blocks(events)))
+    return splits_in_blocks(blocks, train, validation, test).select(*PROCESSED_COLUMNS)

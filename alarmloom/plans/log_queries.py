@@ -22,6 +22,11 @@ def processed(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFram
     return I.processed_events(table_events(spark, sf_dir, dense))
 
 
+def ready(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    """Processed events, stored: the rules of episodes read them once for the ends of blocks and once for the rows."""
+    return stored(processed(spark, sf_dir, dense))
+
+
 def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events written as a CSV log of several files in the shared folder and read back through its contract."""
     path = f"{shared_folder(spark).rstrip('/')}/csv-log-{uuid.uuid4().hex}"
@@ -30,7 +35,7 @@ def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episodes(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return E.summarize(processed(spark, sf_dir, dense))
+    return E.summarize(ready(spark, sf_dir, dense))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,14 +104,14 @@ LOG = {
     "alarm_profile": (lambda s, d: P.alarm_profile(table_events(s, d)), f"WITH {O.events()} {ALARMS_SQL}"),
     "monthly_profile": (lambda s, d: P.monthly_profile(table_events(s, d)), f"WITH {O.events()} {MONTHS_SQL}"),
     "gap_threshold_profile": (lambda s, d: P.gap_threshold_profile(table_events(s, d), (1, 5, 15, 30, 60)), f"WITH {O.processed()} {GAPS_SQL}"),
-    "incident_starts": (lambda s, d: E.mark_starts(processed(s, d)).select("source_row", "is_incident_start"), f"WITH {O.processed()}, {O.numbered()} SELECT source_row, is_start AS is_incident_start FROM num"),
-    "incident_ids": (lambda s, d: E.identify_events(processed(s, d, True)).select("source_row", "machine_episode", "incident_id"), f"WITH {O.episodes(True)}, {O.MAPPING} SELECT source_row, machine_episode::BIGINT AS machine_episode, incident_id FROM mapped"),
-    "incident_event_mapping": (lambda s, d: E.event_mapping(processed(s, d)), f"WITH {O.episodes()}, {O.MAPPING} SELECT incident_id, source_row, event_position FROM mapped"),
+    "incident_starts": (lambda s, d: E.mark_starts(ready(s, d)).select("source_row", "is_incident_start"), f"WITH {O.processed()}, {O.numbered()} SELECT source_row, is_start AS is_incident_start FROM num"),
+    "incident_ids": (lambda s, d: E.identify_events(ready(s, d, True)).select("source_row", "machine_episode", "incident_id"), f"WITH {O.episodes(True)}, {O.MAPPING} SELECT source_row, machine_episode::BIGINT AS machine_episode, incident_id FROM mapped"),
+    "incident_event_mapping": (lambda s, d: E.event_mapping(ready(s, d)), f"WITH {O.episodes()}, {O.MAPPING} SELECT incident_id, source_row, event_position FROM mapped"),
     "incident_summary": (episodes, f"WITH {O.episodes()} SELECT {O.SUMMARY} FROM inc"),
     "incident_summary_dense": (lambda s, d: episodes(s, d, True), f"WITH {O.episodes(True)} SELECT {O.SUMMARY} FROM inc"),
     "dominant_alarm": (lambda s, d: episodes(s, d, True).select("incident_id", "dominant_alarm_code"), f"WITH {O.episodes(True)} SELECT incident_id, dominant_alarm_code FROM inc"),
-    "gap_sensitivity": (lambda s, d: E.sensitivity_profile(processed(s, d), GAPS), f"WITH {O.processed()}, {SENSITIVITY_BASE} {SENSITIVITY_SQL}"),
-    "transition_view": (lambda s, d: E.transition_view(processed(s, d, True)), f"WITH {O.episodes(True)}, {O.MAPPING}{RUNS_SQL}"),
+    "gap_sensitivity": (lambda s, d: E.sensitivity_profile(ready(s, d), GAPS), f"WITH {O.processed()}, {SENSITIVITY_BASE} {SENSITIVITY_SQL}"),
+    "transition_view": (lambda s, d: E.transition_view(ready(s, d, True)), f"WITH {O.episodes(True)}, {O.MAPPING}{RUNS_SQL}"),
     "global_baseline": (lambda s, d: B.fit_global(stored(episodes(s, d))), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM overall"),
     "machine_baselines": (lambda s, d: B.fit_machines(episodes(s, d), least=LEAST_EPISODES), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM machines"),
     "incident_flags": (flagged, f"{WITH_FLAGS} SELECT {O.SUMMARY}, {FLAG_SQL} FROM flagged"),

@@ -74,6 +74,46 @@ def test_starts_at_the_limit_split_change_and_ids(spark):
     assert column(E.event_mapping(df), "event_position") == [0, 1, 2, 0, 0, 1, 0]
 
 
+def test_episodes_across_blocks_equal_a_walk_over_each_log(spark):
+    """Episodes that span several days, days without a start, ties at midnight: places, numbers and openings as a plain loop gives them."""
+    import random
+
+    draw, start = random.Random(5), datetime(2020, 1, 1)
+    rows = []
+    for machine in ("a", "b", "c"):
+        moment = start
+        for _ in range(150):
+            moment += timedelta(minutes=draw.choice((0, 0, 20, 29, 30, 31, 700, 2000)) if machine != "c" else 25)
+            rows.append((moment, draw.choice("xyz"), machine, len(rows)))
+    events = I.processed_events(spark.createDataFrame(rows, EVENTS), 0.6, 0.2, 0.2)
+    got = {r.source_row: r for r in E.opened(events, (30.0, 600.0)).collect()}
+    processed_rows = sorted(events.collect(), key=lambda r: (r.machine_id, r.timestamp, r.source_row))
+    for i, limit in enumerate((1800, 36000)):
+        last = None
+        for r in processed_rows:
+            fresh = last is None or last.machine_id != r.machine_id
+            place = 1 if fresh else place + 1
+            gap = None if fresh else (r.timestamp - last.timestamp).total_seconds()
+            assert r.gap_seconds == gap and r.previous_timestamp == (None if fresh else last.timestamp)
+            opens = fresh or last.split != r.split or gap > limit
+            number = 0 if fresh else number + opens
+            opening = (r.source_row, place) if opens else opening
+            mine = got[r.source_row]
+            assert (mine.place, mine[f"start_{i}"], mine[f"episode_{i}"]) == (place, opens, number)
+            assert (mine[f"opening_{i}"].source_row, mine[f"opening_{i}"].place) == opening
+            last = r
+    for machine in ("a", "b", "c"):
+        times = sorted({r.timestamp for r in processed_rows if r.machine_id == machine})
+        for r in processed_rows:
+            if r.machine_id == machine:
+                at_place = times.index(r.timestamp)
+                assert r.split == ("train" if at_place < int(len(times) * 0.6) else "validation" if at_place < int(len(times) * (0.6 + 0.2)) else "test")
+    same = {}
+    for r in rows:
+        same[r[:3]] = same.get(r[:3], 0) + 1
+    assert all(r.duplicate_group_size == same[(r.timestamp, r.alarm_code, r.machine_id)] for r in processed_rows)
+
+
 def test_golden_episode_id(spark):
     df = processed(spark, [(datetime(2019, 2, 21, 19, 57, 57, 532000), "1", "4", 42, None, "train")])
     assert E.summarize(df).first().incident_id == "inc_a726ed82c68db78d"
