@@ -10,6 +10,7 @@ so that the order does not hang on the order of summation.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 from math import ceil
 
 import numpy as np
@@ -22,7 +23,8 @@ from ..functions.storage import stored
 
 POLICIES = ("expanding_history", "train_only")
 STATUSES = ("query_outcome_incomplete", "query_without_future_alarms", "no_evaluable_candidates", "evaluated")
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+#: Rows of a block, and ranges of time.
+QUERY_BLOCK, CANDIDATE_BLOCK, MOST_RANGES = 512, 8192, 64
 DIGITS = 12
 
 
@@ -158,6 +160,44 @@ def block_result(asked: pa.Table, held: pa.Table, search: Search) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
 
+def time_blocks(asked: DataFrame, rows: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates, each once for every pair of blocks (qb, cb) they have to meet in.
+
+    Time is cut into ranges at quantiles of the moments from which candidates may be found, and each
+    range into blocks by hash, so that a range in which many begin is no larger block.
+    Blocks are numbered by range: a query meets candidate blocks up to its own range
+    only, and later ones are neither sent nor multiplied. Candidates that the policy, the gate or the last query never admits go first.
+    """
+    usable = rows.withColumn("moment", F.greatest("end_us", "ready_us") if search.outcome_gate else F.col("end_us"))
+    if search.outcome_gate:
+        usable = usable.where(F.col("ready_us").isNotNull())
+    if search.policy == "train_only":
+        usable = usable.where(F.col("split") == "train")
+    latest, count = asked.agg(F.max("start_us"), F.count(F.lit(1))).first()
+    usable = usable.where(F.col("moment") < F.lit(latest))
+    wanted = min(MOST_RANGES, ceil(usable.count() / CANDIDATE_BLOCK), ceil(count / QUERY_BLOCK))
+    cuts = sorted(set(usable.agg(F.percentile_approx("moment", [i / wanted for i in range(1, wanted)], 10_000)).first()[0] or [])) if wanted > 1 else []
+
+    def numbered(df: DataFrame, us: str, size: int, name: str) -> tuple[DataFrame, list[int]]:
+        """``df`` with its range and its block; the first block of each range, and behind them the number of all."""
+        limits = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
+        ranged = df.withColumn("range", F.size(F.filter(limits, lambda c: c <= F.col(us))))
+        counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+        blocks = [ceil(counts.get(i, 0) / size) for i in range(len(cuts) + 1)]
+        starts = [0, *accumulate(blocks)]
+        here = F.element_at(F.array(*(F.lit(x) for x in starts)), F.col("range") + 1)
+        part = F.pmod(F.xxhash64("incident_id"), F.element_at(F.array(*(F.lit(max(1, x)) for x in blocks)), F.col("range") + 1))
+        return ranged.withColumn(name, (here + part).cast("int")), starts
+
+    questions, query_starts = numbered(asked, "start_us", QUERY_BLOCK, "qb")
+    answers, answer_starts = numbered(usable, "moment", CANDIDATE_BLOCK, "cb")
+    end = F.element_at(F.array(*(F.lit(x) for x in answer_starts)), F.col("range") + 2)
+    first = F.element_at(F.array(*(F.lit(x) for x in query_starts)), F.col("range") + 1)
+    questions = questions.where(end > 0).withColumn("cb", F.explode(F.sequence(F.lit(0), end - 1))).drop("range")
+    answers = answers.where(first < query_starts[-1]).withColumn("qb", F.explode(F.sequence(first, F.lit(query_starts[-1] - 1)))).drop("range", "moment")
+    return questions, answers
+
+
 def retrieve(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None, queries: DataFrame, search: Search) -> DataFrame:
     """(incident_id, pool, relevant, best) for each of ``queries`` (incident_id) that has candidates.
 
@@ -166,14 +206,7 @@ def retrieve(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None
     """
     rows = stored(searchable(episodes, vectors, outcomes))
     asked = stored(rows.join(queries.select("incident_id"), "incident_id", "left_semi"))
-    query_blocks, candidate_blocks = max(1, ceil(asked.count() / QUERY_BLOCK)), max(1, ceil(rows.count() / CANDIDATE_BLOCK))
-    key = F.xxhash64("incident_id")
-    asked = asked.withColumn("qb", F.pmod(key, F.lit(query_blocks)).cast("int"))
-    asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))))
-    held = rows.withColumn("cb", F.pmod(key, F.lit(candidate_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    if search.outcome_gate:
-        held = held.where(F.col("ready_us").isNotNull())
-
+    asked, held = time_blocks(asked, rows, search)
     held = held.select(*(F.col(c).alias(c) for c in held.columns))  # both sides may come from the same rows; new names keep them apart
 
     def block(q: pa.Table, c: pa.Table) -> pa.Table:

@@ -207,6 +207,32 @@ def test_features(spark):
         X.check_shape(spark.createDataFrame([("a", "m", "train", 1, -1.0, 1)], EPISODES))
 
 
+@pytest.mark.parametrize("policy", R.POLICIES)
+def test_blocks_of_time_find_what_one_block_finds(spark, monkeypatch, policy):
+    """Small blocks, several ranges, many candidates of one moment: the same pools, counts and best candidates."""
+    import random
+
+    draw, rows = random.Random(9), []
+    for k in range(90):
+        begin = at(8) + timedelta(minutes=draw.choice((0, 30, 30, 30, 60, 90, 120, 400)))
+        rows.append((f"e{k:02}", "4", draw.choice(("train", "test")), begin, begin + timedelta(minutes=draw.choice((1, 5, 25))), 2, 1.0, 2))
+    episodes = spark.createDataFrame(rows, TIMED + ", event_count long, duration_seconds double, distinct_alarm_count long")
+    docs = spark.createDataFrame([(r[0], r[2], r[1], " ".join(draw.choices("123456", k=3))) for r in rows], "incident_id string, split string, machine_id string, alarm_document string")
+    outcomes = spark.createDataFrame([(r[0], r[4] + timedelta(minutes=10), draw.random() < 0.9, draw.sample(["a", "b", "c"], 2)) for r in rows], "incident_id string, outcome_end_time timestamp_ntz, outcome_is_complete boolean, future_alarm_codes array<string>")
+    vectors = X.feature_vectors(episodes, docs, 1.0, 0.0)
+    for search, known in ((R.Search(policy=policy), outcomes), (R.Search(policy=policy, outcome_gate=False), None)):
+        whole = sorted(map(str, R.retrieve(episodes, vectors, known, episodes, search).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(R, "QUERY_BLOCK", 7)
+            m.setattr(R, "CANDIDATE_BLOCK", 5)
+            assert sorted(map(str, R.retrieve(episodes, vectors, known, episodes, search).collect())) == whole
+            asked, held = R.time_blocks(R.searchable(episodes, vectors, known), R.searchable(episodes, vectors, known), search)
+            pairs = asked.select("qb", "cb").distinct().count()
+            assert pairs < asked.select("qb").distinct().count() * held.select("cb").distinct().count()
+            assert R.retrieve(episodes, vectors, known, episodes.where("false"), search).count() == 0
+        assert len(whole) > 20
+
+
 def search_frames(spark):
     rows = [("query", "4", "validation", at(10), at(10, 30)), ("old_best", "4", "train", at(7), at(8)), ("tie_b", "4", "train", at(8), at(9)), ("tie_a", "6", "train", at(8), at(9)), ("edge", "4", "train", at(9), at(10)), ("future", "4", "test", at(12), at(13))]
     episodes = spark.createDataFrame([(*r, 2, 1.0, 2) for r in rows], TIMED + ", event_count long, duration_seconds double, distinct_alarm_count long")
