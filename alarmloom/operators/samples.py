@@ -21,7 +21,8 @@ def windowed(events: DataFrame, offsets: tuple[int, ...], input_minutes: int, ou
         raise ValueError("the output must be above zero and at most as long as the input")
     width, out = input_minutes * MINUTE, output_minutes * MINUTE
     timed = events.withColumn("us", micros("timestamp"))
-    anchored = timed.withColumn("first", F.min("us").over(Window.partitionBy("machine_id"))).withColumn("start_offset", F.explode(F.array(*map(F.lit, offsets))))
+    firsts = timed.groupBy("machine_id").agg(F.min("us").alias("first"))  # a row a machine, so no machine's log meets in one task
+    anchored = timed.join(firsts, "machine_id").withColumn("start_offset", F.explode(F.array(*map(F.lit, offsets))))
     since = F.col("us") - F.col("first") - F.col("start_offset").cast("long") * F.lit(MINUTE)
     place = anchored.withColumn("since", since).where(F.col("since") >= 0).withColumn("bin", F.floor(F.col("since") / F.lit(width)).cast("long"))
     base = ("machine_id", "start_offset", "us", "source_row", "alarm_code")
@@ -37,7 +38,11 @@ def collapse(codes: Column) -> Column:
 
 def paired_sequences(events: DataFrame, offsets: tuple[int, ...], input_minutes: int, output_minutes: int, least: int = 1) -> DataFrame:
     """Windows with both an input and an output of at least ``least`` events, as sequences in time order."""
-    rows = windowed(events, offsets, input_minutes, output_minutes)
+    return sequences_of(windowed(events, offsets, input_minutes, output_minutes), least)
+
+
+def sequences_of(rows: DataFrame, least: int = 1) -> DataFrame:
+    """The sequences of rows of ``windowed``."""
 
     def sequence(part: str) -> Column:
         picked = F.collect_list(F.when(F.col("part") == part, F.struct("us", "source_row", "alarm_code")))

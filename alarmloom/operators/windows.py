@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import horizon_micros, micros, time_of
 
-#: Width of a time bucket over the horizon; an event lies in the windows of at most this many buckets' ends.
-BUCKETS_PER_HORIZON = 2
+#: Time buckets in a horizon. Of a window, only events in its first and last bucket are looked at one by one.
+BUCKETS_PER_HORIZON = 8
 
 
 def future_events(episodes: DataFrame, events: DataFrame, scope: tuple[str, ...], hours: float) -> DataFrame:
     """(incident_id, alarm_code, n): how often each code follows each episode in its scope.
 
-    Time is cut into buckets of half the horizon. An episode looks at the three
-    buckets its window can touch, so the join is an equality on scope and bucket
-    and a hot scope is spread over its buckets; no window is walked twice in one task.
+    Time is cut into buckets. Buckets wholly inside a window give a total a code; the two at its
+    ends give their events. Both are one equality join on scope and bucket, so a hot
+    scope is spread over its buckets, and a busy one meets an episode with a row a code and bucket.
     """
     h = horizon_micros(hours)
     width = max(1, -(-h // BUCKETS_PER_HORIZON))
@@ -24,11 +24,16 @@ def future_events(episodes: DataFrame, events: DataFrame, scope: tuple[str, ...]
     def bucket(us: Column) -> Column:
         return F.floor(us / F.lit(width)).cast("long")
 
+    first, last = bucket(F.col("end_us") + 1), bucket(F.col("end_us") + h)
     ends = episodes.select("incident_id", *scope, micros("end_time").alias("end_us"))
-    asked = ends.withColumn("bucket", F.explode(F.sequence(bucket(F.col("end_us") + 1), bucket(F.col("end_us") + h))))
-    held = events.select(*scope, "alarm_code", micros("timestamp").alias("us")).groupBy(*scope, "alarm_code", "us").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket(F.col("us")))
-    near = asked.join(held, [*scope, "bucket"]).where((F.col("us") > F.col("end_us")) & (F.col("us") <= F.col("end_us") + h))
-    return near.groupBy("incident_id", "alarm_code").agg(F.sum("n").alias("n"))
+    asked = ends.withColumn("bucket", F.explode(F.sequence(first, last))).withColumn("edge", (F.col("bucket") == first) | (F.col("bucket") == last))
+    timed = events.select(*scope, "alarm_code", micros("timestamp").alias("us")).withColumn("bucket", bucket(F.col("us")))
+    count = F.count(F.lit(1)).alias("n")
+    totals = timed.groupBy(*scope, "bucket", "alarm_code").agg(count).withColumns({"us": F.lit(None).cast("long"), "edge": F.lit(False)})
+    times = timed.groupBy(*scope, "bucket", "alarm_code", "us").agg(count).withColumn("edge", F.lit(True))
+    near = asked.join(times.unionByName(totals), [*scope, "bucket", "edge"])
+    inside = ~F.col("edge") | ((F.col("us") > F.col("end_us")) & (F.col("us") <= F.col("end_us") + h))
+    return near.where(inside).groupBy("incident_id", "alarm_code").agg(F.sum("n").alias("n"))
 
 
 def observed_through(events: DataFrame, scope: tuple[str, ...]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import shared_folder, stored
 from ..operators import forecasting as Y
 from ..operators import investigation as V
 from ..operators import samples as S
@@ -17,6 +18,7 @@ from ..sources.events import table_events
 from . import oracle_base as O
 from .log_queries import WITH_FLAGS, flagged, processed
 from .retrieval_queries import DOCUMENTS, FEATURES, Inputs, future, joined_arrays, rounded, similarity
+from .sample_job import create_samples, parameter_grid, read_samples, write_samples
 from .settings import Forecasting
 
 HOURS, SPLIT, K = 6.0, "test", 5
@@ -241,6 +243,9 @@ PADDED_SQL = f"""WITH {O.events()}, {SAMPLES}, col AS (SELECT machine_id, start_
 size AS (SELECT floor(avg(len(x)) + 3 * stddev_pop(len(x)))::BIGINT + 1 AS lx, max(len(y)) AS ly FROM col),
 num2 AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY machine_id, start_offset ORDER BY bin) AS i FROM col WINDOW w AS (PARTITION BY machine_id, start_offset))
 SELECT machine_id, start_offset, bin, array_to_string(list_resize(x[:lx], lx, '0'), ' ') AS x, array_to_string(list_resize(y[:ly], ly, '0'), ' ') AS y, CASE WHEN i <= n - ceil(n * (1 - 0.7::DOUBLE)) THEN 'train' ELSE 'test' END AS part FROM num2 CROSS JOIN size WHERE n > 1"""
+#: The job starts windows at every so many minutes of an input window.
+STEP = 240
+JOB_SQL = PADDED_SQL.replace("(VALUES (0), (60), (120)) o(start_offset)", f"(SELECT unnest(range(0, {WINDOWS[0]}, {STEP}))::INT AS start_offset) o")
 SEQUENCE_SQL = f"""WITH {O.episodes()}, {O.MAPPING}, {DOCUMENTS}, tv AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT alarm_code AS token FROM mapped WHERE split = 'train')),
 mv AS (SELECT machine_id, row_number() OVER (ORDER BY machine_id) AS id FROM (SELECT DISTINCT machine_id FROM inc WHERE split = 'train')),
 pos AS (SELECT incident_id, event_position, coalesce(tv.id, 1) AS id, count(*) OVER (PARTITION BY incident_id) AS n FROM mapped LEFT JOIN tv ON tv.token = alarm_code)
@@ -251,6 +256,15 @@ PRODUCTION_LENGTH = Forecasting().sequence_max_length
 FULL_SEQUENCE_SQL = SEQUENCE_SQL.replace(", 8, 0)", f", {PRODUCTION_LENGTH}, 0)").replace("(p.n), 8)", f"(p.n), {PRODUCTION_LENGTH})").replace("p.n - 8 ", f"p.n - {PRODUCTION_LENGTH} ")
 
 
+def sample_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job's three stored phases over a grid of one cell, its samples written as JSON and read back."""
+    folder = f"{shared_folder(spark).rstrip('/')}/samples-{uuid.uuid4().hex}"
+    grid = parameter_grid(WINDOWS[:1], WINDOWS[1:], (1,), (3.0,), (STEP,))
+    (samples,) = create_samples(table_events(spark, sf_dir), grid, folder).values()
+    write_samples(samples, f"{folder}/json")
+    return joined_arrays(read_samples(spark, f"{folder}/json"))
+
+
 def sequences(length: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents = Inputs(spark, sf_dir).documents
@@ -268,6 +282,7 @@ OTHER = {
     "window_samples": (lambda s, d: S.windowed(table_events(s, d), OFFSETS, *WINDOWS), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, us, source_row, alarm_code, bin, part FROM parts"),
     "pruned_sequences": (lambda s, d: joined_arrays(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS)), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, bin, array_to_string(x, ' ') AS x, array_to_string(y, ' ') AS y FROM pairs"),
     "padded_sequences": (lambda s, d: joined_arrays(S.padded_samples(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS))), PADDED_SQL),
+    "sample_job": (sample_job, JOB_SQL),
     "sequence_encoding": (sequences(8), SEQUENCE_SQL),
     "sequence_encoding_production": (sequences(PRODUCTION_LENGTH), FULL_SEQUENCE_SQL),
 }

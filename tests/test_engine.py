@@ -1,5 +1,7 @@
 """Operators on small hand-made frames: ties, boundaries, fallbacks, and rules of time."""
 
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -341,6 +343,45 @@ def test_samples(spark):
         S.windowed(events, (0,), 30, 60)
 
 
+def test_sample_job(spark, tmp_path):
+    import json
+
+    from alarmloom.plans import sample_job as J
+
+    events = spark.createDataFrame([(at(h, m), str(h % 3), "4", 2 * h + (m > 0)) for h in range(12) for m in (0, 20)], EVENTS)
+    grid = J.parameter_grid((60, 120), (30,), (1,), (2.0,), (60,), drop=("9",))
+    assert [(g.input_minutes, g.offsets, g.drop) for g in grid] == [(60, (0,), ("9",)), (120, (0, 60), ("9",))]
+    done = J.create_samples(events, grid, str(tmp_path))
+    for one in grid:
+        plain = S.padded_samples(S.paired_sequences(events, one.offsets, one.input_minutes, one.output_minutes, one.min_count), one.sigma, one.drop)
+        held = sorted(map(tuple, done[one.name].collect()))
+        assert held and held == sorted(map(tuple, plain.collect()))
+        again = J.create_samples(events.limit(0), [one], str(tmp_path), start=3)[one.name]  # phases 1 and 2 are taken from the store
+        assert sorted(map(tuple, again.collect())) == held
+    J.write_samples(again, f"{tmp_path}/json")
+    assert sorted(map(tuple, J.read_samples(spark, f"{tmp_path}/json").collect())) == held
+    (tmp_path / "published.json").write_text(json.dumps({"sample1": {"x_train": [1, 2], "y_train": [3], "serial": 4}, "sample2": {"x_test": [5], "y_test": [6], "serial": 4}}))
+    assert sorted(map(tuple, J.read_published_samples(spark, f"{tmp_path}/published.json").collect())) == [("4", ["1", "2"], ["3"], "train"), ("4", ["5"], ["6"], "test")]
+    for bad in ({"start": 0}, {"start": 4}):
+        with pytest.raises(ValueError):
+            J.create_samples(events, grid, str(tmp_path), **bad)
+    with pytest.raises(ValueError):
+        J.parameter_grid((30,), (60,), (1,), (3.0,), (10,))
+
+
+def test_counts_after_episodes_equal_a_walk(spark):
+    """Totals of inner buckets and events of the outer ones against every event by itself, limits and repeats included."""
+    rng = random.Random(5)
+    rows = [(at(0) + timedelta(minutes=rng.randrange(900)), str(rng.randrange(3)), str(rng.randrange(2)), i) for i in range(400)]
+    ends = [(f"e{i}", str(i % 2), at(0) + timedelta(minutes=rng.randrange(900))) for i in range(60)]
+    episodes = spark.createDataFrame(ends, "incident_id string, machine_id string, end_time timestamp_ntz")
+    for hours in (1.0, 6.0, 0.05):
+        found = {(r.incident_id, r.alarm_code): r.n for r in W.future_events(episodes, spark.createDataFrame(rows, EVENTS), ("machine_id",), hours).collect()}
+        span = timedelta(hours=hours)
+        want = Counter((e, code) for e, machine, end in ends for t, code, own, _ in rows if own == machine and end < t <= end + span)
+        assert found == want
+
+
 def test_sequences(spark):
     docs = spark.createDataFrame([("a", "train", "4", "98 11 98"), ("b", "test", "9", "7 11")], "incident_id string, split string, machine_id string, alarm_document string")
     got = {r.incident_id: (r.token_ids, r.sequence_length, r.machine_number) for r in Q.encode(docs, Q.fit(docs), 2).collect()}
