@@ -20,6 +20,7 @@ from .operators import ingest as I
 from .operators import retrieval as R
 from .operators import windows as W
 from .plans import artifacts as A
+from .plans.sample_job import SampleSettings, create_samples, parameter_grid, write_samples
 from .plans.settings import Settings, load, parse
 from .session import session
 from .sources.events import read_alarm_csv
@@ -125,16 +126,27 @@ def test_forecast(spark: SparkSession, out: str, settings: Settings, results: st
     A.write_json(A.result_metadata(metrics, sources_of(out), asdict(own), "test", datetime.now(UTC), model=about), f"{results}/forecast_test.metadata.json")
 
 
+def prepare_samples(spark: SparkSession, out: str, samples: str, grid: list[SampleSettings], start: int) -> None:
+    """Samples of the stored events for each cell of ``grid``, as Parquet and as lines of JSON beside it."""
+    for name, rows in create_samples(spark.read.parquet(f"{out}/events.parquet"), grid, samples, start).items():
+        write_samples(rows, f"{samples}/{name}/json")
+
+
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="alarmloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("prepare-data", "prepare-incidents", "validate-retrieval", "test-retrieval", "test-forecast"):
+    for name in ("prepare-data", "prepare-incidents", "validate-retrieval", "test-retrieval", "test-forecast", "prepare-samples"):
         one = commands.add_parser(name)
         one.add_argument("--config", type=Path, help="TOML settings; defaults without")
         one.add_argument("--data", default="data/processed", help="folder of events and episodes")
         if name == "prepare-data":
             one.add_argument("source", help="CSV log with timestamp, alarm and serial")
-        if name not in ("prepare-data", "prepare-incidents"):
+        if name == "prepare-samples":
+            one.add_argument("--samples", default="data/samples", help="folder of samples")
+            one.add_argument("--start", type=int, choices=(1, 2, 3), default=1, help="first phase to run; those before are taken from the folder")
+            for option, kind, default in (("inputs", int, 1720), ("outputs", int, 480), ("min-counts", int, 20), ("sigmas", float, 3.0), ("offset-steps", int, 60)):
+                one.add_argument(f"--{option}", type=kind, nargs="+", default=[default])
+        elif name not in ("prepare-data", "prepare-incidents"):
             one.add_argument("--results", "--output-dir", default="data/results", help="folder of results")
         if name == "validate-retrieval":
             one.add_argument("--max-validation-queries", type=int, default=None, help="evaluate the first queries only, for a quick look")
@@ -154,6 +166,9 @@ def main(argv: list[str] | None = None) -> int:
         validate_retrieval(spark, args.data, settings, args.results, args.max_validation_queries, args.diagnostics_only)
     elif args.command == "test-retrieval":
         test_retrieval(spark, args.data, settings, args.results)
+    elif args.command == "prepare-samples":
+        grid = parameter_grid(args.inputs, args.outputs, args.min_counts, args.sigmas, args.offset_steps)
+        prepare_samples(spark, args.data, args.samples, grid, args.start)
     else:
         test_forecast(spark, args.data, settings, args.results)
     return 0

@@ -540,6 +540,10 @@ def test_jobs_end_to_end(spark, tmp_path, capsys):
     settings = parse({"baselines": {"minimum_incident_count": 2}, "retrieval": chosen, "forecasting": {"minimum_machine_train_samples": 2, "minimum_transition_train_samples": 1, "selected_forecast_horizon_hours": 1, "rare_max_train_support": 2, "common_min_train_support": 9}})
     out, results = str(tmp_path / "data"), str(tmp_path / "results")
     cli.prepare_data(spark, str(source), out, settings)
+    args = cli.build_parser().parse_args(["prepare-samples", "--inputs", "240", "--outputs", "120", "--min-counts", "1", "--offset-steps", "120"])
+    grid = cli.parameter_grid(args.inputs, args.outputs, args.min_counts, args.sigmas, args.offset_steps)
+    cli.prepare_samples(spark, out, str(tmp_path / "samples"), grid, args.start)
+    assert spark.read.json(f"{tmp_path}/samples/{grid[0].name}/json").count()
     cli.prepare_incidents(spark, out, settings)
     cli.test_retrieval(spark, out, settings, results)
     cli.test_forecast(spark, out, settings, results)
