@@ -116,7 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .clustering import cluster_sql
     from .mixing import MIXTURE_SQL
-    # from .phrases import PHRASES_SQL
+    from .phrases import PHRASES_SQL
     from .secret_scan import REPORT_SQL
     from .topk import TOP_K_SQL
 
@@ -124,6 +124,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_trigram_secret_scan": REPORT_SQL,
         "op6_fair_queue_mixture": MIXTURE_SQL,
         "op10_pivot_top_k": TOP_K_SQL,
-        # "op11_pair_naming_phrases": PHRASES_SQL,
+        "op11_pair_naming_phrases": PHRASES_SQL,
         "op13_elkan_clusters": cluster_sql(),
     }
