@@ -109,6 +109,28 @@ def join_spread(big: DataFrame, small: DataFrame, key: str, small_key: str, how:
     return near.unionByName(far)
 
 
+#: Rows of 64 bits in a map of keys.
+MAP_ROWS = 1 << 16
+
+
+def likely_rows(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be among ``wanted_key`` of ``wanted``: all that are, and few others while
+    those are few, so that wide rows need not be shuffled to be looked up.
+
+    What is broadcast is a map of 64 * MAP_ROWS bits, whatever the number of keys.
+    """
+    row, bits = temp_names(df, "map_row", "map_bits")
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(64 * MAP_ROWS))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(wanted_key).cast("int"))  # a shift looks at the last six bits
+    bit_map = wanted.groupBy(F.shiftright(place(wanted_key), 6).alias(row)).agg(F.bit_or(bit).alias(bits))
+    joined = df.join(F.broadcast(bit_map), F.shiftright(place(key), 6) == F.col(row))  # MAP_ROWS rows at most
+    held = F.call_function("shiftrightunsigned", F.col(bits), place(key).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return joined.where(held).drop(row, bits)
+
+
 def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` in ranges of ``order``, each range in one partition numbered in PARTITION, stored.
 
