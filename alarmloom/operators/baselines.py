@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import at_place, ranked_values, upper_place, upper_quantiles
+from ..functions.quantiles import upper_place, upper_quantiles, values_at
 from ..functions.scalars import ratio
 
 METRICS = ("event_count", "duration_seconds", "distinct_alarm_count")
@@ -27,10 +27,9 @@ def fit_machines(episodes: DataFrame, quantile: float = 0.95, least: int = 200)
     """A row a machine with train episodes: its thresholds, and whether it has ``least`` episodes to support them."""
     if least < 1:
         raise ValueError("the least support must be above zero")
-    values = ranked_values(episodes.where(F.col("split") == FIT_SPLIT), ("machine_id",), METRICS)
-    places = (at_place(upper_place(quantile), F.col("metric") == m, f"{m}_threshold") for m in METRICS)
-    grouped = values.groupBy("machine_id").agg(F.max("total").alias("incident_count"), *places)
-    return grouped.select(
+    train = episodes.where(F.col("split") == FIT_SPLIT).select("machine_id", *METRICS)
+    found = values_at(train, ("machine_id",), tuple(upper_place(quantile, m, f"{m}_threshold") for m in METRICS))
+    return found.withColumnRenamed("total", "incident_count").select(
         "machine_id", F.lit(float(quantile)).alias("quantile"), F.lit(FIT_SPLIT).alias("fit_split"), "incident_count", F.lit(least).cast("long").alias("minimum_incident_count"),
         (F.col("incident_count") >= least).alias("has_sufficient_support"), *(f"{m}_threshold" for m in METRICS),
     )

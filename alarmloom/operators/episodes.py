@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import interpolated, ranked_values
+from ..functions.quantiles import interpolated, neighbours, values_at
 from ..functions.scalars import EPISODE_SOURCE, episode_id, micros, ratio, time_of
+from ..functions.storage import stored
 from .ingest import by_block, in_blocks
 
 SUMMARY_COLUMNS = ("incident_id", "machine_id", "split", "incident_source", "is_ground_truth", "gap_minutes", "start_time", "end_time", "duration_seconds", "event_count", "distinct_alarm_count", "first_alarm_code", "last_alarm_code", "dominant_alarm_code", "duplicate_event_count")
@@ -134,27 +135,54 @@ def episode_sizes(events: DataFrame, gaps: tuple[float, ...]) -> DataFrame:
 
 def sensitivity_profile(events: DataFrame, gaps: tuple[float, ...] = (15.0, 30.0, 60.0)) -> DataFrame:
     """Episode counts and sizes for each gap limit; quantiles interpolate."""
-    values = ranked_values(episode_sizes(events, gaps), ("gap_minutes",), ("event_count", "duration_seconds", "distinct_alarm_count"))
-    quantiles = [interpolated(q, f"{m}", f"{n}_{m}") for m in ("event_count", "duration_seconds") for n, q in (("median", 0.5), ("p95", 0.95))]
-    of_events, of_codes = F.col("metric") == "event_count", F.col("metric") == "distinct_alarm_count"
-    sums = values.groupBy("gap_minutes").agg(
-        F.max("total").alias("incident_count"),
-        F.coalesce(F.sum(F.when(of_events & (F.col("value") == 1), F.col("n"))), F.lit(0)).alias("singleton_incident_count"),
-        F.sum(F.when(of_codes, F.col("value") * F.col("n"))).alias("code_total"),
-        *(s for parts, _ in quantiles for s in parts),
+    sizes = stored(episode_sizes(events, gaps))
+    wanted = [(q, m, f"{n}_{m}") for m in ("event_count", "duration_seconds") for n, q in (("median", 0.5), ("p95", 0.95))]
+    places = values_at(sizes, ("gap_minutes",), tuple(p for w in wanted for p in neighbours(*w)))
+    sums = sizes.groupBy("gap_minutes").agg(
+        F.count(F.lit(1)).alias("incident_count"), F.count_if(F.col("event_count") == 1).alias("singleton_incident_count"), F.sum("distinct_alarm_count").alias("code_total")
     )
-    return sums.select(
-        "gap_minutes", "incident_count", "singleton_incident_count", ratio("singleton_incident_count", "incident_count").alias("singleton_incident_share"),
-        *(column for _, column in quantiles), ratio("code_total", "incident_count").alias("mean_distinct_alarm_count"),
+    return sums.join(places, "gap_minutes").select(
+        "gap_minutes",
+        "incident_count",
+        "singleton_incident_count",
+        ratio("singleton_incident_count", "incident_count").alias("singleton_incident_share"),
+        *(interpolated(q, name) for q, _, name in wanted),
+        ratio("code_total", "incident_count").alias("mean_distinct_alarm_count"),
     )
 
 
+def with_runs(identified: DataFrame) -> DataFrame:
+    """Adds run: the number, from 0, of the event's run of one code within its episode.
+
+    A run starts with an episode or another code. Starts are numbered through the machine's log, in blocks; a row a block
+    carries the last code, the starts so far and the number of the start that opened the episode, so
+    that no episode, however long, is walked in one task.
+    """
+    starts, code = F.col("is_incident_start"), F.col("alarm_code")
+    blocks = in_blocks(identified).withColumn("row", F.row_number().over(by_block())).withColumn("code_before", F.lag("alarm_code").over(by_block()))
+    running = by_block().rowsBetween(Window.unboundedPreceding, 0)
+    inside = (F.col("row") > 1) & (starts | F.coalesce(F.col("code_before") != code, F.lit(True)))
+    blocks = blocks.withColumn("own", F.sum(inside.cast("long")).over(running))
+    ends = blocks.groupBy("machine_id", "block").agg(
+        F.min_by(F.struct("alarm_code", "is_incident_start"), "row").alias("first"),
+        F.max_by(F.struct("alarm_code", "own"), "row").alias("last"),
+        F.max(F.when(starts & (F.col("row") > 1), F.struct("row", "own"))).alias("opening"),
+    )
+    order = Window.partitionBy("machine_id").orderBy("block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.col("first.is_incident_start") | F.coalesce(F.lag("last").over(order)["alarm_code"] != F.col("first.alarm_code"), F.lit(True))
+    placed = ends.withColumn("opens", opens.cast("long")).withColumn("before", F.coalesce(F.sum(F.col("last.own") + F.col("opens")).over(earlier), F.lit(0)))
+    base = F.col("before") + F.col("opens")
+    latest = F.when(F.col("opening").isNotNull(), base + F.col("opening.own")).when(F.col("first.is_incident_start"), base)
+    carried = placed.select("machine_id", "block", base.alias("base"), F.last(latest, ignorenulls=True).over(earlier).alias("held"))
+    numbered = blocks.join(carried, ["machine_id", "block"], "left").withColumn("number", F.coalesce("base", F.lit(1)) + F.col("own"))
+    opening = F.coalesce(F.last(F.when(starts, F.col("number")), ignorenulls=True).over(running), F.col("held"))
+    return numbered.select(*identified.columns, (F.col("number") - opening).alias("run"))
+
+
 def transition_view(events: DataFrame) -> DataFrame:
     """Runs of one code within an episode: where each starts and ends and how often the code repeats."""
-    identified = events if "event_position" in events.columns else identify_events(events)
-    place = Window.partitionBy("machine_id", "incident_id").orderBy("event_position")
-    changed = F.coalesce((F.lag("alarm_code").over(place) != F.col("alarm_code")).cast("long"), F.lit(1))
-    runs = identified.withColumn("__change", changed).withColumn("run", F.sum("__change").over(place) - 1)
-    return runs.groupBy("incident_id", "run").agg(
+    identified = events if "event_position" in events.columns else stored(identify_events(events))
+    return with_runs(identified).groupBy("incident_id", "run").agg(
         F.first("alarm_code").alias("alarm_code"), F.min("timestamp").alias("run_start"), F.max("timestamp").alias("run_end"), F.count(F.lit(1)).alias("repeat_count")
     )

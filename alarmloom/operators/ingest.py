@@ -8,24 +8,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import micros, time_of
+from ..functions.storage import stored
 
 PROCESSED_COLUMNS = ("timestamp", "alarm_code", "machine_id", "source_row", "duplicate_group_size", "is_exact_duplicate", "previous_timestamp", "gap_seconds", "split")
 SPLITS = ("train", "validation", "test")
 
 
-#: Time that one block of a machine's log spans, in microseconds: a day.
+#: Time that one block of a machine's log spans at most, in microseconds: a day.
 BLOCK = 86_400_000_000
+#: Events of a machine's day beyond which it is cut, and the number of parts then, of near equal size.
+MOST_IN_BLOCK, PARTS = 1 << 18, 256
 
 
 def in_blocks(events: DataFrame) -> DataFrame:
-    """Adds us and block, and puts each block, a day of one machine, into one partition.
+    """Adds us and block, and puts each block into one partition: a day of one machine, or a part of a day with very many events.
 
-    Windows go over blocks, so there are as many tasks as days of machines allow; what a block
-    needs of those before it is worked out from a row a block. Machine and time are
+    Windows go over blocks, so there are as many tasks as blocks allow; what a block
+    needs of those before it is worked out from a row a block. Numbers of blocks grow with time, and events of
+    one machine and time are in one block. Machine and time are
     not null in a log that meets its contract; a row without them is a block of its own.
     """
-    step = events.withColumn("us", micros("timestamp"))
-    return step.withColumn("block", F.floor(F.col("us") / F.lit(BLOCK)).cast("long")).repartition("machine_id", "block")
+    step = events.withColumn("us", micros("timestamp")).withColumn("block", F.floor(F.col("us") / F.lit(BLOCK)).cast("long") * 2 * PARTS)
+    days = step.groupBy("machine_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_BLOCK)
+    if not days.isEmpty():
+        # stored, as bounds found twice may differ
+        hot = days.select(F.col("machine_id").alias("__machine"), F.col("block").alias("__day"))
+        busy = step.join(hot, (F.col("machine_id") == F.col("__machine")) & (F.col("block") == F.col("__day")), "left_semi")
+        shares = [i / PARTS for i in range(1, PARTS)]
+        cuts = stored(busy.groupBy("machine_id", "block").agg(F.array_distinct(F.percentile_approx("us", shares)).alias("__cuts")))
+        part = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("us"))), F.lit(0))
+        step = step.join(cuts, ["machine_id", "block"], "left").withColumn("block", F.col("block") + part).select(*step.columns)
+    return step.repartition("machine_id", "block")
 
 
 def by_block() -> Window:

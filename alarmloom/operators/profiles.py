@@ -26,24 +26,31 @@ def duplicate_groups(events: DataFrame) -> DataFrame:
     return events.groupBy(*EVENT_KEY).agg(F.count(F.lit(1)).alias("duplicate_group_size")).where(F.col("duplicate_group_size") > 1)
 
 
-def time_reversals(events: DataFrame) -> DataFrame:
-    """How often time steps back from one row to the next, over all rows and within machines.
+#: Rows of a file, and units of those, that are looked at one after another.
+UNITS = (65_536, 65_536 * 4_096)
+
 
-    Over all rows: rows are dealt out by ranges of source_row; each range counts its
-    own steps back, and a second look compares each range's first time with the last one before it.
+def steps_back(rows: DataFrame, *group: str) -> DataFrame:
+    """One row: how often ``us`` falls from one source_row to the next within ``group`` (all rows, without one).
+
+    Counted inside units of rows, then between units of a larger one, then between those: a unit
+    is known by its first and last time and the steps inside it, so each window sees a few thousand rows.
     """
+    state = rows.select(*group, F.col("source_row").alias("place"), F.col("us").alias("first"), F.col("us").alias("last"), F.lit(0).cast("long").alias("steps"))
+    for size in (*UNITS, None):
+        unit = F.lit(0).cast("long") if size is None else F.floor(F.col("place") / size).cast("long")
+        dealt = state.withColumn("unit", unit)
+        fell = F.coalesce(F.col("first") < F.lag("last").over(Window.partitionBy(*group, "unit").orderBy("place")), F.lit(False))
+        dealt = dealt.withColumn("steps", F.col("steps") + fell.cast("long"))
+        state = dealt.groupBy(*group, "unit").agg(F.min("place").alias("place"), F.min_by("first", "place").alias("first"), F.max_by("last", "place").alias("last"), F.sum("steps").alias("steps")).drop("unit")
+    return state.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"))
+
+
+def time_reversals(events: DataFrame) -> DataFrame:
+    """How often time steps back from one row to the next, over all rows and within machines."""
     timed = events.select("machine_id", "source_row", micros("timestamp").alias("us"))
-    own = timed.withColumn("before", F.lag("us").over(Window.partitionBy("machine_id").orderBy("source_row")))
-    within = own.agg(F.count_if(F.col("us") < F.col("before")).alias("within_machine_time_reversal_count"))
-    block = F.floor(F.col("source_row") / 65_536)
-    rows = timed.withColumn("block", block)
-    stepped = rows.withColumn("before", F.lag("us").over(Window.partitionBy("block").orderBy("source_row")))
-    blocks = stepped.groupBy("block").agg(
-        F.count_if(F.col("us") < F.col("before")).alias("inside"), F.min_by("us", "source_row").alias("first"), F.max_by("us", "source_row").alias("last")
-    )
-    joined = blocks.withColumn("ahead", F.lag("last").over(Window.orderBy("block")))
-    overall = joined.agg(F.coalesce(F.sum(F.col("inside") + F.when(F.col("first") < F.col("ahead"), 1).otherwise(0)), F.lit(0)).alias("global_time_reversal_count"))
-    return overall.join(within)
+    overall, within = steps_back(timed), steps_back(timed, "machine_id")
+    return overall.withColumnRenamed("steps", "global_time_reversal_count").join(within.withColumnRenamed("steps", "within_machine_time_reversal_count"))
 
 
 def data_quality(events: DataFrame) -> DataFrame:

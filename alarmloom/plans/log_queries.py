@@ -113,7 +113,7 @@ LOG = {
     "gap_sensitivity": (lambda s, d: E.sensitivity_profile(ready(s, d), GAPS), f"WITH {O.processed()}, {SENSITIVITY_BASE} {SENSITIVITY_SQL}"),
     "transition_view": (lambda s, d: E.transition_view(ready(s, d, True)), f"WITH {O.episodes(True)}, {O.MAPPING}{RUNS_SQL}"),
     "global_baseline": (lambda s, d: B.fit_global(stored(episodes(s, d))), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM overall"),
-    "machine_baselines": (lambda s, d: B.fit_machines(episodes(s, d), least=LEAST_EPISODES), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM machines"),
+    "machine_baselines": (lambda s, d: B.fit_machines(stored(episodes(s, d)), least=LEAST_EPISODES), f"WITH {O.episodes()}, {O.baselines(LEAST_EPISODES)} SELECT * FROM machines"),
     "incident_flags": (flagged, f"{WITH_FLAGS} SELECT {O.SUMMARY}, {FLAG_SQL} FROM flagged"),
     "split_upper_tail_share": (lambda s, d: B.upper_tail_shares(flagged(s, d)), f"{WITH_FLAGS} SELECT split, count(*) AS incident_count, count(*) FILTER (upper_tail_flag_count > 0) AS upper_tail_count, count(*) FILTER (upper_tail_flag_count > 0)::DOUBLE / count(*) AS upper_tail_share FROM flagged GROUP BY split"),
     "overview_totals": (overview("totals"), f"WITH {O.episodes()} SELECT count(*) AS event_count, count(DISTINCT machine_id) AS machine_count, count(DISTINCT alarm_code) AS alarm_code_count, min(timestamp) AS start_time, max(timestamp) AS end_time, (SELECT count(*) FROM inc) AS incident_count FROM ev"),

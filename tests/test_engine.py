@@ -572,3 +572,59 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", "corpus_pipeline.py")])
     check = "import __spark_entry__ as e; q = e.queries(); assert e.__file__.startswith(sys.argv[1]) and 'pipeline' not in q and not [n for n in q if n.startswith('op')] and set(e.oracle_sql()) <= set(q) and len(q) > 60"
     subprocess.run([sys.executable, "-c", "import sys; " + check, str(copy)], cwd=copy, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_exact_places_of_a_group_of_a_million_values(spark):
+    """No window sees a group: all places come from sums of ranges; hot, tied, negative and tiny groups side by side."""
+    import numpy as np
+
+    from alarmloom.functions.quantiles import neighbours, upper_place, values_at
+
+    hot = spark.range(1_000_000, numPartitions=8).select(F.lit("hot").alias("g"), (F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 1e3).alias("x"), (F.col("id") % 3).alias("y"))
+    rest = [("tied", 5.0, 1)] * 40 + [("one", -2.5, 9)] + [("mixed", (-1.0) ** k * 10.0 ** (k % 9 - 4), k) for k in range(101)]
+    df = hot.unionByName(spark.createDataFrame(rest, "g string, x double, y long")).cache()
+    places = (upper_place(0.95, "x", "high"), *neighbours(0.5, "x", "median"), upper_place(0.3, "y", "third"))
+    out = values_at(df, ("g",), places)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    got = {r.g: r for r in out.collect()}
+    for g, rows in df.toPandas().groupby("g"):
+        x, y = np.sort(rows.x.to_numpy()), np.sort(rows.y.to_numpy())
+        n = len(x)
+        expected = (n, x[int(np.ceil((n - 1) * 0.95))], x[(n - 1) // 2], x[n // 2], float(y[int(np.ceil((n - 1) * 0.3))]))
+        assert (got[g].total, got[g].high, got[g].median_low, got[g].median_high, got[g].third) == expected
+    df.unpersist()
+
+
+def test_cut_days_give_what_whole_days_give(spark, monkeypatch):
+    import random
+
+    draw, moment, rows = random.Random(11), datetime(2020, 1, 1, 23), []
+    for k in range(600):
+        moment += timedelta(seconds=draw.choice((0, 0, 1, 30, 1799, 1801)) if k % 100 else 90_000)
+        rows.append((moment, draw.choice("xxy"), "b" if k % 7 == 0 else "a", k))
+    rows += [(datetime(2020, 1, 3), "z", "a", 600 + k) for k in range(80)]  # one time, in one block
+    events = spark.createDataFrame(rows, EVENTS)
+
+    def results():
+        done = I.processed_events(events)
+        tables = (done, E.identify_events(done), E.transition_view(done), E.summarize(done))
+        return [sorted(map(tuple, t.collect()), key=repr) for t in tables]
+
+    whole = results()
+    monkeypatch.setattr(I, "MOST_IN_BLOCK", 20)
+    assert I.in_blocks(events).select("machine_id", "block").distinct().count() > 100
+    assert results() == whole
+
+
+def test_a_day_of_a_million_events_is_many_blocks(spark):
+    n = 1_000_000
+    moment = F.timestamp_micros(F.lit(1_600_000_000_000_000) + F.col("id") * 40_000).cast("timestamp_ntz")
+    code = (F.floor(F.col("id") / 3) % 5).cast("string")
+    events = spark.range(n, numPartitions=8).select(moment.alias("timestamp"), code.alias("alarm_code"), F.lit("m").alias("machine_id"), F.col("id").alias("source_row"))
+    sizes = I.in_blocks(events).groupBy("block").count().agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] > 100 and sizes[1] < n / 20
+    ready = events.withColumns({"gap_seconds": F.when(F.col("source_row") > 0, F.lit(0.04)), "split": F.lit("train"), "is_exact_duplicate": F.lit(False)})
+    runs = E.transition_view(ready)
+    assert runs.agg(F.count("*"), F.max("run"), F.countDistinct("incident_id"), F.sum("repeat_count"), F.max("repeat_count")).first()[:] == (-(-n // 3), -(-n // 3) - 1, 1, n, 3)
+    back = events.withColumn("timestamp", F.when(F.col("source_row") % 100_000 == 0, F.lit(datetime(2020, 1, 1)).cast("timestamp_ntz")).otherwise(F.col("timestamp")))
+    assert tuple(P.time_reversals(back).first()) == (9, 9)
