@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrow import Rows, pieces
+from .common import numbered
 
 UNIT = 576
 SLICE_BLOCKS = 4_096
@@ -637,7 +639,8 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
     handled each for itself, an empty table gives no rows, and columns of the added names are replaced.
     """
     media = media.drop("media_width", "media_height", "thumbnail", "thumbnail_width", "thumbnail_hash", "media_error")
-    added = "media_width int, media_height int, thumbnail binary, thumbnail_width int, thumbnail_hash string, media_error string"
+    added = StructType.fromDDL("media_width int, media_height int, thumbnail binary, thumbnail_width int, thumbnail_hash string, media_error string")
+    plain, fields = numbered(media, column)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, column):
@@ -651,6 +654,6 @@ def thumbnails(media: DataFrame, column: str = "media") -> DataFrame:
                     made.append((None,) * 5 + (str(error),))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.string(), pa.string())
             columns = [*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*made), kinds))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(x.split()[0] for x in added.split(", "))])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added.names])
 
-    return media.mapInArrow(read, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema), added]))
+    return plain.mapInArrow(read, StructType([*fields, *added])).toDF(*media.columns, *added.names)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_spread, prefix_sums, row_hash, temp_names
+from .common import checkpointed, columns_of, join_spread, prefix_sums, row_hash, temp_names
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     key, taken, n, copies, there = temp_names(docs, "mix_key", "mix_taken", "mix_rows", "mix_copies", "mix_there")
     total = F.aggregate("taken_copies", F.lit(0).cast("long"), lambda a, x: a + x)
     counted = checkpointed(mix(docs).select(F.col("row_key").alias(key), total.alias(taken), F.col("rows").alias(n)).groupBy(key).agg(F.sum(taken).alias(taken), F.sum(n).alias(n)).where(F.col(taken) > 0))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = columns_of(docs)
     keyed = docs.withColumn(there, row_hash(docs))
 
     def repeated(rows: DataFrame, times: Column) -> DataFrame:

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrow import pieces
-from .common import prefix_sums, temp_names
+from .common import columns_of, numbered, prefix_sums, temp_names
 from .words import parts_of
 
 WORD_BUCKETS = BYTE_BUCKETS = 1 << 16
@@ -184,9 +185,11 @@ def with_log_weights(docs: DataFrame, model: Model, name: str) -> DataFrame:
             for first, n, buckets, owner in batches_of(batch.column(body).to_pylist()):
                 sums[first : first + n] += np.bincount(owner, ratio[buckets], minlength=n)
             columns = [c for c, n in zip(batch.columns, batch.schema.names) if n != body]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums)], names=[*(n for n in batch.schema.names if n != body), name])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums)], names=[*(n for n in batch.schema.names if n != body), "weight"])
 
-    return source.mapInArrow(score, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{name}` double"]))
+    plain, fields = numbered(source, body)
+    schema = StructType([*fields[:-1], StructField("weight", DoubleType())])  # the text's bytes came last
+    return plain.mapInArrow(score, schema).toDF(*docs.columns, name)
 
 
 def gumbel_key(log_weight: Column, row: Column) -> Column:
@@ -229,4 +232,4 @@ def keep_drawn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -
     hashed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     key = gumbel_key(F.col(weight), F.col(row))
     drawn = (key > last["gumbel_key"]) | ((key == last["gumbel_key"]) & (F.col(row) <= last["row_hash"]))
-    return with_log_weights(hashed, model, weight).where(drawn).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return with_log_weights(hashed, model, weight).where(drawn).select(*columns_of(docs))

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_spread, temp_names, text_of
+from .common import checkpointed, column, join_spread, temp_names, text_of
 from .trigrams import trigram_query
 
 #: Documents in a block of the index, as a power of two.
@@ -172,7 +172,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     ordered = F.array_sort(F.concat(*names))
     spans = F.transform(ordered, lambda x: F.struct(F.element_at(kinds, x["rank"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"), spans.alias("secret_spans"))
+    return df.select(*(column(c) for c in docs.columns if c != "secret_spans"), spans.alias("secret_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -228,7 +228,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     new = step.withColumn(name, F.when(changed, kept_text(body, F.col(gaps), mark)).otherwise(body))
     columns = []
     for c, there in zip(docs.columns, own.columns):
-        value = F.col(f"`{there}`")
+        value = column(there)
         if c == "text":
             value = F.col(name)
         elif c == "n_chars":

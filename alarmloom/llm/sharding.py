@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, temp_names, text_of
+from .common import columns_of, prefix_sums, temp_names, text_of
 
 LAW = "bytes"
 
@@ -57,5 +57,5 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 16) -> None:
     places = placed.groupBy(doc_id, placed_hash).agg(F.min(F.struct("shard", "slot")).alias(place)).withColumn(placed_key, F.xxhash64(doc_id, placed_hash))
     tagged = docs.withColumn(text_hash, F.xxhash64(text_of())).withColumn(key, F.xxhash64("doc_id", text_hash))
     same = (F.col(key) == F.col(placed_key)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(text_hash) == F.col(placed_hash))
-    joined = tagged.join(places, same).select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{place}.shard").alias(shard))
+    joined = tagged.join(places, same).select(*columns_of(docs), F.col(f"{place}.shard").alias(shard))
     joined.write.mode("overwrite").partitionBy(shard).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import checkpointed, join_spread, shuffle_partitions, temp_names
+from .common import checkpointed, columns_of, join_spread, shuffle_partitions, temp_names
 from .graph import connected_components
 from .words import parts_of
 
@@ -312,4 +312,4 @@ def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     # the key never is null, so rows without a doc_id find theirs by an equality too
     keyed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit("")))).withColumn(key, F.xxhash64("doc_id", own))
     same = (F.col(key) == F.col(wanted)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(own) == F.col(kept_hash))
-    return keyed.join(asked, same, "left_semi").dropDuplicates([key, "doc_id", own]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.join(asked, same, "left_semi").dropDuplicates([key, "doc_id", own]).select(*columns_of(docs))

@@ -19,10 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrow import pieces
 from .bpe import Encoder, encoder
-from .common import temp_names
+from .common import column, numbered, temp_names
 
 BOUNDARY = re.compile(r"(?<=\S)[ \n](?=\S)").finditer
 
@@ -104,18 +105,18 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, chunk: int
     text is held but the one in work, and the ids of no more than two chunks.
     """
     (body,) = temp_names(docs, "body")
-    source = docs.select(*keys, F.coalesce("text", F.lit("")).alias(body))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != body]
+    source, fields = numbered(docs.select(*map(column, keys), F.coalesce("text", F.lit("")).alias(body)), body)
+    added = StructType.fromDDL("n_bytes long, n_tokens long, n_chunks long, n_widened long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
         for batch in pieces(batches, body):
             texts = batch.column(body)
             got = [count_text(own, x, chunk, overlap) for x in texts.to_pylist()]
-            columns = [batch.column(k) for k in keys]
+            columns = batch.columns[: len(keys)]
             columns += [pc.binary_length(texts).cast(pa.int64())]
             columns += [pa.array([x[i] for x in got], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "n_bytes", "n_tokens", "n_chunks", "n_widened"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(keys)], *added.names])
 
-    counted = source.mapInArrow(count, ", ".join([*kept, "n_bytes long, n_tokens long, n_chunks long, n_widened long"]))
-    return counted.select(*keys, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks", "n_widened")
+    counted = source.mapInArrow(count, StructType([*fields[:-1], *added])).toDF(*keys, *added.names)
+    return counted.select(*map(column, keys), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chunks", "n_widened")

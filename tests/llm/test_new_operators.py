@@ -256,3 +256,73 @@ def test_bounds_spare_distances():
         worked.append(n)
         before, centres = centres, [list(map(int, points[own == k].sum(0) // max(1, (own == k).sum()))) if (own == k).any() else c for k, c in enumerate(centres)]
     assert worked[-1] < worked[0] / 4
+
+
+# ------------------------------------------------------------ columns of any name
+
+
+def odd_documents(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["alpha beta gamma delta epsilon"] * 3 + ["password = hunter2hunter2 in a text", None, "", "other words here"]
+    base = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    return base.select(
+        "*",
+        F.col("doc_id").alias("a.b"),
+        F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("a`b"),
+        F.struct(F.col("doc_id").alias("x.y"), F.lit(1).alias("`")).alias("nested"),
+        F.create_map(F.lit("k"), F.col("doc_id")).alias("map"),
+        F.array(F.struct(F.col("doc_id").alias("in.side"))).alias("c0"),
+        F.col("doc_id").alias("with space"),
+    )
+
+
+def test_every_operator_that_keeps_columns_keeps_those_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from alarmloom.llm.media import thumbnails
+    from alarmloom.llm.mixing import mixed_documents
+    from alarmloom.llm.near_copies import drop_near_copies
+    from alarmloom.llm.quality import keep_drawn
+    from alarmloom.llm.secret_scan import redact, scan_secrets
+    from alarmloom.llm.sharding import write_shards
+    from alarmloom.llm.simhash import drop_near_duplicates
+    from alarmloom.llm.token_counts import count_tokens
+    from alarmloom.llm.bpe import vocabulary
+
+    docs = odd_documents(spark)
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+
+    def write(df):
+        path = str(tmp_path / f"shards-{len(df.columns)}")
+        write_shards(df, path, 2)
+        back = spark.read.parquet(path)
+        return back.select([c for c in map(lambda c: "`" + c.replace("`", "``") + "`", back.columns) if c != "`__shard`"])
+
+    keepers = {
+        "keep_drawn": lambda df: keep_drawn(df, labels),
+        "redact": redact,
+        "mixed_documents": mixed_documents,
+        "drop_near_copies": drop_near_copies,
+        "drop_near_duplicates": drop_near_duplicates,
+        "write_shards": write,
+        "scan_secrets": lambda df: scan_secrets(df).drop("secret_spans"),
+        "thumbnails": lambda df: thumbnails(df.withColumn("media", F.lit(b"none"))).drop("media", "media_width", "media_height", "thumbnail", "thumbnail_width", "thumbnail_hash", "media_error"),
+    }
+    for name, keep in keepers.items():
+        got, few = keep(docs), keep(plain)
+        assert got.columns == docs.columns, name
+        rows = [r.asDict(recursive=True) for r in got.collect()]
+        assert sorted((r["doc_id"] for r in rows), key=repr) == sorted((r.doc_id for r in few.collect()), key=repr), name
+        for r in rows:
+            i = r["doc_id"]
+            assert (r["a.b"], r["a`b"], r["nested"], r["map"], r["c0"], r["with space"]) == (i, None if i is None else f"x{i}", {"x.y": i, "`": 1}, {"k": i}, [{"in.side": i}], i), name
+    assert sorted(r["a.b"] for r in count_tokens(docs.where("doc_id is not null"), vocabulary("word_bpe_49k.json"), keys=("a.b", "a`b")).collect()) == list(range(7))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stage_docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, stage_docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
