@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 PARTITION = "__part"
 
@@ -43,6 +45,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more; it finds out when the driver's memory is swept."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Stored:
     """Frames written in the shared folder that are given up one by one, for loops that outgrow what they stored."""
 
@@ -85,9 +93,24 @@ def temp_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def numbered(df: DataFrame, *named: str) -> tuple[DataFrame, list[StructField]]:
+    """``df`` with its columns called c0, c1, ... but for those ``named``, and their fields: Arrow batches and schemas need plain names."""
+    plain = [c if c in named else f"c{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*plain), [StructField(n, f.dataType, f.nullable) for n, f in zip(plain, df.schema)]
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns, by which equal rows are equal; maps, which have no hash, as JSON."""
-    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    parts = [F.to_json(F.struct(column(f.name))) if "map<" in f.dataType.simpleString() else column(f.name) for f in df.schema]
     return F.xxhash64(*parts)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import checkpointed, join_spread, prefix_sums
+from .common import checkpointed, join_spread, prefix_sums, release
 from .words import parts_of
 
 BREAK = b"\xff"  # no byte of UTF-8
@@ -34,7 +34,7 @@ LEAST, LONGEST, FIRST, SUBSUMED, FACTOR = 30, 4, 2000, 80, 2_000_000
 #: Bits of the map of frequent names, 8 MB a level.
 MAP_BITS = 1 << 26
 #: Different words, and positions, that a task gathers before it sends counts.
-WORDS, POSITIONS = 1 << 19, 1 << 21
+WORDS, POSITIONS = 1 << 19, 1 << 20
 #: Languages whose names a task remembers at a time.
 LANGUAGES = 16
 LOWERED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10)
@@ -49,7 +49,7 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
 class Names(dict):
     """Names of a language's words; forgotten when there are many. A name never is 0, which stands for a break."""
 
-    def __init__(self, lang: str, most: int = 1 << 18):
+    def __init__(self, lang: str, most: int = 1 << 17):
         self.seed, self.most = xxhash.xxh64_intdigest(lang.encode()), most
         self[BREAK] = 0
 
@@ -133,9 +133,9 @@ def bit_map(frequent: DataFrame) -> np.ndarray:
 
 
 def pair_counts(docs: DataFrame, maps: list[Broadcast]) -> DataFrame:
-    """lang, names of the left and the right part, and occurrences of the phrases of ``len(maps) + 1`` words whose parts are frequent by the maps.
+    """Names of the left and the right part, and occurrences, of the phrases of ``len(maps) + 1`` words whose parts are frequent by the maps.
 
-    ``maps`` has a map a level, words first.
+    ``maps`` has a map a level, words first. A name stands for its language too.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def pair_counts(docs: DataFrame, maps: list[Broadcast]) -> DataFrame:
         yield from sent(held)
 
     def sent(held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for lang, runs in held.items():
+        for runs in held.values():
             level = np.concatenate([*runs, np.zeros(1, np.uint64)])
             for bits in maps:
                 level = lit(level, bits.value)
@@ -170,13 +170,13 @@ def pair_counts(docs: DataFrame, maps: list[Broadcast]) -> DataFrame:
             if len(some):
                 _, first, counts = np.unique(level[some], return_index=True, return_counts=True)
                 at = some[first]
-                columns = [pa.array([lang] * len(at), pa.string()), pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(counts, pa.int64())]
+                columns = [pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(counts, pa.int64())]
                 for k in range(0, len(at), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 17) for c in columns], names=["lang", "left", "right", "a"])
+                    yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 17) for c in columns], names=["left", "right", "a"])
         held.clear()
 
-    found = with_lang(docs).mapInArrow(count, "lang string, left long, right long, a long")
-    return found.groupBy("lang", "left", "right").agg(F.sum("a").alias("a"))
+    found = with_lang(docs).mapInArrow(count, "left long, right long, a long")
+    return found.groupBy("left", "right").agg(F.sum("a").alias("a"))
 
 
 def with_names(pairs: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def with_names(pairs: DataFrame) -> DataFrame:
             left, right = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("left", "right"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paired(left, right).view(np.int64))], names=[*batch.schema.names, "name"])
 
-    return pairs.mapInArrow(name, "lang string, left long, right long, a long, name long")
+    return pairs.mapInArrow(name, "left long, right long, a long, name long")
 
 
 def score(a: str, l: str, r: str) -> Column:
@@ -202,11 +202,10 @@ def level(pairs: DataFrame, below: DataFrame, k: int) -> DataFrame:
     """
     own = ("name", "lang", "phrase", "last_word", "a", "heads", "tails")
     left, right = (below.select(*(F.col(c).alias(f"{side}_{c}") for c in own)) for side in ("l", "r"))
-    # a name holds its language, which is compared besides
-    joined = pairs.join(left, (F.col("left") == F.col("l_name")) & (F.col("lang") == F.col("l_lang"))).join(right, (F.col("right") == F.col("r_name")) & (F.col("lang") == F.col("r_lang")))
+    joined = pairs.join(left, F.col("left") == F.col("l_name")).join(right, (F.col("right") == F.col("r_name")) & (F.col("l_lang") == F.col("r_lang")))
     return joined.select(
         "name",
-        "lang",
+        F.col("l_lang").alias("lang"),
         "left",
         "right",
         F.concat_ws(" ", "l_phrase", "r_last_word").alias("phrase"),
@@ -229,6 +228,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, su
         pairs = with_names(pair_counts(docs, maps).where(F.col("a") >= least))
         below = checkpointed(level(checkpointed(pairs), below, k))
         levels.append(below)
+        del pairs
+        release(spark)  # a level's counts are the largest shuffle
     kept = []
     for shorter, longer in zip(levels, [*levels[1:], None]):
         chosen = shorter.withColumn("best", F.array_min(F.transform("cuts", lambda c: F.struct(c["score"], c["cut"], c["l"], c["r"]))))
