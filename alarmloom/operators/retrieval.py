@@ -1,20 +1,20 @@
 """Similar earlier episodes: time gates, exact cosine top-k, outcome Jaccard, ranking measures.
 
-Queries meet candidates in blocks. A pair of blocks is worked out by matrix products
-and gives, for each query, its best candidates, the size of its pool and how many of
-the pool are relevant at each threshold; so what leaves a block grows with queries,
-not with pairs. Similarities are rounded to twelve digits before they are ranked,
+Best candidates come from an inverted index in blocks of time (``best_candidates``), the sizes of pools from running
+counts, and the relevant candidates of a pool from a join of sets of codes by prefixes (``relevant_counts``); none of
+these makes a row for each pair. Similarities are rounded to twelve digits before they are ranked,
 so that the order does not hang on the order of summation.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
-from itertools import accumulate
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from ..functions.storage import stored
 POLICIES = ("expanding_history", "train_only")
 STATUSES = ("query_outcome_incomplete", "query_without_future_alarms", "no_evaluable_candidates", "evaluated")
 #: Rows of a block, and ranges of time.
-QUERY_BLOCK, CANDIDATE_BLOCK, MOST_RANGES = 512, 8192, 64
-DIGITS = 12
+QUERY_BLOCK, CANDIDATE_BLOCK, MOST_RANGES = 16_384, 4_096, 1_024
+DIGITS, SLACK = 12, 1e-9
 
 
 def checked_policy(policy: str) -> str:
@@ -58,22 +58,33 @@ def evaluable_candidates(episodes: DataFrame, outcomes: DataFrame, incident_id:
     return historical_candidates(episodes, incident_id, policy).join(over, "incident_id", "left_semi")
 
 
-def pool_sizes(episodes: DataFrame, ready: Column, policy: str = "expanding_history") -> DataFrame:
-    """(incident_id, pool): for each episode the number of candidates that are ``ready`` (a time column, null: never) before it starts.
+DAY = 86_400_000_000
+
 
-    A running count over starts and ready times together, so no pairs are made. Moments are dealt out
-    by day: totals of days first, then inside each day.
+def counts_before(asked: DataFrame, readies: DataFrame, *keys: str) -> DataFrame:
+    """incident_id of each row of ``asked`` (keys, incident_id, us) with the sums, over rows of ``readies`` (keys, us and numbers) that come strictly before it.
+
+    Running sums over both together, so no pairs are made. Moments are dealt out by day: totals of days
+    first, then inside each day.
     """
-    day = 86_400_000_000
+    values = [c for c in readies.columns if c not in (*keys, "us")]
+    zeros = asked.select(*keys, "incident_id", "us", *(F.lit(0).cast("long").alias(v) for v in values), F.lit(0).alias("late"))
+    # at one moment those who ask come first: what is ready counts only if it is ready strictly before
+    adds = readies.select(*keys, F.lit(None).cast("string").alias("incident_id"), "us", *(F.col(v).cast("long").alias(v) for v in values), F.lit(1).alias("late"))
+    moments = zeros.unionByName(adds).withColumn("day", F.floor(F.col("us") / DAY))
+    totals = moments.groupBy(*keys, "day").agg(*(F.sum(v).alias(v) for v in values))
+    earlier = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "day", *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"base_{v}") for v in values))
+    running = Window.partitionBy(*keys, "day").orderBy("us", "late").rowsBetween(Window.unboundedPreceding, 0)
+    inside = moments.withColumns({v: F.sum(v).over(running) for v in values}).where(F.col("incident_id").isNotNull())
+    return inside.join(before, [*keys, "day"]).select("incident_id", *((F.col(v) + F.col(f"base_{v}")).alias(v) for v in values))
+
+
+def pool_sizes(episodes: DataFrame, ready: Column, policy: str = "expanding_history") -> DataFrame:
+    """(incident_id, pool): for each episode the number of candidates that are ``ready`` (a time column, null: never) before it starts."""
     counts = ready if policy == "expanding_history" else F.when(F.col("split") == "train", ready)
-    starts = episodes.select("incident_id", micros("start_time").alias("us"), F.lit(0).alias("adds"))
-    # at one moment starts come first: a candidate counts only if it is ready strictly before
-    readies = episodes.select(F.lit(None).cast("string").alias("incident_id"), micros(counts).alias("us"), F.lit(1).alias("adds")).where(F.col("us").isNotNull())
-    moments = starts.unionByName(readies).withColumn("day", F.floor(F.col("us") / day))
-    totals = moments.groupBy("day").agg(F.sum("adds").alias("total"))
-    before = totals.select("day", F.coalesce(F.sum("total").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.sum("adds").over(Window.partitionBy("day").orderBy("us", "adds").rowsBetween(Window.unboundedPreceding, 0))
-    return moments.withColumn("inside", inside).join(before, "day").where(F.col("incident_id").isNotNull()).select("incident_id", (F.col("base") + F.col("inside")).alias("pool"))
+    readies = episodes.select(micros(counts).alias("us"), F.lit(1).alias("pool")).where(F.col("us").isNotNull())
+    return counts_before(episodes.select("incident_id", micros("start_time").alias("us")), readies)
 
 
 @dataclass(frozen=True)
@@ -96,134 +107,211 @@ class Search:
 BEST = "array<struct<similarity:double,end_us:bigint,candidate_id:string,jaccard:double>>"
 
 
-def searchable(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None) -> DataFrame:
-    """One row an episode with all that a block needs."""
+def searchable(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None, queries: DataFrame, search: Search) -> DataFrame:
+    """One row an episode with all that a search needs; ``moment``: from when it may be found (null: never); ``asked``: whether it is a query."""
     base = episodes.select("incident_id", "split", micros("start_time").alias("start_us"), micros("end_time").alias("end_us")).join(vectors.select("incident_id", "terms", "shape"), "incident_id")
     if outcomes is None:
-        return base.withColumns({"ready_us": F.col("end_us"), "codes": F.array().cast("array<string>")})
-    ready = F.when(F.col("outcome_is_complete"), micros("outcome_end_time"))
-    return base.join(outcomes.select("incident_id", ready.alias("ready_us"), F.col("future_alarm_codes").alias("codes")), "incident_id")
+        base = base.withColumns({"ready_us": F.col("end_us"), "codes": F.array().cast("array<string>")})
+    else:
+        ready = F.when(F.col("outcome_is_complete"), micros("outcome_end_time"))
+        base = base.join(outcomes.select("incident_id", ready.alias("ready_us"), F.col("future_alarm_codes").alias("codes")), "incident_id")
+    moment = F.when(F.col("ready_us").isNotNull(), F.greatest("end_us", "ready_us")) if search.outcome_gate else F.col("end_us")
+    if search.policy == "train_only":
+        moment = F.when(F.col("split") == "train", moment)
+    flags = queries.select("incident_id", F.lit(True).alias("asked")).distinct()
+    return base.join(flags, "incident_id", "left").select("incident_id", "start_us", "end_us", moment.alias("moment"), "terms", "shape", "codes", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
+class PostingBlock:
+    """An inverted index of a block of candidates in the order of their moments: by token, its rows, weights and largest weight."""
+
+    def __init__(self, held: pa.Table):
+        order = np.argsort(held.column("moment").to_numpy(), kind="stable")
+        held = held.take(pa.array(order)).combine_chunks()
+        self.moments, self.ends = held.column("moment").to_numpy(), held.column("end_us").to_numpy()
+        self.ids, self.codes = held.column("incident_id").to_pylist(), held.column("codes")
+        self.shapes = held.column("shape").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)
+        terms = held.column("terms").combine_chunks()
+        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        entries = terms.flatten()
+        tokens = pc.dictionary_encode(entries.field("token"))
+        self.token_of, self.weight = tokens.indices.to_numpy(zero_copy_only=False), entries.field("weight").to_numpy(zero_copy_only=False)
+        self.numbers = {t: i for i, t in enumerate(tokens.dictionary.to_pylist())}
+        row = np.repeat(np.arange(held.num_rows), np.diff(self.starts))
+        by_token = np.argsort(self.token_of, kind="stable")
+        self.rows = row[by_token]
+        self.limits = np.searchsorted(self.token_of[by_token], np.arange(len(self.numbers) + 1))
+        self.most = np.array([np.abs(self.weight[by_token][a:b]).max() for a, b in zip(self.limits[:-1], self.limits[1:])])
+        self.longest = np.sqrt((self.shapes**2).sum(1)).max(initial=0.0)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Similarity of ``rows`` to a query (a weight for each token of the block), from their own terms alone."""
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        sums = np.bincount(np.repeat(np.arange(len(rows)), sizes), self.weight[at] * query[self.token_of[at]], minlength=len(rows))
+        return np.round(sums + self.shapes[rows] @ shape, DIGITS) + 0.0
+
+    def best(self, incident_id: str, start_us: int, terms: list[dict], shape: np.ndarray, floor: float, k: int) -> tuple[list[tuple[float, int]], int]:
+        """The ``k`` best (similarity, row) of those found before ``start_us`` with a similarity of ``floor`` or more, and how many were worked out.
+
+        Tokens are taken in the order of the most they can add. When what those that are left can add, with the shape, is below
+        the floor, rows that have none of the tokens so far cannot reach it.
+        """
+        limit = int(np.searchsorted(self.moments, start_us, "left"))
+        query = np.zeros(len(self.numbers))
+        known = [(abs(t["weight"]) * self.most[n], n) for t in terms if (n := self.numbers.get(t["token"])) is not None]
+        for t in terms:
+            if (n := self.numbers.get(t["token"])) is not None:
+                query[n] = t["weight"]
+        known.sort(reverse=True)
+        left = sum(b for b, _ in known) + float(np.sqrt((shape**2).sum())) * self.longest + SLACK
+        if left < floor or not limit:
+            return [], 0
+        lists = []
+        for bound, n in known:
+            if left < floor:
+                break
+            lists.append(self.rows[self.limits[n] : self.limits[n + 1]])
+            left -= bound
+        if left < floor:
+            rows = np.unique(np.concatenate(lists))
+            rows = rows[rows < limit]
+        else:
+            rows = np.arange(limit)
+        similar = self.scores(rows, query, shape)
+        if len(rows) > 4 * k:
+            some = similar >= max(floor, np.partition(similar, len(similar) - k - 1)[len(similar) - k - 1])  # one more: the query itself may be among them
+            rows, similar, worked = rows[some], similar[some], len(rows)
+        else:
+            worked = len(rows)
+        order = sorted(((-s, -self.ends[r], self.ids[r], r) for s, r in zip(similar.tolist(), rows.tolist()) if self.ids[r] != incident_id))[:k]
+        return [(-s, r) for s, _, _, r in order], worked
+
+
+def overlap(a: list[str], b: list[str]) -> float:
+    both = len(set(a) & set(b))
+    return both / (len(set(a)) + len(set(b)) - both) if both else 0.0
+
+
+def block_result(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    out: list[tuple] = []
+    if asked.num_rows and held.num_rows:
+        block = PostingBlock(held)
+        columns = zip(*(asked.column(c).to_pylist() for c in ("incident_id", "start_us", "terms", "shape", "codes", "floor")))
+        for incident_id, start_us, terms, shape, codes, floor in columns:
+            best, worked = block.best(incident_id, start_us, terms, np.array(shape), floor, k)
+            if best or worked:
+                rows = [{"similarity": s, "end_us": int(block.ends[r]), "candidate_id": block.ids[r], "jaccard": overlap(codes, block.codes[r].as_py())} for s, r in best]
+                out.append((incident_id, rows, worked))
+    kind = pa.list_(pa.struct([("similarity", pa.float64()), ("end_us", pa.int64()), ("candidate_id", pa.string()), ("jaccard", pa.float64())]))
+    return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("incident_id", pa.string()), ("best", kind), ("worked", pa.int64())))})
+
+
+def best_order(a: Column, b: Column) -> Column:
+    return (
+        F.when(a["similarity"] != b["similarity"], F.when(a["similarity"] > b["similarity"], -1).otherwise(1))
+        .when(a["end_us"] != b["end_us"], F.when(a["end_us"] > b["end_us"], -1).otherwise(1))
+        .otherwise(F.when(a["candidate_id"] < b["candidate_id"], -1).when(a["candidate_id"] > b["candidate_id"], 1).otherwise(0))
+    )
 
 
-def block_result(asked: pa.Table, held: pa.Table, search: Search) -> pa.Table:
-    names = ("incident_id", "pool", "relevant", "best")
-    kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("similarity", pa.float64()), ("end_us", pa.int64()), ("candidate_id", pa.string()), ("jaccard", pa.float64())])))
-    rows: list[tuple] = []
-    if asked.num_rows and held.num_rows:
-        place_terms: dict[str, int] = {}
-        place_codes: dict[str, int] = {}
-        both = {}
-        for name, t in (("q", asked), ("c", held)):
-            terms, codes = t.column("terms").to_pylist(), t.column("codes").to_pylist()
-            for line in terms:
-                for x in line:
-                    place_terms.setdefault(x["token"], len(place_terms))
-            for line in codes:
-                for x in line:
-                    place_codes.setdefault(x, len(place_codes))
-            both[name] = terms, codes
-        matrices = {}
-        for name, t in (("q", asked), ("c", held)):
-            terms, codes = both[name]
-            vector = np.zeros((t.num_rows, len(place_terms) + 3))
-            binary = np.zeros((t.num_rows, max(1, len(place_codes))), np.float32)
-            for i, line in enumerate(terms):
-                for x in line:
-                    vector[i, place_terms[x["token"]]] = x["weight"]
-            vector[:, len(place_terms) :] = np.array(t.column("shape").to_pylist()).reshape(t.num_rows, 3)
-            for i, line in enumerate(codes):
-                binary[i, [place_codes[x] for x in line]] = 1
-            matrices[name] = vector, binary
-        ids, candidate_ids = np.array(asked.column("incident_id").to_pylist()), np.array(held.column("incident_id").to_pylist())
-        start = asked.column("start_us").to_numpy()
-        end = held.column("end_us").to_numpy()
-        ready = held.column("ready_us").to_numpy() if search.outcome_gate else end.astype(float)
-        gate = (end[None, :] < start[:, None]) & (ids[:, None] != candidate_ids[None, :])
-        with np.errstate(invalid="ignore"):
-            gate &= ready[None, :] < start[:, None]
-        if search.policy == "train_only":
-            gate &= (np.array(held.column("split").to_pylist()) == "train")[None, :]
-        similarity = np.round(matrices["q"][0] @ matrices["c"][0].T, DIGITS) + 0.0
-        shared = (matrices["q"][1] @ matrices["c"][1].T).astype(float)
-        sizes = matrices["q"][1].sum(1)[:, None] + matrices["c"][1].sum(1)[None, :] - shared
-        overlap = np.divide(shared, sizes, out=np.zeros_like(shared), where=sizes > 0)
-        pool = gate.sum(1)
-        relevant = [((overlap >= t) & gate).sum(1) for t in search.thresholds]
-        for i in np.flatnonzero(pool):
-            at = np.flatnonzero(gate[i])
-            if len(at) > 4 * search.k:
-                line = similarity[i, at]
-                at = at[line >= np.partition(line, len(line) - search.k)[len(line) - search.k]]
-            order = sorted(at.tolist(), key=lambda j: (-similarity[i, j], -end[j], candidate_ids[j]))[: search.k]
-            best = [{"similarity": similarity[i, j], "end_us": int(end[j]), "candidate_id": str(candidate_ids[j]), "jaccard": overlap[i, j]} for j in order]
-            rows.append((str(ids[i]), int(pool[i]), [int(r[i]) for r in relevant], best))
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))})
-
-
-def time_blocks(asked: DataFrame, rows: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
-    """Queries and candidates, each once for every pair of blocks (qb, cb) they have to meet in.
-
-    Time is cut into ranges at quantiles of the moments from which candidates may be found, and each
-    range into blocks by hash, so that a range in which many begin is no larger block.
-    Blocks are numbered by range: a query meets candidate blocks up to its own range
-    only, and later ones are neither sent nor multiplied. Candidates that the policy, the gate or the last query never admits go first.
-    """
-    usable = rows.withColumn("moment", F.greatest("end_us", "ready_us") if search.outcome_gate else F.col("end_us"))
-    if search.outcome_gate:
-        usable = usable.where(F.col("ready_us").isNotNull())
-    if search.policy == "train_only":
-        usable = usable.where(F.col("split") == "train")
-    latest, count = asked.agg(F.max("start_us"), F.count(F.lit(1))).first()
-    usable = usable.where(F.col("moment") < F.lit(latest))
-    wanted = min(MOST_RANGES, ceil(usable.count() / CANDIDATE_BLOCK), ceil(count / QUERY_BLOCK))
-    cuts = sorted(set(usable.agg(F.percentile_approx("moment", [i / wanted for i in range(1, wanted)], 10_000)).first()[0] or [])) if wanted > 1 else []
-
-    def numbered(df: DataFrame, us: str, size: int, name: str) -> tuple[DataFrame, list[int]]:
-        """``df`` with its range and its block; the first block of each range, and behind them the number of all."""
-        limits = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-        ranged = df.withColumn("range", F.size(F.filter(limits, lambda c: c <= F.col(us))))
-        counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
-        blocks = [ceil(counts.get(i, 0) / size) for i in range(len(cuts) + 1)]
-        starts = [0, *accumulate(blocks)]
-        here = F.element_at(F.array(*(F.lit(x) for x in starts)), F.col("range") + 1)
-        part = F.pmod(F.xxhash64("incident_id"), F.element_at(F.array(*(F.lit(max(1, x)) for x in blocks)), F.col("range") + 1))
-        return ranged.withColumn(name, (here + part).cast("int")), starts
-
-    questions, query_starts = numbered(asked, "start_us", QUERY_BLOCK, "qb")
-    answers, answer_starts = numbered(usable, "moment", CANDIDATE_BLOCK, "cb")
-    end = F.element_at(F.array(*(F.lit(x) for x in answer_starts)), F.col("range") + 2)
-    first = F.element_at(F.array(*(F.lit(x) for x in query_starts)), F.col("range") + 1)
-    questions = questions.where(end > 0).withColumn("cb", F.explode(F.sequence(F.lit(0), end - 1))).drop("range")
-    answers = answers.where(first < query_starts[-1]).withColumn("qb", F.explode(F.sequence(first, F.lit(query_starts[-1] - 1)))).drop("range", "moment")
-    return questions, answers
+def merged(parts: DataFrame, k: int) -> DataFrame:
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best")), best_order), 1, k)
+    return parts.groupBy("incident_id").agg(best.alias("best"), F.sum("worked").alias("worked"))
 
 
-def retrieve(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None, queries: DataFrame, search: Search) -> DataFrame:
-    """(incident_id, pool, relevant, best) for each of ``queries`` (incident_id) that has candidates.
+def best_candidates(rows: DataFrame, search: Search) -> DataFrame:
+    """(incident_id, best, worked) of each query of ``rows`` (stored) that has candidates; worked: the candidates whose similarity was worked out.
 
-    ``best``: up to k candidates by similarity, then later end, then id; ``relevant``: for each
-    threshold the candidates of the whole pool whose outcome is at least so similar.
+    Candidates lie in blocks, ranges of their moments. A query first meets the block before its own time; its k-th best there
+    is a floor that goes with it to the blocks before and its own one. A candidate is sent once for QUERY_BLOCK queries, and no block
+    holds a row for each pair of row and token.
     """
-    rows = stored(searchable(episodes, vectors, outcomes))
-    asked = stored(rows.join(queries.select("incident_id"), "incident_id", "left_semi"))
-    asked, held = time_blocks(asked, rows, search)
-    held = held.select(*(F.col(c).alias(c) for c in held.columns))  # both sides may come from the same rows; new names keep them apart
+    shares = [i / MOST_RANGES for i in range(1, MOST_RANGES)]
+    asked_count, n, quantiles = rows.agg(F.count_if("asked"), F.count("moment"), F.percentile_approx("moment", shares, 10_000)).first()
+    wanted = min(MOST_RANGES, ceil(n / CANDIDATE_BLOCK))
+    # a moment that many quantiles fall on is a range of several blocks
+    counts = Counter(quantiles[ceil(i * MOST_RANGES / wanted) - 1] for i in range(1, wanted)) if wanted > 1 else Counter()
+    cuts = sorted(counts)
+    parts = [max(1, ceil(n / MOST_RANGES / CANDIDATE_BLOCK))] + [max(counts[c], ceil(n / MOST_RANGES / CANDIDATE_BLOCK)) for c in cuts]
+    query_blocks = max(1, ceil(asked_count / QUERY_BLOCK))
+    limits = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
+    pieces = F.array(*map(F.lit, parts))
+
+    def spread(count: Column) -> Column:
+        return F.sequence(F.lit(0), count.cast("int") - 1)
+
+    held = rows.where(F.col("moment").isNotNull()).withColumn("range", F.size(F.filter(limits, lambda c: c <= F.col("moment"))))
+    held = held.withColumn("part", F.pmod(F.xxhash64("incident_id"), F.element_at(pieces, F.col("range") + 1)).cast("int")).select("incident_id", "end_us", "moment", "terms", "shape", "codes", "range", "part", F.explode(spread(F.lit(query_blocks))).alias("qb"))
+    queries = rows.where("asked").select("incident_id", "start_us", "terms", "shape", "codes", F.size(F.filter(limits, lambda c: c < F.col("start_us"))).alias("last"), F.pmod(F.xxhash64("incident_id"), F.lit(query_blocks)).cast("int").alias("qb"))
+    queries = queries.withColumn("seed", F.greatest(F.col("last") - 1, F.lit(0)))
+    k, keys = search.k, ("range", "part", "qb")
 
     def block(q: pa.Table, c: pa.Table) -> pa.Table:
-        return block_result(q, c, search)
+        return block_result(q, c, k)
+
+    def met(asked: DataFrame) -> DataFrame:
+        other = held.select(*(F.col(c).alias(c) for c in held.columns))  # both sides come from the same rows; new names keep them apart
+        return asked.groupBy(*keys).cogroup(other.groupBy(*keys)).applyInArrow(block, f"incident_id string, best {BEST}, worked long")
+
+    own = queries.withColumn("floor", F.lit(float("-inf"))).withColumn("range", F.col("seed"))
+    first = met(own.withColumn("part", F.explode(spread(F.element_at(pieces, F.col("range") + 1)))))
+    if not cuts:
+        return merged(first, k)
+    found = stored(merged(first, k))
+    floors = found.select(F.col("incident_id").alias("of"), F.when(F.size("best") >= k, F.element_at("best", k)["similarity"]).alias("seen"))
+    rest = queries.join(floors, F.col("incident_id") == F.col("of"), "left").withColumn("floor", F.coalesce("seen", F.lit(float("-inf")))).drop("of", "seen")
+    rest = rest.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("last")))).where("range <> seed")
+    more = met(rest.withColumn("part", F.explode(spread(F.element_at(pieces, F.col("range") + 1)))))
+    return merged(found.unionByName(more), k)
 
-    parts = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInArrow(block, f"incident_id string, pool long, relevant array<long>, best {BEST}")
-    sums = [F.sum(F.col("relevant")[i]) for i in range(len(search.thresholds))]
 
-    def order(a: Column, b: Column) -> Column:
-        return (
-            F.when(a["similarity"] != b["similarity"], F.when(a["similarity"] > b["similarity"], -1).otherwise(1))
-            .when(a["end_us"] != b["end_us"], F.when(a["end_us"] > b["end_us"], -1).otherwise(1))
-            .otherwise(F.when(a["candidate_id"] < b["candidate_id"], -1).when(a["candidate_id"] > b["candidate_id"], 1).otherwise(0))
-        )
+def relevant_counts(rows: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """incident_id of each query of ``rows`` with r0, r1, ...: the candidates before it whose codes have at least that Jaccard similarity with its own.
+
+    Different sets of codes are joined, not episodes. Codes are put in order of rarity; two sets of a similarity of t share one of the first n - ceil(t n) + 1
+    codes of each, n its size, and their sizes are within t of each other. Those pairs are verified, and the candidates of verified sets counted up to each query's start.
+    """
+    least = min(thresholds)
+    asked, held = rows.where("asked"), rows.where(F.col("moment").isNotNull())
+    sets = stored(asked.select("codes", F.lit(True).alias("of_query")).unionByName(held.select("codes", F.lit(False).alias("of_query"))).where(F.size("codes") > 0).groupBy("codes").agg(F.max("of_query").alias("of_query"), F.min("of_query").alias("only_query")))
+    flat = sets.select("codes", "of_query", "only_query", F.explode("codes").alias("code"))
+    flat = flat.join(flat.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code")
+    size = F.size("codes")
+    prefix = F.slice(F.sort_array(F.collect_list(F.struct("n", "code"))), F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
+    posted = flat.groupBy("codes").agg(F.any_value("of_query").alias("of_query"), F.any_value("only_query").alias("only_query"), prefix.alias("prefix")).select("codes", "of_query", "only_query", F.explode("prefix.code").alias("code"))
+    left = posted.where("of_query").select("codes", "code")
+    right = posted.where("NOT only_query").select(F.col("codes").alias("other"), "code")
+    fits = (F.least(F.size("codes"), F.size("other")) >= F.greatest(F.size("codes"), F.size("other")) * F.lit(least) - F.lit(1e-9))
+    pairs = left.join(right, "code").where(fits).select("codes", "other").distinct().withColumn("overlap", jaccard(F.col("codes"), F.col("other"))).where(F.col("overlap") >= least)
+    ready = held.groupBy("codes", "moment").agg(F.count(F.lit(1)).alias("n")).select(F.col("codes").alias("other"), F.col("moment").alias("us"), "n")
+    readies = pairs.join(ready, "other").groupBy("codes", "us").agg(*(F.sum(F.when(F.col("overlap") >= t, F.col("n")).otherwise(F.lit(0))).alias(f"r{i}") for i, t in enumerate(thresholds)))
+    return counts_before(asked.select("codes", "incident_id", F.col("start_us").alias("us")), readies, "codes")
+
+
+def counted(rows: DataFrame, search: Search) -> DataFrame:
+    """(incident_id, pool, relevant) of each query of ``rows`` that has candidates; relevant: a number for each threshold."""
+    pools = counts_before(rows.where("asked").select("incident_id", F.col("start_us").alias("us")), rows.where(F.col("moment").isNotNull()).select(F.col("moment").alias("us"), F.lit(1).alias("pool"))).where("pool > 0")
+    if not search.thresholds:
+        return pools.withColumn("relevant", F.array().cast("array<bigint>"))
+    names = [f"r{i}" for i in range(len(search.thresholds))]
+    return pools.join(relevant_counts(rows, search.thresholds), "incident_id").select("incident_id", "pool", F.array(*names).alias("relevant"))
+
+
+def top_candidates(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None, queries: DataFrame, search: Search) -> DataFrame:
+    """(incident_id, best) for each of ``queries`` that has candidates; nothing is counted."""
+    return best_candidates(stored(searchable(episodes, vectors, outcomes, queries, search)), search).drop("worked")
+
 
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("best")), order), 1, search.k)
-    return parts.groupBy("incident_id").agg(F.sum("pool").alias("pool"), F.array(*sums).alias("relevant"), best.alias("best"))
+def retrieve(episodes: DataFrame, vectors: DataFrame, outcomes: DataFrame | None, queries: DataFrame, search: Search) -> DataFrame:
+    """(incident_id, pool, relevant, best) for each of ``queries`` (incident_id) that has candidates.
+
+    ``best``: up to k candidates by similarity, then later end, then id; ``relevant``: for each
+    threshold the candidates of the whole pool whose outcome is at least so similar.
+    """
+    rows = stored(searchable(episodes, vectors, outcomes, queries, search))
+    return counted(rows, search).join(best_candidates(rows, search).drop("worked"), "incident_id")
 
 
 def ranked_results(found: DataFrame, episodes: DataFrame, raw_codes: DataFrame, feature_version: str, policy: str) -> DataFrame:

@@ -52,17 +52,18 @@ def outcomes_query(hours: float):
     return lambda s, d: joined_arrays(Inputs(s, d).outcomes(hours))
 
 
-def found(inputs: Inputs, shape: float, hours: float, search: R.Search) -> tuple[DataFrame, DataFrame, DataFrame]:
-    outcomes = inputs.outcomes(hours)
+def evaluable(inputs: Inputs, hours: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes, all queries, and those whose outcome can be compared."""
+    outcomes = stored(inputs.outcomes(hours))
     queries = inputs.queries()
-    usable = queries.join(outcomes.where("outcome_is_complete AND has_future_alarms").select("incident_id"), "incident_id", "left_semi")
-    return R.retrieve(inputs.episodes, inputs.vectors(shape), outcomes, usable, search), outcomes, queries
+    return outcomes, queries, queries.join(outcomes.where("outcome_is_complete AND has_future_alarms").select("incident_id"), "incident_id", "left_semi")
 
 
 def topk(shape: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs = Inputs(spark, sf_dir)
-        rows, _, _ = found(inputs, shape, 6.0, R.Search())
+        outcomes, _, usable = evaluable(inputs, 6.0)
+        rows = R.top_candidates(inputs.episodes, inputs.vectors(shape), outcomes, usable, R.Search())
         version = X.COMBINED_VERSION if shape else X.ALARM_VERSION
         out = R.ranked_results(rows, inputs.episodes, R.raw_codes(inputs.documents), version, "expanding_history")
         return rounded(joined_arrays(out))
@@ -74,7 +75,7 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Online retrieval (history gate only) for validation episodes, with the labels its results would get."""
     inputs = Inputs(spark, sf_dir)
     search = R.Search(outcome_gate=False)
-    rows = R.retrieve(inputs.episodes, inputs.vectors(1.0), None, inputs.queries(), search)
+    rows = R.top_candidates(inputs.episodes, inputs.vectors(1.0), None, inputs.queries(), search)
     results = R.ranked_results(rows, inputs.episodes, R.raw_codes(inputs.documents), X.COMBINED_VERSION, search.policy)
     labelled = R.label_relevance(results, inputs.episodes, inputs.outcomes(6.0), 0.3)
     kept = ("query_incident_id", "rank", "candidate_incident_id", "similarity_score", "query_outcome_is_complete", "query_has_future_alarms", "candidate_outcome_is_complete", "candidate_outcome_available_before_query", "evaluation_eligible", "outcome_jaccard", "relevance_threshold", "is_relevant")
@@ -83,18 +84,24 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    search = R.Search()
-    rows, outcomes, queries = found(Inputs(spark, sf_dir), 1.0, 6.0, search)
+    search, inputs = R.Search(), Inputs(spark, sf_dir)
+    outcomes, queries, usable = evaluable(inputs, 6.0)
+    rows = R.retrieve(inputs.episodes, inputs.vectors(1.0), outcomes, usable, search)
     return R.query_records(queries, outcomes, rows, search, X.COMBINED_VERSION)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both feature versions, all horizons and thresholds on validation: pairs are worked out once for each horizon and version."""
+    """Both feature versions, all horizons and thresholds on validation; pools and relevant candidates are counted once a horizon."""
     inputs, search, parts = Inputs(spark, sf_dir), R.Search(thresholds=THRESHOLDS), []
+    versions = [(shape, version, stored(inputs.vectors(shape))) for shape, version in ((0.0, X.ALARM_VERSION), (1.0, X.COMBINED_VERSION))]
     for hours in HOURS:
-        for shape, version in ((0.0, X.ALARM_VERSION), (1.0, X.COMBINED_VERSION)):
-            rows, outcomes, queries = found(inputs, shape, hours, search)
-            scored = R.query_records(queries, outcomes, rows, search, version)
+        outcomes, queries, usable = evaluable(inputs, hours)
+        counts = None
+        for shape, version, vectors in versions:
+            rows = stored(R.searchable(inputs.episodes, vectors, outcomes, usable, search))
+            counts = stored(R.counted(rows, search)) if counts is None else counts
+            found = counts.join(R.best_candidates(rows, search).drop("worked"), "incident_id")
+            scored = R.query_records(queries, outcomes, found, search, version)
             parts.append(scored.withColumns({"future_horizon_hours": F.lit(hours), "shape_weight": F.lit(shape)}))
     by = ("split", "feature_version", "future_horizon_hours", "relevance_threshold", "k", "candidate_policy", "shape_weight")
     out = R.split_metrics(reduce(DataFrame.unionByName, parts), by)
