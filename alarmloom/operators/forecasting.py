@@ -100,10 +100,46 @@ def with_context(labels: DataFrame, last_codes: DataFrame) -> DataFrame:
     return labels.join(last_codes.select("incident_id", "last_alarm_code"), "incident_id")
 
 
+def hits_of(train: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, alarm_code, hits): the samples of a scope that a code follows; only codes that follow some."""
+    return train.select(*keys, F.explode("future_alarm_codes").alias("alarm_code")).groupBy(*keys, "alarm_code").agg(F.count(F.lit(1)).alias("hits"))
+
+
+TOP = "array<struct<rank:int,alarm_code:string,score:double>>"
+
+
+def top_of_scopes(train: DataFrame, keys: tuple[str, ...], first_codes: list[str], k: int) -> DataFrame:
+    """(keys, top): the k codes of the highest share of each scope's samples, then by code.
+
+    Held are the codes that follow some sample. Of the others, whose share is 0, a scope can only need the first by code: ``first_codes``, the
+    vocabulary's first 2 k, has k of them besides the less than k that a scope without k hits may have among these.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("hits").desc(), "alarm_code"))
+    ranked = hits_of(train, keys).withColumn("rank", place).where(F.col("rank") <= k)
+    held = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "alarm_code", "hits"))).alias("held"))
+    joined = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).join(held, list(keys), "left")
+    held = F.coalesce("held", F.array().cast("array<struct<rank:int,alarm_code:string,hits:bigint>>"))
+    codes = F.array(*map(F.lit, first_codes)) if first_codes else F.array().cast("array<string>")
+    missing = F.array_except(codes, F.transform(held, lambda x: x["alarm_code"]))
+    own = F.transform(held, lambda x: F.struct(x["rank"].alias("rank"), x["alarm_code"].alias("alarm_code"), ratio(x["hits"], F.col("samples")).alias("score")))
+    rest = F.transform(missing, lambda c, i: F.struct((F.size(held) + i + 1).cast("int").alias("rank"), c.alias("alarm_code"), F.lit(0.0).alias("score")))
+    return joined.select(*keys, F.slice(F.concat(own.cast(TOP), rest.cast(TOP)), 1, k).alias("top"))
+
+
+def top_overall(train: DataFrame, vocabulary: DataFrame, k: int) -> Column:
+    """The same over all samples, as a literal of k codes."""
+    n = train.count()
+    best = vocabulary.orderBy(F.col("support").desc(), "alarm_code").limit(k).collect()
+    return F.array(*(F.struct(F.lit(i), F.lit(r.alarm_code), F.lit(r.support / n)) for i, r in enumerate(best, 1))).cast(TOP)
+
+
 def frequencies(train: DataFrame, vocabulary: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, samples, alarm_code, score): share of a scope's train samples that each code follows, zeros too."""
+    """(keys, samples, alarm_code, score): share of a scope's train samples that each code follows, zeros too.
+
+    That is a model written out, scopes times codes; predictions do without (``top_of_scopes``).
+    """
     samples = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
-    hits = train.select(*keys, F.explode("future_alarm_codes").alias("alarm_code")).groupBy(*keys, "alarm_code").agg(F.count(F.lit(1)).alias("hits"))
+    hits = hits_of(train, keys)
     # each scope with each code of the vocabulary: the model's own size, states times codes
     codes = vocabulary.agg(F.array_sort(F.collect_list("alarm_code")).alias("codes"))
     grid = samples.join(codes).select(*keys, "samples", F.explode("codes").alias("alarm_code"))
@@ -152,16 +188,18 @@ def predict(labels: DataFrame, model: str = TRANSITION, k: int = 5, least_machin
     """``scopes`` with ``top``: the k codes of the scope that holds for the episode. ``labels`` has the context that the model needs."""
     if model not in (GLOBAL, MACHINE, TRANSITION):
         raise ValueError(f"unknown model {model}")
-    found = scopes(labels, model, least_machine, least_transition)
-    overall = top_codes(fit_global(labels).withColumn("one", F.lit(1)), ("one",), k).select(F.col("top").alias("top_global"))
-    out = found.join(overall)  # one row
-    best = F.col("top_global")
+    if k <= 0:
+        raise ValueError("k must be above zero")
+    found, train = scopes(labels, model, least_machine, least_transition), complete_train(labels)
+    vocabulary = fit_vocabulary(labels)
+    out, best = found, top_overall(train, vocabulary, k)
     if model != GLOBAL:
-        machine = top_codes(fit_machine(labels), ("machine_id",), k).withColumnRenamed("top", "top_machine")
+        first_codes = [r.alarm_code for r in vocabulary.select("alarm_code").orderBy("alarm_code").limit(2 * k).collect()]
+        machine = top_of_scopes(train, ("machine_id",), first_codes, k).withColumnRenamed("top", "top_machine")
         out = out.join(machine, "machine_id", "left")
         best = F.when(F.col("baseline_scope").isin("machine", "machine_fallback"), F.col("top_machine")).otherwise(best)
     if model == TRANSITION:
-        state = top_codes(fit_transition(labels), ("machine_id", "last_alarm_code"), k).withColumnRenamed("top", "top_state")
+        state = top_of_scopes(train, ("machine_id", "last_alarm_code"), first_codes, k).withColumnRenamed("top", "top_state")
         out = out.join(state, ["machine_id", "last_alarm_code"], "left")
         best = F.when(F.col("baseline_scope") == "transition", F.col("top_state")).otherwise(best)
     return out.select(*found.columns, best.alias("top"))
