@@ -15,6 +15,7 @@ from ..operators import samples as S
 from ..operators import sequences as Q
 from ..operators import windows as W
 from ..sources.events import table_events
+from ..streaming.transitions import COUNTS
 from . import oracle_base as O
 from .log_queries import WITH_FLAGS, flagged, processed
 from .retrieval_queries import DOCUMENTS, FEATURES, Inputs, future, joined_arrays, rounded, similarity
@@ -265,6 +266,17 @@ def sample_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_arrays(read_samples(spark, f"{folder}/json"))
 
 
+def npz_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded samples written as npz files by several tasks and read back in ranges of rows."""
+    from ..sources.npz import register
+
+    register(spark)
+    path = f"{shared_folder(spark).rstrip('/')}/npz-{uuid.uuid4().hex}"
+    samples = stored(S.padded_samples(S.paired_sequences(table_events(spark, sf_dir), OFFSETS, *WINDOWS)))
+    samples.repartition(4).write.format("npz").mode("overwrite").save(path)
+    return joined_arrays(spark.read.format("npz").schema(samples.schema).load(path))
+
+
 def sequences(length: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents = Inputs(spark, sf_dir).documents
@@ -282,8 +294,9 @@ OTHER = {
     "window_samples": (lambda s, d: S.windowed(table_events(s, d), OFFSETS, *WINDOWS), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, us, source_row, alarm_code, bin, part FROM parts"),
     "pruned_sequences": (lambda s, d: joined_arrays(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS)), f"WITH {O.events()}, {SAMPLES} SELECT machine_id, start_offset, bin, array_to_string(x, ' ') AS x, array_to_string(y, ' ') AS y FROM pairs"),
     "padded_sequences": (lambda s, d: joined_arrays(S.padded_samples(S.paired_sequences(table_events(s, d), OFFSETS, *WINDOWS))), PADDED_SQL),
+    "npz_samples": (npz_samples, PADDED_SQL),
     "sample_job": (sample_job, JOB_SQL),
-    "sequence_encoding": (sequences(8), SEQUENCE_SQL),
+    "sequence_encoding": (sequences(PRODUCTION_LENGTH), FULL_SEQUENCE_SQL),
     "sequence_encoding_production": (sequences(PRODUCTION_LENGTH), FULL_SEQUENCE_SQL),
 }
 
@@ -308,10 +321,34 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming_sessions(processed(spark, sf_dir)).drop("first_alarm_code", "last_alarm_code")
 
 
+def replayed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The train log of all machines replayed as a stream of files in time order, and the counts that its state has at the end."""
+    from ..streaming.transitions import current_counts, write_transition_changes
+
+    base = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    train = stored(processed(spark, sf_dir, True).where("split = 'train'").select("timestamp", "machine_id", "source_row", "alarm_code"))
+    *cuts, _ = train.agg(F.percentile_approx(F.unix_micros(F.col("timestamp").cast("timestamp")), [0.25, 0.5, 0.75, 1.0], 10_000)).first()[0] or [0]
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):  # one after another, as a log is written
+        part = train.where((us > F.lit(low)) if low is not None else F.lit(True)).where((us <= F.lit(high)) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/log")
+    end = train.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp")).select("timestamp", F.lit(None).cast("string").alias("machine_id"), F.lit(-1).cast("long").alias("source_row"), F.lit(None).cast("string").alias("alarm_code"))
+    end.write.mode("append").parquet(f"{base}/log")
+    log = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    write_transition_changes(log, f"{base}/changes", f"{base}/state", hours=HOURS, lateness="1 second").awaitTermination()
+    return current_counts(spark.read.schema(COUNTS).parquet(f"{base}/changes"))
+
+
+HITS_SQL = f"""{BASE}, h AS (SELECT machine_id, last_alarm_code, alarm_code, count(*) AS hits FROM (SELECT machine_id, last_alarm_code, unnest(codes) AS alarm_code FROM trn) GROUP BY ALL),
+n AS (SELECT machine_id, last_alarm_code, count(*) AS samples FROM trn GROUP BY ALL)
+SELECT machine_id, last_alarm_code, alarm_code, hits, samples FROM h JOIN n USING (machine_id, last_alarm_code)"""
+
 #: The models have no SQL; the session windows have that of the batch rule.
 OTHER |= {
     "linear_forecast": (linear, None),
     "gru_forecast": (gru, None),
     "model_selection_of_seven": (selection_of_seven, None),
+    "streaming_transitions": (replayed_transitions, HITS_SQL),
     "streaming_sessions": (streamed, f"WITH {O.episodes()} SELECT machine_id, split, start_time, end_time, event_count FROM inc"),
 }

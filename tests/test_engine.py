@@ -228,9 +228,10 @@ def test_blocks_of_time_find_what_one_block_finds(spark, monkeypatch, policy):
             m.setattr(R, "QUERY_BLOCK", 7)
             m.setattr(R, "CANDIDATE_BLOCK", 5)
             assert sorted(map(str, R.retrieve(episodes, vectors, known, episodes, search).collect())) == whole
-            asked, held = R.time_blocks(R.searchable(episodes, vectors, known), R.searchable(episodes, vectors, known), search)
-            pairs = asked.select("qb", "cb").distinct().count()
-            assert pairs < asked.select("qb").distinct().count() * held.select("cb").distinct().count()
+            rows = R.stored(R.searchable(episodes, vectors, known, episodes, search))
+            worked = {r.incident_id: r.worked for r in R.best_candidates(rows, search).collect()}
+            pools = {r.incident_id: r.pool for r in R.counted(rows, search).collect()}
+            assert set(worked) == set(pools) and all(worked[i] <= pools[i] for i in pools) and sum(worked.values()) < sum(pools.values())
             assert R.retrieve(episodes, vectors, known, episodes.where("false"), search).count() == 0
         assert len(whole) > 20
 
@@ -628,3 +629,108 @@ def test_a_day_of_a_million_events_is_many_blocks(spark):
     assert runs.agg(F.count("*"), F.max("run"), F.countDistinct("incident_id"), F.sum("repeat_count"), F.max("repeat_count")).first()[:] == (-(-n // 3), -(-n // 3) - 1, 1, n, 3)
     back = events.withColumn("timestamp", F.when(F.col("source_row") % 100_000 == 0, F.lit(datetime(2020, 1, 1)).cast("timestamp_ntz")).otherwise(F.col("timestamp")))
     assert tuple(P.time_reversals(back).first()) == (9, 9)
+
+
+def expected_transitions(rows, gap, horizon):
+    """Counts of a plain walk over each machine's log: rows of (time, code, machine, row)."""
+    hits, samples = Counter(), Counter()
+    for machine in {r[2] for r in rows}:
+        log = sorted((r for r in rows if r[2] == machine), key=lambda r: (r[0], r[3]))
+        ends = [a for a, b in zip(log, log[1:]) if b[0] - a[0] > gap]
+        for end in ends:
+            if log[-1][0] >= end[0] + horizon:
+                samples[machine, end[1]] += 1
+                for code in {r[1] for r in log if end[0] < r[0] <= end[0] + horizon}:
+                    hits[machine, end[1], code] += 1
+    return sorted((m, last, code, n, samples[m, last]) for (m, last, code), n in hits.items())
+
+
+def test_streamed_transitions_with_late_rows_and_a_restart(spark, tmp_path):
+    from alarmloom.streaming.transitions import COUNTS, current_counts, write_transition_changes
+
+    draw, moment, rows = random.Random(21), datetime(2020, 1, 1), []
+    for k in range(400):
+        moment += timedelta(minutes=draw.choice((0, 1, 5, 29, 30, 31, 45, 200)))
+        rows.append((moment, draw.choice("abc"), draw.choice("mn"), k))
+    rows.append((rows[-1][0] + timedelta(hours=6), "a", "m", 400))
+    end = (rows[-1][0] + timedelta(days=2), None, None, -1)
+    late = (rows[0][0], "z", "m", 401)
+    log, out, state = (str(tmp_path / n) for n in ("log", "changes", "state"))
+
+    def run(*files):
+        for part in files:  # rows of a file in no order
+            spark.createDataFrame(draw.sample(part, len(part)), EVENTS).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(spark.createDataFrame([], EVENTS).schema).option("maxFilesPerTrigger", 1).parquet(log)
+        write_transition_changes(stream, out, state, lateness="1 hour").awaitTermination()
+        return sorted(map(tuple, current_counts(spark.read.schema(COUNTS).parquet(out)).select("machine_id", "last_alarm_code", "alarm_code", "hits", "samples").collect()))
+
+    half = run(rows[:100], rows[100:220])
+    assert 0 < len(half) and sum(r[3] for r in half) < sum(r[3] for r in expected_transitions(rows, timedelta(minutes=30), timedelta(hours=6)))
+    # the same checkpoint goes on: what is before the watermark is dropped, all else counted once
+    assert run(rows[220:300], rows[300:], [late], [end]) == expected_transitions(rows, timedelta(minutes=30), timedelta(hours=6))
+
+
+def test_npz_round_trip_ranges_and_failures(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from alarmloom.sources import npz
+
+    npz.register(spark)
+    rows = [(i, f"m{i % 3}", i / 7, [str(i % 5), "é漢", ""], [i, -i]) for i in range(1000)]
+    schema = "id long, machine string, x double, codes array<string>, pair array<int>"
+    df, path = spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "a")
+    df.write.format("npz").mode("overwrite").save(path)
+    back = spark.read.format("npz").schema(schema).load(path)
+    assert sorted(map(tuple, back.collect())) == rows
+    assert len(list((tmp_path / "a").glob("*.npz"))) == 3 and not list((tmp_path / "a").glob("_staging*"))
+    held = np.load(next((tmp_path / "a").glob("*.npz")))  # NumPy reads them without pickle
+    assert held["codes"].shape[1] == 3 and held["id"].dtype == np.int64
+    reader = npz.NpzReader(df.schema, path)
+    with monkeypatch.context() as m:
+        m.setattr(npz, "RANGE_ROWS", 100)
+        parts = reader.partitions()
+        assert len(parts) >= 10 and sum(len(b) for p in parts for b in reader.read(p)) == 1000
+    # appended rows come besides; a failed write leaves what was there
+    df.limit(10).write.format("npz").mode("append").save(path)
+    assert back.count() == 1000 and spark.read.format("npz").schema(schema).load(path).count() == 1010
+    bad = spark.createDataFrame([(1, None, 0.0, ["a"], [1])], schema)
+    with pytest.raises(Exception, match="no nulls"):
+        bad.union(df).write.format("npz").mode("overwrite").save(path)
+    assert spark.read.format("npz").schema(schema).load(path).count() == 1010 and not list((tmp_path / "a").glob("_staging*"))
+    df.limit(0).write.format("npz").mode("overwrite").save(path)
+    assert spark.read.format("npz").schema(schema).load(path).count() == 0
+
+
+def test_relevant_counts_and_best_against_all_pairs(spark):
+    """Prefix and size filters lose no pair at any threshold, and the posting blocks no candidate."""
+    draw, rows = random.Random(31), []
+    for k in range(160):
+        begin = at(0) + timedelta(minutes=draw.randint(0, 1200))
+        rows.append((f"e{k:03}", draw.choice("mn"), draw.choice(("train", "test")), begin, begin + timedelta(minutes=draw.choice((1, 5, 25))), draw.randint(1, 9), draw.random() * 99, 2))
+    episodes = spark.createDataFrame(rows, TIMED + ", event_count long, duration_seconds double, distinct_alarm_count long")
+    docs = spark.createDataFrame([(r[0], r[2], r[1], " ".join(draw.choices("123456789", k=draw.randint(1, 6)))) for r in rows], "incident_id string, split string, machine_id string, alarm_document string")
+    sets = {r[0]: sorted(draw.sample("abcdefghij", draw.randint(0, 7))) for r in rows}
+    done = {r[0]: draw.random() < 0.9 for r in rows}
+    outcomes = spark.createDataFrame([(r[0], r[4] + timedelta(minutes=10), done[r[0]], sets[r[0]]) for r in rows], "incident_id string, outcome_end_time timestamp_ntz, outcome_is_complete boolean, future_alarm_codes array<string>")
+    for shape in (0.0, 1.0):
+        vectors = X.feature_vectors(episodes, docs, 1.0, shape).cache()
+        v = {r.incident_id: ({t.token: t.weight for t in r.terms}, r.shape) for r in vectors.collect()}
+
+        def similar(q, c):
+            return round(sum(w * v[c][0].get(t, 0.0) for t, w in v[q][0].items()) + sum(a * b for a, b in zip(v[q][1], v[c][1])), 12)
+
+        def overlap(q, c):
+            a, b = set(sets[q]), set(sets[c])
+            return len(a & b) / len(a | b) if a | b else 0.0
+
+        search = R.Search(k=4, thresholds=(0.1, 0.3, 0.5, 1.0))
+        got = {r.incident_id: r for r in R.retrieve(episodes, vectors, outcomes, episodes, search).collect()}
+        for q in rows:
+            pool = [c for c in rows if done[c[0]] and c[4] + timedelta(minutes=10) < q[3]]
+            assert (q[0] in got) == bool(pool)
+            if pool:
+                r = got[q[0]]
+                assert r.pool == len(pool) and r.relevant == [sum(overlap(q[0], c[0]) >= t for c in pool) for t in search.thresholds]
+                best = sorted(pool, key=lambda c: (-similar(q[0], c[0]), -c[4].timestamp(), c[0]))[:4]
+                assert [b.similarity for b in r.best] == pytest.approx([similar(q[0], c[0]) for c in best], abs=1e-11)
+                assert [b.jaccard for b in r.best] == [overlap(q[0], b.candidate_id) for b in r.best]
