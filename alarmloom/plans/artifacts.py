@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import content_digest
 from ..operators import forecasting as Y
 
 
@@ -95,7 +96,7 @@ def result_metadata(metrics: DataFrame, sources: dict[str, str], settings: dict[
         "generated_at": checked_time(generated),
         "evaluation_split": split,
         "is_final_test": split == "test",
-        "sources": {name: {"path": path, "sha256": folder_sha256(path)} for name, path in sources.items()},
+        "sources": {name: {"path": path, "sha256": content_digest(metrics.sparkSession, path)} for name, path in sources.items()},
         "settings": settings,
         "result_rows": metrics.count(),
         "schema": dict(metrics.dtypes),
@@ -103,15 +104,6 @@ def result_metadata(metrics: DataFrame, sources: dict[str, str], settings: dict[
     }
 
 
-def folder_sha256(path: str) -> str | None:
-    """Of a file, or of the digests of a folder's data files by name; none for what is not on this machine."""
-    place = Path(path)
-    if place.is_file():
-        return file_sha256(place)
-    files = sorted(p for p in place.glob("*") if p.is_file() and not p.name.startswith((".", "_")))
-    return hashlib.sha256("".join(file_sha256(p) for p in files).encode()).hexdigest() if files else None
-
-
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """A result file written by ``write_metrics``."""
     return spark.read.csv(path, header=True, inferSchema=True)

@@ -14,6 +14,7 @@ from ..operators import investigation as V
 from ..operators import samples as S
 from ..operators import sequences as Q
 from ..operators import windows as W
+from ..operators.episodes import event_mapping
 from ..sources.events import table_events
 from ..streaming.transitions import COUNTS
 from . import oracle_base as O
@@ -222,6 +223,18 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.observed_episodes(flagged(spark, sf_dir), Inputs(spark, sf_dir).events)
 
 
+def bundle_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest episode of each machine, observed through a bundle that was written, committed and loaded."""
+    from .bundles import Bundle, Loader, load_investigation_resources, write_investigation_bundle
+
+    bundle = Bundle(spark, f"{shared_folder(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}")
+    events = stored(processed(spark, sf_dir))
+    write_investigation_bundle(bundle, events, flagged(spark, sf_dir), event_mapping(events))
+    held = load_investigation_resources(Loader(bundle), HOURS)
+    latest = held.flagged.groupBy("machine_id").agg(F.max_by("incident_id", F.struct("start_time", "incident_id")).alias("incident_id")).select("incident_id")
+    return V.observed_episodes(held.flagged.join(latest, "incident_id", "left_semi"), held.events)
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_arrays(rounded(V.retrieved_evidence(*V.online_results(Inputs(spark, sf_dir), "test"))))
 
@@ -288,6 +301,7 @@ def sequences(length: int):
 
 OTHER = {
     "observed_episode": (observed, OBSERVED_SQL),
+    "bundle_observed": (bundle_observed, f"SELECT * FROM ({OBSERVED_SQL}) WHERE incident_id IN (SELECT arg_max(incident_id, (start_time, incident_id)) FROM ({OBSERVED_SQL}) GROUP BY machine_id)"),
     "retrieved_evidence": (evidence, EVIDENCE_SQL),
     "episode_options": (lambda s, d: V.episode_options(flagged(s, d)), f"{WITH_FLAGS} SELECT incident_id, machine_id, split, start_time, end_time, event_count, upper_tail_flag_count > 0 AS is_upper_tail FROM flagged"),
     "machine_ids": (lambda s, d: V.machine_ids(table_events(s, d)), f"WITH {O.events()} SELECT DISTINCT machine_id FROM ev"),

@@ -734,3 +734,87 @@ def test_relevant_counts_and_best_against_all_pairs(spark):
                 best = sorted(pool, key=lambda c: (-similar(q[0], c[0]), -c[4].timestamp(), c[0]))[:4]
                 assert [b.similarity for b in r.best] == pytest.approx([similar(q[0], c[0]) for c in best], abs=1e-11)
                 assert [b.jaccard for b in r.best] == [overlap(q[0], b.candidate_id) for b in r.best]
+
+
+def test_bundles_are_committed_at_once(spark, tmp_path):
+    from alarmloom.functions import storage
+    from alarmloom.plans.bundles import Bundle, Loader
+
+    bundle = Bundle(spark, str(tmp_path / "b"))
+    with pytest.raises(KeyError):
+        bundle.frame("a")
+    with bundle.change() as new:
+        again = new.frame("a", spark.range(5))
+        new.data("sum", {"n": again.count()})
+        assert bundle.manifests() == []  # nothing to see before the end
+    assert bundle.frame("a").count() == 5 and bundle.data("sum") == {"n": 5} and bundle.damaged() == []
+    loader = Loader(bundle)
+    first, other = loader.frame("a"), loader.made("twice", ("a",), lambda: bundle.frame("a").selectExpr("id * 2 AS id"))
+    with pytest.raises(ZeroDivisionError), bundle.change() as new:
+        new.frame("a", spark.range(9))
+        1 / 0
+    assert bundle.frame("a").count() == 5 and len(list((tmp_path / "b" / "states").iterdir())) == 1
+    assert loader.frame("a") is first and "InMemoryTableScan" in first._jdf.queryExecution().executedPlan().toString()
+    with bundle.change() as new:
+        new.frame("a", spark.range(7))
+    assert bundle.frame("a").count() == 7 and bundle.data("sum") == {"n": 5}
+    assert loader.frame("a") is not first and loader.frame("a").count() == 7
+    assert loader.made("twice", ("a",), lambda: bundle.frame("a").selectExpr("id * 2 AS id")).agg(F.max("id")).first()[0] == 12 and not other.is_cached
+    for n in range(3):
+        with bundle.change() as new:
+            new.data("sum", n)
+    assert len(bundle.manifests()) == 2 and bundle.frame("a").count() == 7 and bundle.data("sum") == 2
+    part = next((tmp_path / "b").glob("states/*/a.parquet/*.parquet"))
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)  # a local file system's own checksum
+    (tmp_path / "b" / "plain").write_bytes(b"")
+    assert bundle.damaged() == ["a"]
+    assert len(storage.content_digest(spark, str(tmp_path / "b" / "plain"))) == 64
+    with pytest.raises(FileNotFoundError):
+        storage.content_digest(spark, str(tmp_path / "none"))
+
+
+def test_digests_do_not_depend_on_tasks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from alarmloom.functions import storage
+
+    for folder in ("a", "b"):
+        (tmp_path / folder / "in").mkdir(parents=True)
+        for k in range(9):
+            (tmp_path / folder / "in" / f"f{k}.bin").write_bytes(bytes(range(256)) * (k * 40))
+    monkeypatch.setattr(storage, "CHUNK", 1000)
+    one = storage.content_digest(spark, str(tmp_path / "a"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert storage.content_digest(spark, str(tmp_path / "b")) == one
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    data = (tmp_path / "a" / "in" / "f3.bin").read_bytes()
+    leaf = hashlib.sha256("".join(hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, len(data), 1000)).encode()).hexdigest()
+    group = hashlib.sha256(f":{leaf}".encode()).hexdigest()
+    got = storage.content_digest(spark, str(tmp_path / "a" / "in" / "f3.bin"))
+    assert got in {hashlib.sha256(f"{g:03}:{group}".encode()).hexdigest() for g in range(256)}
+    (tmp_path / "b" / "in" / "f8.bin").rename(tmp_path / "b" / "in" / "f9.bin")
+    assert storage.content_digest(spark, str(tmp_path / "b")) != one
+
+
+def test_investigation_from_a_bundle(spark, tmp_path):
+    from alarmloom.plans.bundles import Bundle, Loader, load_investigation_resources, write_investigation_bundle
+
+    draw, moment, rows = random.Random(3), datetime(2020, 1, 1), []
+    for k in range(300):
+        moment += timedelta(minutes=draw.choice((1, 5, 40, 90)))
+        rows.append((moment, draw.choice("abc"), draw.choice("mn"), k))
+    events = I.processed_events(spark.createDataFrame(rows, EVENTS)).cache()
+    episodes = E.summarize(events).cache()
+    flagged = B.apply_flags(episodes, B.fit_global(episodes), B.fit_machines(episodes, least=5))
+    bundle = Bundle(spark, str(tmp_path / "b"))
+    write_investigation_bundle(bundle, events, flagged, E.event_mapping(events))
+    loader = Loader(bundle)
+    held = load_investigation_resources(loader)
+    asked = episodes.orderBy(F.col("start_time").desc(), "incident_id").first().incident_id
+    found = held.investigate(asked, k=3)
+    assert len(found.observed if hasattr(found, "observed") else next(iter(vars(found).values())))
+    again = load_investigation_resources(loader)
+    assert all(getattr(again, n) is getattr(held, n) for n in ("flagged", "events", "documents", "vectors", "outcomes", "labels"))
