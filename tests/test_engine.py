@@ -818,3 +818,23 @@ def test_investigation_from_a_bundle(spark, tmp_path):
     assert len(found.observed if hasattr(found, "observed") else next(iter(vars(found).values())))
     again = load_investigation_resources(loader)
     assert all(getattr(again, n) is getattr(held, n) for n in ("flagged", "events", "documents", "vectors", "outcomes", "labels"))
+
+
+def test_a_session_made_first_gets_the_package(tmp_path):
+    """Workers of a session that was started before the entry was imported, elsewhere, import the package too."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.range(1).count()
+import sys
+sys.path.insert(0, {str(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["retrieval_topk_alarm"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
