@@ -198,6 +198,62 @@ class Shard:
             at = end
 
 
+class Keyed:
+    """Access to single keys of a shard without its index in memory: for a key a word and a rank a level and one slot are read, and the ids.
+
+    Of a key with several entries the cuts are searched by halves. Beside the header nothing is kept, so a shard of any size
+    opens at once; ``Shard`` serves many keys better.
+    """
+
+    def __init__(self, path: str):
+        fs, place = pyarrow.fs.FileSystem.from_uri(path)
+        self.index, self.ids = fs.open_input_file(f"{place}.idx"), fs.open_input_file(f"{place}.ids")
+        header = self.numbers(0, HEADER, "<u8").astype(np.int64)
+        if header[0] != MAGIC or header[1] != VERSION:
+            raise ValueError(f"{path}.idx is no index of version {VERSION}")
+        _, _, self.width, _, _, _, self.keys, levels, words, self.n_cuts = header[:10].tolist()
+        self.sizes = self.numbers(8 * HEADER, levels, "<u8").tolist()
+        self.words = 8 * (HEADER + levels)
+        self.ranks = self.words + 8 * words
+        self.slots = self.ranks + 4 * words
+        self.cuts = self.slots + self.keys * SLOT.itemsize
+
+    def numbers(self, at: int, n: int, kind) -> np.ndarray:
+        return np.frombuffer(self.index.read_at(n * np.dtype(kind).itemsize, at), kind)
+
+    def close(self) -> None:
+        self.index.close()
+        self.ids.close()
+
+    def slot(self, doc_id: int):
+        """The slot of a doc_id, or None."""
+        key, base = np.array([doc_id], np.int64), 0
+        for level, size in enumerate(self.sizes):
+            at = int(places(key.view(np.uint64), level, size)[0])
+            word, bit = base + at // 64, at % 64
+            held = int(self.numbers(self.words + 8 * word, 1, "<u8")[0])
+            if held >> bit & 1:
+                rank = int(self.numbers(self.ranks + 4 * word, 1, "<u4")[0]) + (held & ((1 << bit) - 1)).bit_count()
+                found = self.numbers(self.slots + rank * SLOT.itemsize, 1, SLOT)[0]
+                return found if found["fingerprint"] == fingerprints(key)[0] else None
+            base += -(-size // 64)
+        return None
+
+    def get(self, doc_id: int) -> list[np.ndarray]:
+        """The ids of all entries of a doc_id; none if it has no entry."""
+        found = self.slot(doc_id)
+        if found is None:
+            return []
+        start, count, entries = int(found["start"]), int(found["ids"]), int(found["entries"])
+        low, high = 0, self.n_cuts if entries > 1 else 0
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if int(self.numbers(self.cuts + 8 * middle, 1, "<u8")[0]) > start else (middle + 1, high)
+        bounds = [start, *(self.numbers(self.cuts + 8 * low, entries - 1, "<u8").tolist() if entries > 1 else []), start + count]
+        data = np.frombuffer(self.ids.read_at(count * self.width, start * self.width), f"<u{self.width}")
+        return [data[a - start : b - start] for a, b in zip(bounds, bounds[1:])]
+
+
 def whole(path: str, name: str, write) -> None:
     """A file that is either whole or not there: a task that is run again puts the same file in its place."""
     fs, place = pyarrow.fs.FileSystem.from_uri(path)
@@ -328,7 +384,7 @@ def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
     paths = [r.path for r in manifest.where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).orderBy("shard").select("path").collect()]
     out = []
     for path in paths:
-        shard = Shard(path)
+        shard = Keyed(path)
         out += shard.get(doc_id)
         shard.close()
     return out

@@ -326,3 +326,31 @@ def test_every_operator_that_keeps_columns_keeps_those_of_any_name(spark, tmp_pa
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, stage_docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+# ------------------------------------------------------------ single keys of token files
+
+
+def test_one_key_reads_a_few_numbers(spark, tmp_path, monkeypatch):
+    from alarmloom.llm import token_files
+    from alarmloom.llm.bpe import vocabulary
+
+    made = [(i * 7 - 3000, f"text number {i} " * (i % 5)) for i in range(6000)] + [(70, "again"), (70, "and again"), (None, "none")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+    manifest = token_files.write_token_files(df, str(tmp_path / "ids"), vocabulary("byte_bpe_50k.json"))
+    read = []
+    numbers = token_files.Keyed.numbers
+    monkeypatch.setattr(token_files.Keyed, "numbers", lambda self, at, n, kind: read.append(n * np.dtype(kind).itemsize) or numbers(self, at, n, kind))
+    size = 0
+    for row in manifest.where("least IS NOT NULL").collect():
+        whole, keyed = token_files.Shard(row.path), token_files.Keyed(row.path)
+        opening, size = sum(read), size + len(whole.slots)
+        for doc_id in [row.least, row.most, 70, 4, 1001, 10**12, *range(row.least, row.least + 700, 7)]:
+            read.clear()
+            assert [x.tolist() for x in keyed.get(doc_id)] == [x.tolist() for x in whole.get(doc_id)]
+            assert sum(read) < 2000 and opening < 5000
+        read.clear()
+        keyed.close()
+        whole.close()
+    assert size >= 6000
+    assert len(token_files.lookup(manifest, 70)) == 2 and token_files.lookup(manifest, 71) == []
