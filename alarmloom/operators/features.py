@@ -10,17 +10,29 @@ ALARM_VERSION, COMBINED_VERSION = "alarm_tfidf_v1", "alarm_plus_shape_v1"
 TOKEN = r"\b\w+\b"
 
 
+#: Events of an episode whose codes are put in order together.
+PART = 4_096
+
+
+def ordered_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys with the codes of ``rows`` (event_position, alarm_code) in order as one text, and their number.
+
+    In two levels: texts of PART places each, then those by their number; so no task sorts a whole episode.
+    """
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("event_position", "alarm_code"))), lambda x: x["alarm_code"])
+    parts = rows.groupBy(*keys, F.floor(F.col("event_position") / PART).alias("part")).agg(F.array_join(codes, " ").alias("text"), F.count(F.lit(1)).alias("n"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    return parts.groupBy(*keys).agg(F.array_join(texts, " ").alias("alarm_document"), F.sum("n").alias("alarm_token_count"))
+
+
 def alarm_documents(mapping: DataFrame, events: DataFrame) -> DataFrame:
     """Codes of each episode in order, repeats kept, with their number."""
-    rows = mapping.join(events.select("source_row", "alarm_code"), "source_row")
-    codes = F.transform(F.array_sort(F.collect_list(F.struct("event_position", "alarm_code"))), lambda x: x["alarm_code"])
-    return rows.groupBy("incident_id").agg(F.array_join(codes, " ").alias("alarm_document"), F.count(F.lit(1)).alias("alarm_token_count"))
+    return ordered_text(mapping.join(events.select("source_row", "alarm_code"), "source_row"), "incident_id")
 
 
 def documents_of(identified: DataFrame) -> DataFrame:
     """The same from events that know their episode, without a join."""
-    codes = F.transform(F.array_sort(F.collect_list(F.struct("event_position", "alarm_code"))), lambda x: x["alarm_code"])
-    return identified.groupBy("machine_id", "incident_id", "split").agg(F.array_join(codes, " ").alias("alarm_document"), F.count(F.lit(1)).alias("alarm_token_count"))
+    return ordered_text(identified, "machine_id", "incident_id", "split")
 
 
 def tokens(documents: DataFrame) -> DataFrame:

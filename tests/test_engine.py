@@ -838,3 +838,10 @@ print("ROWS", __spark_entry__.queries()["retrieval_topk_alarm"](spark, "/root/te
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
+def test_text_of_a_very_long_episode(spark):
+    n = 3 * X.PART + 5
+    rows = spark.range(n).select(F.lit("m").alias("machine_id"), F.lit("i").alias("incident_id"), F.lit("train").alias("split"), F.col("id").alias("event_position"), (F.col("id") % 97).cast("string").alias("alarm_code"))
+    one = X.documents_of(rows.orderBy(F.rand(2)).repartition(5)).first()
+    assert one.alarm_token_count == n and one.alarm_document == " ".join(str(k % 97) for k in range(n))
