@@ -155,7 +155,7 @@ class PostingBlock:
     def best(self, incident_id: str, start_us: int, terms: list[dict], shape: np.ndarray, floor: float, k: int) -> tuple[list[tuple[float, int]], int]:
         """The ``k`` best (similarity, row) of those found before ``start_us`` with a similarity of ``floor`` or more, and how many were worked out.
 
-        Tokens are taken in the order of the most they can add. When what those that are left can add, with the shape, is below
+        Tokens are taken in the order of the most they can add; the best of those that have the first one raise the floor. When what those that are left can add, with the shape, is below
         the floor, rows that have none of the tokens so far cannot reach it.
         """
         limit = int(np.searchsorted(self.moments, start_us, "left"))
@@ -168,6 +168,12 @@ class PostingBlock:
         left = sum(b for b, _ in known) + float(np.sqrt((shape**2).sum())) * self.longest + SLACK
         if left < floor or not limit:
             return [], 0
+        if known:  # rows of the token that can add most raise the floor
+            first = self.rows[self.limits[known[0][1]] : self.limits[known[0][1] + 1]]
+            first = first[first < limit]
+            if len(first) > k:  # one more: the query itself may be among them
+                found = self.scores(first, query, shape)
+                floor = max(floor, float(np.partition(found, len(found) - k - 1)[len(found) - k - 1]))
         lists = []
         for bound, n in known:
             if left < floor:
