@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import checkpointed
+from .common import checkpointed, likely_rows
 from .graph import connected_components
 from .simhash import SEED, fingerprint, rows_of, shingle_hashes, with_roots
 from .words import parts_of
@@ -76,20 +76,22 @@ def with_sketches(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(work, f"doc_id {kind}, text_hash long, fingerprint long, size long, bands array<long>")
 
 
-def copy_links(sets: list[np.ndarray], labels: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """Links between ``labels`` that join those of all pairs of ``sets`` with similarity ``least`` or more."""
+def copy_links(sets: list[np.ndarray], labels: np.ndarray, least: float = LEAST, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between ``labels`` that join those of all pairs of ``sets`` with similarity ``least`` or more; with ``side``, of pairs of two sides."""
     sizes = np.array([len(x) for x in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     names, group = np.unique(labels, return_inverse=True)
     links, marked = [], np.zeros(len(values), np.int32)
     for x in np.flatnonzero(group != np.bincount(group).argmax()):  # pairs inside the largest set are joined already
+        other = group != group[x] if side is None else (group != group[x]) & (side != side[x])
+        if not other.any():
+            continue
         own = codes[starts[x] : starts[x] + sizes[x]]
         marked[own] = 1
         common = np.add.reduceat(marked[codes], starts)
         marked[own] = 0
-        near = np.unique(group[common / (sizes[x] + sizes - common) >= least])
-        for g in near[near != group[x]]:
+        for g in np.unique(group[other & (common / (sizes[x] + sizes - common) >= least)]):
             links.append((int(names[g]), int(names[group[x]])))
             group[group == g] = group[x]
     return links
@@ -98,9 +100,9 @@ def copy_links(sets: list[np.ndarray], labels: np.ndarray, least: float = LEAST)
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """text_hash and shingles of the texts in ``wanted`` (doc_id, text_hash)."""
     text = F.coalesce("text", F.lit(""))
-    keys = wanted.select(F.xxhash64("doc_id", "text_hash").alias("wanted"))
+    keys = checkpointed(wanted.select(F.xxhash64("doc_id", "text_hash").alias("wanted")))
     source = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
-    source = source.withColumn("key", F.xxhash64("doc_id", "text_hash")).join(keys, F.col("key") == F.col("wanted"), "left_semi").select("text_hash", "text")
+    source = likely_rows(source.withColumn("key", F.xxhash64("doc_id", "text_hash")), "key", keys, "wanted").join(keys, F.col("key") == F.col("wanted"), "left_semi").select("text_hash", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -114,7 +116,8 @@ def root_links(docs: DataFrame, texts: DataFrame, rooted: DataFrame, least: floa
     """Links (a, b) between roots of SimHash components that hold near copies.
 
     Buckets of one root hold nothing new, and of buckets with the same texts one is enough. A large
-    bucket is cut into blocks; each two of its blocks are a group of their own.
+    bucket is cut into blocks, which are compared inside first; then each two blocks are a group of
+    their own, if they are not one component by then.
     """
     members = texts.join(rooted.select("fingerprint", "root"), "fingerprint").select("text_hash", "root", "size", F.explode("bands").alias("bucket"))
     mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
@@ -122,17 +125,28 @@ def root_links(docs: DataFrame, texts: DataFrame, rooted: DataFrame, least: floa
     marks = (F.bit_xor(F.xxhash64("text_hash")).alias("x"), F.bit_xor(F.xxhash64("text_hash", F.lit(1))).alias("y"))
     each = live.groupBy("bucket").agg(F.count("*").alias("n"), *marks, F.sum("size").alias("total"))
     once = checkpointed(each.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.greatest(F.ceil(F.min("total") / BLOCK), F.ceil(F.min("n") / TEXTS)).cast("long").alias("blocks")).select("bucket", "blocks"))
-    live = live.join(once, "bucket")
+    # blocks differ from bucket to bucket, so what several buckets hold is joined by the blocks of the others
+    live = checkpointed(live.join(once, "bucket").withColumn("i", F.pmod(F.xxhash64("text_hash", "bucket"), "blocks")))
     wanted = texts.join(live.select("text_hash").distinct(), "text_hash").select("least.doc_id", "text_hash")
-    cells = live.withColumn("i", F.pmod(F.xxhash64("text_hash", F.lit(2)), "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.where("blocks = 1 OR i <> j").select("bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "text_hash", "root")
+    sets = sets_of(docs, wanted)
 
     def link(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        links = copy_links(sets, table.column("root").to_numpy(), least)
+        found = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        side = table.column("side").to_numpy()
+        links = copy_links(found, table.column("root").to_numpy(), least, side if len(np.unique(side)) > 1 else None)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return cells.join(sets_of(docs, wanted), "text_hash").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long")
+    def linked(cells: DataFrame) -> DataFrame:
+        return cells.join(sets, "text_hash").groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long")
+
+    inside = checkpointed(linked(live.select("bucket", "i", F.col("i").alias("j"), "text_hash", "root", F.col("i").alias("side"))))
+    tops = connected_components(inside).select("node", F.col("root").alias("top"))
+    rest = live.where("blocks > 1").join(tops, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("top", "root"))
+    # each two blocks of a bucket, where they hold what is not joined yet
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("i <> other")
+    cells = checkpointed(rest.select("bucket", F.least("i", "other").alias("low"), F.greatest("i", "other").alias("j"), "text_hash", "root", F.col("i").alias("side")).withColumnRenamed("low", "i"))
+    apart = cells.groupBy("bucket", "i", "j").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root < most_root").select("bucket", "i", "j")
+    return inside.unionByName(linked(cells.join(apart, ["bucket", "i", "j"])))
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
