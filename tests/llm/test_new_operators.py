@@ -354,3 +354,137 @@ def test_one_key_reads_a_few_numbers(spark, tmp_path, monkeypatch):
         whole.close()
     assert size >= 6000
     assert len(token_files.lookup(manifest, 70)) == 2 and token_files.lookup(manifest, 71) == []
+
+
+# ------------------------------------------------------------ the pipeline, end to end
+
+
+def plain_draw(pairs, labels):
+    """Documents that importance resampling keeps, in plain Python."""
+    from math import log
+    from struct import pack
+
+    import xxhash
+
+    from .test_operators import plain_features
+
+    good = {i for i, q in labels if q == 1}
+    raw, target = Counter(), Counter()
+    for doc_id, text in pairs:
+        features = plain_features(text or "")
+        raw.update(features)
+        target.update(features if doc_id in good else ())
+    ratio = {}
+    for part in (range(1 << 16), range(1 << 16, 1 << 17)):
+        all_raw, all_target = sum(v for b, v in raw.items() if b in part), sum(v for b, v in target.items() if b in part)
+        for b in (b for b in raw if b in part):
+            share = raw[b] / all_raw
+            ratio[b] = round(log((target[b] + 100 * share) / (all_target + 100) / share) * (1 << 20)) / (1 << 20)
+
+    def spark_hash(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else pack("<q", p), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    keyed = []
+    for doc_id, text in pairs:
+        noise = -log(-log((((spark_hash("gumbel", spark_hash(doc_id, text or "")) & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53)))
+        keyed.append((sum(ratio[b] for b in plain_features(text or "")) + noise, doc_id, text))
+    keyed.sort(key=lambda x: -x[0])
+    return [x[1:] for x in keyed[: -(-len(keyed) * sum(q for _, q in labels) // len(labels))]]
+
+
+def plain_dedup(pairs):
+    from .test_operators import brute_fingerprint
+
+    pairs = sorted(pairs)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in pairs)]
+    prints, parent = [brute_fingerprint(t) for _, t in pairs], list(range(len(pairs)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4 or sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [p for i, p in enumerate(pairs) if find(i) == i]
+
+
+def plain_mask(text):
+    from alarmloom.llm.secret_scan import BASE_RULES, MORE_RULES, plain_spans
+
+    if text is None:
+        return None
+    out, reach = "", 0
+    spans = [(start, end) for _, start, end in plain_spans(text, BASE_RULES + MORE_RULES)]
+    for start, end in spans:
+        if start >= reach:
+            out += text[reach:start] + "[secret]"
+        reach = max(reach, end)
+    return out + text[reach:]
+
+
+def plain_mix(rows):
+    """How often each document is taken, of (doc_id, source, text)."""
+    from .test_operators import water_filled, words_of
+
+    sizes, order = defaultdict(int), defaultdict(list)
+    for doc_id, source, text in rows:
+        sizes[source] += words_of(text)
+        order[source].append((hashlib.md5(f"mix:{doc_id}".encode()).hexdigest(), doc_id, words_of(text)))
+    target, queue = water_filled(dict(sizes)), []
+    for source, members in order.items():
+        at = 0
+        for epoch in range(3):
+            for place, doc, size in sorted(members) if target[source] else []:
+                at += size
+                queue.append((at / target[source], place, doc, epoch, size))
+    used, taken = 0, Counter()
+    for _, _, doc, _, size in sorted(queue):
+        if used + size > sum(sizes.values()):
+            break
+        used += size
+        taken[doc] += 1
+    return taken
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import zlib
+    from array import array
+
+    import corpus_pipeline
+
+    from .test_operators import SECRET, library
+
+    rng = random.Random(17)
+    words = ["w%d" % i for i in range(400)]
+    made = [rng.choices(words, k=rng.randint(5, 150)) for _ in range(60)]
+    made += [["v%d" % k if k == i else w for i, w in enumerate(made[n])] for n in range(10) for k in (3, 4)]  # near copies
+    texts = [" ".join(x) for x in made] + [" ".join(x) + " " + SECRET for x in made[20:30]] + [" ".join(made[0]), SECRET, "a " + SECRET + " b", "", None, "junk junk " * 40, "line one\nline two " * 30]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    labels = [(i, int(i % 9 > 0)) for i in range(len(texts))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, source = spark.read.parquet(str(tmp_path / "documents.parquet")), {r[0]: r[3] for r in rows}
+    # stage by stage, each on what the plain version hands on
+    expected = plain_draw([r[:2] for r in rows], labels)
+    for k, step in enumerate((None, plain_dedup, lambda pairs: [(i, plain_mask(t)) for i, t in pairs])):
+        expected = expected if step is None else step(expected)
+        path = str(tmp_path / f"stage{k}")
+        corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted(expected), corpus_pipeline.STAGES[k][0]
+    assert 0 < len(expected) < len(rows) and any("[secret]" in (t or "") for _, t in expected)
+    taken = plain_mix([(i, source[i], t) for i, t in expected])
+    plain = library(corpus_pipeline.VOCABULARY)
+    ids = {i: plain.encode(t or "", add_special_tokens=False).ids + [corpus_pipeline.END_ID] for i, t in expected}
+    covered = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        part = array("I", ids[r.doc_id][r.start : r.start + r.length])
+        assert (r.doc_tokens, len(part), r.ids_crc32) == (len(ids[r.doc_id]), r.length, zlib.crc32(part.tobytes()))
+        covered.update((r.doc_id, r.start + i) for i in range(r.length))
+    assert covered == Counter({(i, at): n for i, n in taken.items() for at in range(len(ids[i]))})
