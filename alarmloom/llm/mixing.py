@@ -107,7 +107,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """One row a row of ``docs``: its size, its source's size and target, and the words taken of it."""
+    """One row a row of ``docs``: its size, its source's size and target, and the words taken of it.
+
+    A null text has size 0, a null source is one of its own, a null doc_id is a document; equal rows have a row each, an empty table
+    gives none. Texts of any length are counted whole; other columns are not looked at.
+    """
     rows = mix(docs.select("doc_id", "source", "text")).withColumn("copies", F.explode("taken_copies"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
 

@@ -56,7 +56,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fingerprint, the number of shingles and the bands of the whole text; a null text counts as empty."""
+    """doc_id, text_hash, fingerprint, the number of shingles and the bands of the whole text; a null text counts as empty, which has no bands. A row a row; other columns are not looked at."""
     text = F.coalesce("text", F.lit(""))
     source = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 

@@ -152,5 +152,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, limits: Li
 
 
 def packed_digests(packed: DataFrame) -> DataFrame:
-    """The pieces of ``pack_documents`` with a checksum in place of their ids."""
+    """The pieces of ``pack_documents`` with a checksum in place of their ids: a row a piece, none for an empty table."""
     return packed.select("doc_id", "start", "length", F.crc32("input_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens", "closed_by")

@@ -213,7 +213,8 @@ def resample(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) ->
     """One row a document: its log weight, its key in the draw, its rank and whether it is drawn.
 
     As many documents are drawn as there are rows, times the share of labelled
-    documents that are good. Equal rows have equal keys and stand side by side.
+    documents that are good. Equal rows have equal keys and stand side by side. Null and empty texts have weight 0, a null doc_id is a
+    document; an empty table gives no rows, and other columns are not looked at.
     """
     return ranked(docs, fit(docs, labels, max_labelled)).select("doc_id", "log_weight", "gumbel_key", "rank", "keep")
 

@@ -180,7 +180,11 @@ def listed(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Counts of the three base kinds, a hash of their spans and all spans, for each document."""
+    """Counts of the three base kinds, a hash of their spans and all spans, for each document.
+
+    A null or empty text has none (the hash is that of no bytes), equal rows have a row each, an empty table gives no rows; whole texts are
+    scanned, and other columns are not looked at.
+    """
     scanned = scan_secrets(docs.select("doc_id", "text")).select("doc_id", "secret_spans")
     base = F.filter("secret_spans", lambda x: x["kind"].isin(*(r.kind for r in BASE_RULES)))
 

@@ -265,7 +265,7 @@ def near_links(fingerprints: DataFrame, most: int = MOST, side: int = SIDE) -> D
 
 
 def components(prints: DataFrame, most: int = MOST) -> DataFrame:
-    """(fingerprint, root) for each fingerprint that is linked to another one."""
+    """(fingerprint, root) for each fingerprint that is linked to another one; repeated ones count once, and no rows give none."""
     return connected_components(near_links(prints.select("fingerprint").distinct(), most))
 
 

@@ -380,7 +380,7 @@ def read_token_files(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_id: int) -> list[np.ndarray]:
-    """The ids of a document, read from the one or few shards that may hold it."""
+    """The ids of each entry of a doc_id, read from the one or few shards that may hold it; none where it has no entry. Entries without a doc_id are not found so."""
     paths = [r.path for r in manifest.where((F.col("least") <= doc_id) & (F.col("most") >= doc_id)).orderBy("shard").select("path").collect()]
     out = []
     for path in paths:
