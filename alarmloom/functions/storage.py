@@ -28,6 +28,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can write."""
+    system, held = place(spark, path)
+    system.delete(held, True)
+
+
+def stored_then_removed(df: DataFrame, path: str) -> DataFrame:
+    """``df`` stored; the folder it was read from goes."""
+    out = stored(df)
+    remove(df.sparkSession, path)
+    return out
+
+
 #: Bytes of a file that are digested together, and groups of a folder's files.
 CHUNK, GROUPS = 64 << 20, 256
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_folder, stored
+from ..functions.storage import shared_folder, stored, stored_then_removed
 from ..operators import forecasting as Y
 from ..operators import investigation as V
 from ..operators import samples as S
@@ -232,7 +232,7 @@ def bundle_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_investigation_bundle(bundle, events, flagged(spark, sf_dir), event_mapping(events))
     held = load_investigation_resources(Loader(bundle), HOURS)
     latest = held.flagged.groupBy("machine_id").agg(F.max_by("incident_id", F.struct("start_time", "incident_id")).alias("incident_id")).select("incident_id")
-    return V.observed_episodes(held.flagged.join(latest, "incident_id", "left_semi"), held.events)
+    return stored_then_removed(V.observed_episodes(held.flagged.join(latest, "incident_id", "left_semi"), held.events), bundle.root)
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +276,7 @@ def sample_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = parameter_grid(WINDOWS[:1], WINDOWS[1:], (1,), (3.0,), (STEP,))
     (samples,) = create_samples(table_events(spark, sf_dir), grid, folder).values()
     write_samples(samples, f"{folder}/json")
-    return joined_arrays(read_samples(spark, f"{folder}/json"))
+    return stored_then_removed(joined_arrays(read_samples(spark, f"{folder}/json")), folder)
 
 
 def npz_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ def npz_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/npz-{uuid.uuid4().hex}"
     samples = stored(S.padded_samples(S.paired_sequences(table_events(spark, sf_dir), OFFSETS, *WINDOWS)))
     samples.repartition(4).write.format("npz").mode("overwrite").save(path)
-    return joined_arrays(spark.read.format("npz").schema(samples.schema).load(path))
+    return stored_then_removed(joined_arrays(spark.read.format("npz").schema(samples.schema).load(path)), path)
 
 
 def sequences(length: int):
@@ -351,7 +351,7 @@ def replayed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     end.write.mode("append").parquet(f"{base}/log")
     log = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
     write_transition_changes(log, f"{base}/changes", f"{base}/state", hours=HOURS, lateness="1 second").awaitTermination()
-    return current_counts(spark.read.schema(COUNTS).parquet(f"{base}/changes"))
+    return stored_then_removed(current_counts(spark.read.schema(COUNTS).parquet(f"{base}/changes")), base)
 
 
 HITS_SQL = f"""{BASE}, h AS (SELECT machine_id, last_alarm_code, alarm_code, count(*) AS hits FROM (SELECT machine_id, last_alarm_code, unnest(codes) AS alarm_code FROM trn) GROUP BY ALL),

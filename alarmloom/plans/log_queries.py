@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.storage import shared_folder, stored
+from ..functions.storage import shared_folder, stored, stored_then_removed
 from ..operators import baselines as B
 from ..operators import episodes as E
 from ..operators import ingest as I
@@ -31,7 +31,7 @@ def csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events written as a CSV log of several files in the shared folder and read back through its contract."""
     path = f"{shared_folder(spark).rstrip('/')}/csv-log-{uuid.uuid4().hex}"
     write_alarm_csv(table_events(spark, sf_dir), path)
-    return read_alarm_csv(spark, path)
+    return stored_then_removed(read_alarm_csv(spark, path), path)
 
 
 def episodes(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
