@@ -9,8 +9,12 @@ on their whole sets. MATCHES is the largest number that a pair just at the thres
 * Skip: the frequent coordinates have no lists that would have to be merged; they are counted for a pair only
   when it meets in some list, from the signatures that the postings carry (a byte a coordinate; bytes that agree by chance
   add candidates and lose none). Lists of one document are dropped.
-* A long list is dealt to blocks. A block gives not its pairs but a tree of them. When the tree's links are
-  confirmed, lists that hold one component are done; in others the blocks meet each other, and only documents that are in
+* Sizes of similar sets lie within the similarity of each other. A long list is cut into bands of sizes, each of which meets the next one,
+  and inside a list documents stand in the order of sizes.
+* A long band is dealt to blocks. A block gives not its pairs but a tree of them. When the tree's links are
+  confirmed, most groups of copies are one component; where a tree had links that were not, ROUNDS more trees are made between what
+  is still apart, in other blocks. Then all pairs are looked at that are left: in lists of several components
+  blocks meet each other, each pair counts in the first list that it shares, and only documents that are in
   a candidate pair of different components go on to a comparison of sets inside a cell.
 """
 
@@ -22,7 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
@@ -34,7 +39,7 @@ from .words import parts_of
 COORDINATES, LEAST, MISS = 32, 80, 1e-7
 #: Postings in a block of a list; documents and shingles that are compared with one hub in a task.
 BLOCK, TEXTS, SHINGLES = 256, 256, 1 << 17
-COUNTERS = 1 << 20
+COUNTERS, ROUNDS = 1 << 20, 2
 TIMES, PLUS = np.random.default_rng(42).integers(0, 1 << 64, (2, COORDINATES, 1), dtype=np.uint64) | np.uint64(1)
 POSTING = "token long, node long, size long, marks binary"
 
@@ -130,9 +135,13 @@ def token_counts(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(nodes: DataFrame, counts: np.ndarray, needed: int) -> DataFrame:
-    """Each node under its COORDINATES - needed + 1 rarest coordinate-value pairs, with a byte of each coordinate."""
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+def rarest(tokens: np.ndarray, counts: np.ndarray, needed: int) -> np.ndarray:
+    """Coordinates under which each row is posted: those of its COORDINATES - needed + 1 rarest pairs."""
+    return np.lexsort((tokens, counts[counter_of(tokens)]), axis=1)[:, : COORDINATES - needed + 1]
+
+
+def postings(nodes: DataFrame, shared: Broadcast, needed: int) -> DataFrame:
+    """Each node under its rarest coordinate-value pairs, with a byte of each coordinate."""
     prefix = COORDINATES - needed + 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +149,7 @@ def postings(nodes: DataFrame, counts: np.ndarray, needed: int) -> DataFrame:
             for k in range(0, whole.num_rows, 4096):
                 batch = whole.slice(k, 4096)
                 tokens = tokens_of(batch.column("signature").to_pylist())
-                order = np.lexsort((tokens, shared.value[counter_of(tokens)]), axis=1)[:, :prefix]
+                order = rarest(tokens, shared.value, needed)
                 marks = (tokens & 255).astype(np.uint8)
                 repeated = np.repeat(np.arange(batch.num_rows), prefix)
                 fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), batch.num_rows, [None, pa.py_buffer(marks.tobytes())]).cast(pa.binary())
@@ -174,13 +183,13 @@ def near(marks: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, nee
 
 
 def candidate_pairs(run: np.ndarray, marks: np.ndarray, sizes: np.ndarray, needed: int, least: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in one run of equal numbers in ``run`` (sorted) that are candidates; none of equal numbers in ``skip``."""
+    """Pairs of places in one run of equal numbers in ``run`` that are candidates; none of equal numbers in ``skip``. Rows are sorted by run and size."""
     left, right = [], []
     i, d = np.arange(len(run)), 0
     while True:
         d += 1
         i = i[i + d < len(run)]
-        i = i[run[i] == run[i + d]]
+        i = i[(run[i] == run[i + d]) & (100 * sizes[i] >= least * sizes[i + d])]
         if not len(i):
             break
         asked = i if skip is None else i[skip[i] != skip[i + d]]
@@ -217,34 +226,64 @@ def columns_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def in_cells(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "size")
+
+
+LIST, CELL = ("token", "band"), ("token", "band", "i", "j")
+
+
+def in_bands(live: DataFrame, least: int, block: int) -> DataFrame:
+    """``live`` (stored: token, node, size, marks and n, the length of the list) as lists (token, band) of length n, in blocks.
+
+    Lists of ``block`` and less are one band. In others a document stands in the band of its size and in the next
+    one, so two sizes that allow the similarity are in one band.
+    """
+    short = live.where(F.col("n") <= block).select("token", F.lit(0).cast("long").alias("band"), "node", "size", "marks", "n")
+    width = max(math.log(100 / least), 0.01) * (1 + 1e-9)
+    own = F.floor(F.log("size") / width)
+    long_ = live.where(F.col("n") > block).drop("n").withColumn("band", F.explode(F.array(own, own + 1)))
+    counts = long_.groupBy(*LIST).agg(F.count("*").alias("n")).where("n > 1")
+    both = short.unionByName(checkpointed(long_.join(counts, list(LIST))))
+    return both.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block).cast("long")))
 
 
 def candidate_trees(live: DataFrame, needed: int, least: int) -> DataFrame:
-    """Distinct links (a, b) that join what the candidate pairs inside each block of each list join."""
+    """Distinct links (a, b) that join what the candidate pairs of different ``root`` inside each block of each list join."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, run in by_runs(batches, ["token", "block"]):
+        for table, run in by_runs(batches, [*LIST, "block"]):
             nodes, sizes, marks = columns_of(table)
-            i, j = candidate_pairs(run, marks, sizes, needed, least)
+            roots = table.column("root").to_numpy()
+            i, j = candidate_pairs(run, marks, sizes, needed, least, roots)
             label = components_of(len(nodes), i, j)
-            moved = np.flatnonzero(label != np.arange(len(nodes)))
+            moved = np.flatnonzero(roots[label] != roots)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
-    return in_cells(live.select("token", "block", "node", "size", "marks"), "token", "block").mapInArrow(join, "a long, b long").distinct()
+    return in_cells(live.select(*LIST, "block", "node", "size", "marks", "root"), *LIST, "block").mapInArrow(join, "a long, b long").distinct()
 
 
-def unjoined_in_cells(cells: DataFrame, needed: int, least: int) -> DataFrame:
-    """Rows (token, i, j, node, size, marks, root) that are in a candidate pair of different roots in their cell."""
-    names = ["token", "i", "j", "node", "size", "marks", "root"]
+def unjoined_in_cells(cells: DataFrame, shared: Broadcast, needed: int, least: int) -> DataFrame:
+    """Rows (CELL, node, size, marks, root) that are in a candidate pair of different roots in their cell, if the cell is of the first list that the pair shares."""
+    names = [*CELL, "node", "size", "marks", "root"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, run in by_runs(batches, ["token", "i", "j"]):
+        for table, run in by_runs(batches, list(CELL)):
             _, sizes, marks = columns_of(table)
             i, j = candidate_pairs(run, marks, sizes, needed, least, table.column("root").to_numpy())
-            yield from table.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
-
-    return in_cells(cells.select(*names), "token", "i", "j").mapInArrow(pick, "token long, i long, j long, node long, size long, marks binary, root long")
+            if not len(i):
+                continue
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            chosen = table.take(pa.array(some)).combine_chunks()
+            tokens = tokens_of(chosen.column("signature").to_pylist())
+            posted = np.zeros(tokens.shape, bool)
+            np.put_along_axis(posted, rarest(tokens, shared.value, needed), True, axis=1)
+            coordinate = chosen.column("token").to_numpy() >> 32
+            left, right = at[: len(i)], at[len(i) :]
+            first = np.concatenate([((tokens[a] == tokens[b]) & posted[a] & posted[b]).argmax(axis=1) for a, b in zip(np.array_split(left, 1 + len(i) // 65_536), np.array_split(right, 1 + len(i) // 65_536))])
+            own = first == coordinate[left]
+            yield from chosen.select(names).take(pa.array(np.union1d(left[own], right[own]))).combine_chunks().to_batches()
+
+    return in_cells(cells.select(*names, "signature"), *CELL).mapInArrow(pick, "token long, band long, i long, j long, node long, size long, marks binary, root long")
 
 
 # ---------------------------------------------------------------- confirmation on whole sets
@@ -280,12 +319,13 @@ def linked(table: pa.Table, a: list[int], b: list[int]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar enough; the pairs of one b are compared in blocks."""
+def confirmed_links(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """Those of ``pairs`` (a, b), stored, whose ``sets`` are similar enough; the pairs of one b are compared in blocks."""
     sized = pairs.join(nodes.select(F.col("node").alias("a"), "size"), "a")
     blocks = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("size") / SHINGLES)).cast("long").alias("blocks"))
-    dealt = checkpointed(pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("node")))
-    rows = dealt.unionByName(dealt.select("b", "block", F.col("b").alias("node")).distinct())
+    blocks = checkpointed(blocks)
+    dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("node"))
+    rows = dealt.unionByName(blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("node")))
 
     def link(table: pa.Table) -> pa.Table:
         hub, nodes_ = table.column("b")[0].as_py(), table.column("node").to_pylist()
@@ -297,14 +337,14 @@ def confirmed_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, least:
         found = [nodes_[x] for x, ok in zip(others, good) if ok]
         return linked(table, found, [hub] * len(found))
 
-    return rows.join(sets_of(docs, nodes, rows), "node").groupBy("b", "block").applyInArrow(link, "a long, b long")
+    return rows.join(sets, "node").groupBy("b", "block").applyInArrow(link, "a long, b long")
 
 
 def links_in_cells(cells: DataFrame, docs: DataFrame, nodes: DataFrame, needed: int, least: int) -> DataFrame:
     """Links that join the roots of similar sets in each cell; of cells with the same nodes one is enough."""
     marks = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
-    once = cells.groupBy("token", "i", "j").agg(*marks).groupBy("n", "x", "y").agg(F.min(F.struct("token", "i", "j")).alias("cell")).select("cell.*")
-    kept = checkpointed(cells.join(once, ["token", "i", "j"]))
+    once = cells.groupBy(*CELL).agg(*marks).groupBy("n", "x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*")
+    kept = checkpointed(cells.join(once, list(CELL)))
 
     def link(table: pa.Table) -> pa.Table:
         names, sizes, marks = columns_of(table)
@@ -323,7 +363,7 @@ def links_in_cells(cells: DataFrame, docs: DataFrame, nodes: DataFrame, needed:
                         group[group == group[y]] = group[x]
         return linked(table, a, b)
 
-    return kept.join(sets_of(docs, nodes, kept), "node").groupBy("token", "i", "j").applyInArrow(link, "a long, b long")
+    return kept.join(sets_of(docs, nodes, kept), "node").groupBy(*CELL).applyInArrow(link, "a long, b long")
 
 
 def set_links(docs: DataFrame, nodes: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -332,12 +372,17 @@ def set_links(docs: DataFrame, nodes: DataFrame, least: int = LEAST, block: int
     ``nodes`` (node, size, signature, first.doc_id, first.text_hash) should be stored.
     """
     needed = matches_needed(least)
-    posted = postings(nodes, token_counts(nodes), needed)
+    shared = nodes.sparkSession.sparkContext.broadcast(token_counts(nodes))  # COUNTERS numbers
+    posted = postings(nodes, shared, needed)
     lists = checkpointed(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select(F.col("token").alias("of"), "n"))
-    blocks = F.ceil(F.col("n") / block).cast("long")
-    live = checkpointed(posted.join(lists, F.col("token") == F.col("of")).drop("of").withColumn("block", F.pmod(F.xxhash64("node"), blocks)))
-    trees = checkpointed(candidate_trees(live, needed, least))
-    links = checkpointed(confirmed_links(trees, docs, nodes, least))
+
+    def blocks() -> Column:
+        return F.ceil(F.col("n") / block).cast("long")
+
+    live = in_bands(checkpointed(posted.join(lists, F.col("token") == F.col("of")).drop("of")), least, block)
+    trees = checkpointed(candidate_trees(live.withColumn("root", F.col("node")), needed, least))
+    sets = sets_of(docs, nodes, trees.select(F.explode(F.array("a", "b")).alias("node")))
+    links = checkpointed(confirmed_links(trees, sets, nodes, least))
     roots = checkpointed(connected_components(links))
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -345,17 +390,32 @@ def set_links(docs: DataFrame, nodes: DataFrame, least: int = LEAST, block: int
         return rows.join(held, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("its", "node")).drop("of", "its")
 
     # candidates that trees join but links do not; a pair alone has been compared already
-    trunk = rooted(connected_components(trees).select("node", F.col("root").alias("trunk")))
-    open_ = trunk.groupBy("trunk").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
-    open_nodes = trunk.join(open_.select("trunk"), "trunk").select(F.col("node").alias("open"), "root")
-    inside = live.join(open_nodes, F.col("node") == F.col("open")).select("token", F.col("block").alias("i"), F.col("block").alias("j"), "node", "size", "marks", "root")
-    # long lists that hold several components: each two blocks
+    trunk = checkpointed(rooted(connected_components(trees).select("node", F.col("root").alias("trunk"))))
+    apart = trunk.groupBy("trunk").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("nodes")).where("low < high AND nodes > 2")
+    open_live = checkpointed(live.join(trunk.join(apart.select("trunk"), "trunk").select(F.col("node").alias("open")), F.col("node") == F.col("open")).drop("open"))
+    for round_ in range(ROUNDS):
+        dealt = rooted(open_live).withColumn("block", F.pmod(F.xxhash64("node", F.lit(round_)), blocks()))
+        more = checkpointed(candidate_trees(dealt, needed, least))
+        if more.isEmpty():
+            break
+        links = checkpointed(links.unionByName(confirmed_links(more, sets, nodes, least)))
+        roots = checkpointed(connected_components(links))
+    inside = rooted(open_live).select(*LIST, F.col("block").alias("i"), F.col("block").alias("j"), "node", "size", "marks", "root")
+    # long lists that hold several components: a pair that is apart has a document outside the largest one
     long_ = checkpointed(rooted(live.where(F.col("n") > block)))
-    mixed = long_.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block).cast("long") - 1))
-    across = long_.join(mixed, "token").withColumn("other", other).where("block <> other")
-    across = across.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "marks", "root")
-    cells = checkpointed(unjoined_in_cells(inside.unionByName(across), needed, least))
+    held = long_.groupBy(*LIST, "root").agg(F.count("*").alias("own"), F.max("n").alias("of_n")).groupBy(*LIST).agg(F.max_by("root", "own").alias("main"), (F.max("of_n") - F.max("own")).alias("outside"))
+    mixed = long_.join(checkpointed(held.where("outside > 0")), list(LIST)).withColumn("blocks", blocks())
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    # few outside: those visit all blocks, and nobody else moves
+    few = mixed.where(F.col("outside") <= block)
+    guests = few.where("root <> main").withColumn("other", F.explode(every)).where("block <> other")
+    visited = few.select(*LIST, "block", "node", "size", "marks", "root").unionByName(guests.select(*LIST, F.col("other").alias("block"), "node", "size", "marks", "root"))
+    visited = visited.select(*LIST, F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"), "node", "size", "marks", "root")
+    # many: each two blocks
+    across = mixed.where(F.col("outside") > block).withColumn("other", F.explode(every)).where("block <> other")
+    across = across.select(*LIST, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "marks", "root")
+    signed = inside.unionByName(visited).unionByName(across).join(nodes.select("node", "signature"), "node")
+    cells = checkpointed(unjoined_in_cells(signed, shared, needed, least))
     return links.unionByName(links_in_cells(cells, docs, nodes, needed, least))
 
 
