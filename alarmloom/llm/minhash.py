@@ -439,3 +439,28 @@ def component_report(docs: DataFrame, least: int = LEAST, block: int = BLOCK) ->
     with_words = join_spread(checkpointed(known.select("doc_id", "size", "node")), of_node, "node", "of").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     alone = prints.where(F.col("node").isNull()).select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same report in SQL, over all pairs that share a shingle; for tables whose rows differ in doc_id.
+REPORT_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, b.y FROM reached r JOIN ways b ON r.y = b.x
+), least AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""

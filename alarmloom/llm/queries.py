@@ -115,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from .clustering import cluster_sql
+    from .minhash import REPORT_SQL as COMPONENTS_SQL
     from .mixing import MIXTURE_SQL
     from .phrases import PHRASES_SQL
     from .secret_scan import REPORT_SQL
@@ -125,5 +126,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_fair_queue_mixture": MIXTURE_SQL,
         "op10_pivot_top_k": TOP_K_SQL,
         "op11_pair_naming_phrases": PHRASES_SQL,
+        "op12_signature_join": COMPONENTS_SQL,
         "op13_elkan_clusters": cluster_sql(),
     }
