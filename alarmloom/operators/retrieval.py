@@ -1,7 +1,7 @@
 """Similar earlier episodes: time gates, exact cosine top-k, outcome Jaccard, ranking measures.
 
 Best candidates come from an inverted index in blocks of time (``best_candidates``), the sizes of pools from running
-counts, and the relevant candidates of a pool from a join of sets of codes by prefixes (``relevant_counts``); none of
+counts, and the relevant candidates of a pool from products of blocks of sets of codes (``relevant_counts``); none of
 these makes a row for each pair. Similarities are rounded to twelve digits before they are ranked,
 so that the order does not hang on the order of summation.
 """
@@ -25,6 +25,8 @@ POLICIES = ("expanding_history", "train_only")
 STATUSES = ("query_outcome_incomplete", "query_without_future_alarms", "no_evaluable_candidates", "evaluated")
 #: Rows of a block, and ranges of time.
 QUERY_BLOCK, CANDIDATE_BLOCK, MOST_RANGES = 16_384, 4_096, 1_024
+#: Candidates of a block whose outcomes are compared; queries, candidates and codes of a tile of it.
+HELD_BLOCK, QUERY_TILE, HELD_TILE, CODE_TILE = 32_768, 1_024, 2_048, 512
 DIGITS, SLACK = 12, 1e-9
 
 
@@ -273,27 +275,101 @@ def best_candidates(rows: DataFrame, search: Search) -> DataFrame:
     return merged(found.unionByName(more), k)
 
 
+def entries_of(codes: pa.ChunkedArray, numbers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (row, number of the code) of rows of codes, by row, and how many each row has; ``numbers`` takes in new codes."""
+    held = codes.combine_chunks()
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    words = pc.dictionary_encode(held.flatten(), null_encoding="encode")
+    known = np.array([numbers.setdefault(w, len(numbers)) for w in words.dictionary.to_pylist()], dtype=np.int64)
+    lengths = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+    row, code = np.repeat(np.arange(len(held)), lengths), known[words.indices.to_numpy(zero_copy_only=False)]
+    pairs = np.unique(row * max(1, len(numbers)) + code)
+    row, code = np.divmod(pairs, max(1, len(numbers)))
+    return row, code, np.bincount(row, minlength=len(held))
+
+
+def tiles(row: np.ndarray, code: np.ndarray, start: int, stop: int, width: int) -> list[np.ndarray]:
+    """Rows ``start`` to ``stop`` as matrices of zeros and ones, a matrix for each CODE_TILE codes of ``width``."""
+    some = slice(*np.searchsorted(row, [start, stop]))
+    out = []
+    for low in range(0, width, CODE_TILE):
+        here = (code[some] >= low) & (code[some] < low + CODE_TILE)
+        tile = np.zeros((stop - start, min(CODE_TILE, width - low)), dtype=np.float32)
+        tile[row[some][here] - start, code[some][here] - low] = 1
+        out.append(tile)
+    return out
+
+
+def least_shared(most: int, threshold: float) -> np.ndarray:
+    """For two sets by the sum of their sizes, up to ``most``: the fewest codes in common with which their Jaccard similarity is ``threshold``."""
+    least = np.full(most + 1, np.inf, dtype=np.float32)
+    for total in range(2, most + 1):
+        n = max(1, int(threshold * total / (1 + threshold)) - 1)
+        while n / (total - n) < threshold:
+            n += 1
+        least[total] = n
+    return least
+
+
+def relevant_in_block(asked: pa.Table, held: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
+    """incident_id of each of ``asked`` with the numbers of ``held`` before it that reach each threshold; sizes of sets in common are products of matrices of zeros and ones."""
+    counts = np.zeros((len(thresholds), asked.num_rows), dtype=np.int64)
+    if asked.num_rows and held.num_rows:
+        held = held.take(pa.array(np.argsort(held.column("moment").to_numpy(), kind="stable")))
+        numbers: dict = {}
+        held_row, held_code, held_size = entries_of(held.column("codes"), numbers)
+        shared = len(numbers)  # codes of queries alone are in no intersection
+        row, code, size = entries_of(asked.column("codes"), numbers)
+        own = code < shared
+        row, code = row[own], code[own]
+        moments, starts = held.column("moment").to_numpy(), asked.column("start_us").to_numpy()
+        least = [least_shared(int(size.max() + held_size.max()), t) for t in thresholds]
+        queries = [(a, min(a + QUERY_TILE, asked.num_rows)) for a in range(0, asked.num_rows, QUERY_TILE)]
+        for c in range(0, held.num_rows, HELD_TILE):
+            d = min(c + HELD_TILE, held.num_rows)
+            candidates = tiles(held_row, held_code, c, d, shared)
+            for a, b in queries:
+                limits = np.searchsorted(moments[c:d], starts[a:b], "left")
+                if not limits.any():
+                    continue
+                both = np.zeros((b - a, d - c), dtype=np.float32)
+                for q, x in zip(tiles(row, code, a, b, shared), candidates):
+                    both += q @ x.T
+                for i in np.flatnonzero(limits < d - c):
+                    both[i, limits[i] :] = -1
+                for n in np.unique(size[a:b]):  # queries of one size need the same of a candidate
+                    of_size = np.flatnonzero(size[a:b] == n)
+                    part = both[of_size]
+                    for i, table in enumerate(least):
+                        counts[i, a + of_size] += np.count_nonzero(part >= table[n + held_size[c:d]], axis=1)
+    return pa.table({"incident_id": asked.column("incident_id").cast(pa.string()), **{f"r{i}": pa.array(x) for i, x in enumerate(counts)}})
+
+
 def relevant_counts(rows: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """incident_id of each query of ``rows`` with r0, r1, ...: the candidates before it whose codes have at least that Jaccard similarity with its own.
+    """incident_id of each query of ``rows`` (stored) with r0, r1, ...: the candidates before it whose codes have at least that Jaccard similarity with its own.
 
-    Different sets of codes are joined, not episodes. Codes are put in order of rarity; two sets of a similarity of t share one of the first n - ceil(t n) + 1
-    codes of each, n its size, and their sizes are within t of each other. Those pairs are verified, and the candidates of verified sets counted up to each query's start.
+    All pairs, as low thresholds leave most of them: queries and candidates are dealt into blocks, each two of which are a task that holds
+    tiles of QUERY_TILE by HELD_TILE numbers and gives a row a query; no row is made for a pair.
     """
-    least = min(thresholds)
-    asked, held = rows.where("asked"), rows.where(F.col("moment").isNotNull())
-    sets = stored(asked.select("codes", F.lit(True).alias("of_query")).unionByName(held.select("codes", F.lit(False).alias("of_query"))).where(F.size("codes") > 0).groupBy("codes").agg(F.max("of_query").alias("of_query"), F.min("of_query").alias("only_query")))
-    flat = sets.select("codes", "of_query", "only_query", F.explode("codes").alias("code"))
-    flat = flat.join(flat.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "code")
-    size = F.size("codes")
-    prefix = F.slice(F.sort_array(F.collect_list(F.struct("n", "code"))), F.lit(1), size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1)
-    posted = flat.groupBy("codes").agg(F.any_value("of_query").alias("of_query"), F.any_value("only_query").alias("only_query"), prefix.alias("prefix")).select("codes", "of_query", "only_query", F.explode("prefix.code").alias("code"))
-    left = posted.where("of_query").select("codes", "code")
-    right = posted.where("NOT only_query").select(F.col("codes").alias("other"), "code")
-    fits = (F.least(F.size("codes"), F.size("other")) >= F.greatest(F.size("codes"), F.size("other")) * F.lit(least) - F.lit(1e-9))
-    pairs = left.join(right, "code").where(fits).select("codes", "other").distinct().withColumn("overlap", jaccard(F.col("codes"), F.col("other"))).where(F.col("overlap") >= least)
-    ready = held.groupBy("codes", "moment").agg(F.count(F.lit(1)).alias("n")).select(F.col("codes").alias("other"), F.col("moment").alias("us"), "n")
-    readies = pairs.join(ready, "other").groupBy("codes", "us").agg(*(F.sum(F.when(F.col("overlap") >= t, F.col("n")).otherwise(F.lit(0))).alias(f"r{i}") for i, t in enumerate(thresholds)))
-    return counts_before(asked.select("codes", "incident_id", F.col("start_us").alias("us")), readies, "codes")
+    asked_count, n, last = rows.agg(F.count_if("asked"), F.count("moment"), F.max(F.when(F.col("asked"), F.col("start_us")))).first()
+    # small tables are cut finer, to be several tasks
+    query_blocks = max(1, ceil(asked_count / QUERY_BLOCK), min(4, asked_count // QUERY_TILE))
+    held_blocks = max(1, ceil(n / HELD_BLOCK), min(8, n // HELD_TILE))
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64("incident_id"), F.lit(blocks)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    asked = dealt(rows.where("asked").select("incident_id", "start_us", "codes"), "qb", query_blocks, "hb", held_blocks)
+    held = rows.where(F.col("moment") < F.lit(last)).select(*(F.col(c).alias(c) for c in ("incident_id", "moment", "codes")))
+    held = dealt(held, "hb", held_blocks, "qb", query_blocks)
+    names = [f"r{i}" for i in range(len(thresholds))]
+
+    def block(q: pa.Table, c: pa.Table) -> pa.Table:
+        return relevant_in_block(q, c, thresholds)
+
+    parts = asked.groupBy("qb", "hb").cogroup(held.groupBy("qb", "hb")).applyInArrow(block, ", ".join(["incident_id string", *(f"{r} long" for r in names)]))
+    return parts.groupBy("incident_id").agg(*(F.sum(r).alias(r) for r in names))
 
 
 def counted(rows: DataFrame, search: Search) -> DataFrame:

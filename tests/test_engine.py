@@ -736,6 +736,26 @@ def test_relevant_counts_and_best_against_all_pairs(spark):
                 assert [b.jaccard for b in r.best] == [overlap(q[0], b.candidate_id) for b in r.best]
 
 
+def test_relevant_counts_in_tiles_make_no_row_for_a_pair(spark, monkeypatch):
+    """Sets that nearly all share codes: counted block by block, in many tiles, as brute force does, without a join of sets."""
+    draw, thresholds = random.Random(47), (0.1, 0.3, 0.5, 1 / 3, 1.0)
+    words = [None, "", *(f"c{k}" for k in range(40))]
+    rows = [(f"e{k:03}", draw.randint(0, 300), draw.choice((None, *range(0, 300, 7))), draw.sample(words, draw.choice((0, 1, 2, 25, 38))) if k % 9 else ["x", "y"], draw.random() < 0.5) for k in range(300)]
+    frame = spark.createDataFrame(rows, "incident_id string, start_us long, moment long, codes array<string>, asked boolean").cache()
+    expected = {q[0]: [sum(c[2] is not None and c[2] < q[1] and bool(set(q[3]) & set(c[3])) and len(set(q[3]) & set(c[3])) / len(set(q[3]) | set(c[3])) >= t for c in rows) for t in thresholds] for q in rows if q[4]}
+    for name, value in {"QUERY_BLOCK": 60, "HELD_BLOCK": 100}.items():
+        monkeypatch.setattr(R, name, value)
+    found = R.relevant_counts(frame, thresholds)
+    assert {r[0]: list(r[1:]) for r in found.collect()} == expected
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    for name, value in {"QUERY_TILE": 11, "HELD_TILE": 17, "CODE_TILE": 6}.items():
+        monkeypatch.setattr(R, name, value)
+    table = frame.toArrow()
+    asked, held = table.filter(table["asked"]), table.filter(table["moment"].is_valid())
+    assert {r[0]: list(r[1:]) for r in zip(*(R.relevant_in_block(asked, held, thresholds).to_pydict().values()))} == expected
+    assert R.relevant_counts(frame.where("false"), thresholds).count() == 0
+
+
 def test_bundles_are_committed_at_once(spark, tmp_path):
     from alarmloom.functions import storage
     from alarmloom.plans.bundles import Bundle, Loader
