@@ -346,7 +346,7 @@ def replayed_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):  # one after another, as a log is written
         part = train.where((us > F.lit(low)) if low is not None else F.lit(True)).where((us <= F.lit(high)) if high is not None else F.lit(True))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/log")
+        part.repartition(1).write.mode("append").parquet(f"{base}/log")  # filtered by many tasks; a file is one batch of the stream
     end = train.agg((F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp")).select("timestamp", F.lit(None).cast("string").alias("machine_id"), F.lit(-1).cast("long").alias("source_row"), F.lit(None).cast("string").alias("alarm_code"))
     end.write.mode("append").parquet(f"{base}/log")
     log = spark.readStream.schema(train.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")

@@ -670,6 +670,75 @@ def test_streamed_transitions_with_late_rows_and_a_restart(spark, tmp_path):
     assert run(rows[220:300], rows[300:], [late], [end]) == expected_transitions(rows, timedelta(minutes=30), timedelta(hours=6))
 
 
+class HeldState(dict):
+    """A map or value state as a dict that counts what reaches it."""
+
+    calls = 0
+
+    def called(name):
+        def call(self, *args):
+            HeldState.calls += 1
+            return getattr(self, "_" + name)(*args)
+
+        return call
+
+    containsKey, getValue, updateValue, removeKey, exists, get, update = map(called, ("has", "at", "put", "drop", "exists", "value", "keep"))
+    _has, _at, _put, _drop = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+    _exists, _value, _keep = (lambda self: "value" in self), (lambda self: self["value"]), (lambda self, v: self.__setitem__("value", v))
+
+    def keys(self):
+        return iter(list(dict.keys(self)))
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_transition_state_is_called_by_moments_and_counts_not_by_events():
+    """4,000 events of 40 moments: the state is called some times a moment, whichever rows the watermark has passed."""
+    import pandas as pd
+
+    from alarmloom.streaming.transitions import TransitionCounter
+
+    start, minute, draw = datetime(2020, 1, 1), 60_000_000, random.Random(3)
+    rows = [(start + timedelta(minutes=40 * (k // 100)), draw.choice(("a", "b", "c\n", 'd"')), "m", k) for k in range(4000)]
+    start_us = round((start - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    events = pd.DataFrame([(start_us + (r[0] - start) // timedelta(microseconds=1), r[3], r[1]) for r in draw.sample(rows, len(rows))], columns=["us", "source_row", "alarm_code"])
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, *_):
+            return HeldState()
+
+        def getValueState(self, *_):
+            return HeldState()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Watermark:
+        def __init__(self, us):
+            self.us = us
+
+        def getCurrentWatermarkInMs(self):
+            return self.us // 1000
+
+    counter, changes = TransitionCounter(30 * minute, 360 * minute), []
+    counter.init(Handle())
+    HeldState.calls = 0
+    for part in (events[:2500], events[2500:]):
+        list(counter.handleInputRows(("m",), iter([part]), None))
+    assert Handle.timers[-1] * 1000 > int(events["us"].max())
+    for passed in (start_us + 13 * 40 * minute + 5, start_us + 10_000 * minute):
+        changes += [r for f in counter.handleExpiredTimer(("m",), Watermark(passed), None) for r in f.itertuples(index=False, name=None)]
+    samples = {(m, last): n for m, last, _, _, n in sorted(changes, key=lambda r: r[4])}
+    hits = {(m, last, code): n for m, last, code, n, _ in sorted((r for r in changes if r[2] is not None), key=lambda r: r[3])}
+    # codes that hold a break are cut by the pending state; the others are exact
+    whole = [r for r in expected_transitions(rows, timedelta(minutes=30), timedelta(hours=6)) if "\n" not in r[2]]
+    assert sorted((m, last, code, n, samples[m, last]) for (m, last, code), n in hits.items() if code in ("a", "b", 'd"')) == whole
+    assert HeldState.calls < 600
+
+
 def test_npz_round_trip_ranges_and_failures(spark, tmp_path, monkeypatch):
     import numpy as np
 
