@@ -2,6 +2,7 @@
 
 Files are read in ranges of rows, each a task of its own that seeks to its rows in every array. A task writes files of
 bounded size below a staging folder; they are moved to their place when all tasks are done, and deleted if one fails.
+Rows may be wide, so ranges and files are bounded by their cells too, and Python's objects are made of a piece of rows at a time.
 Arrays hold numbers or text of one width; nothing is pickled.
 """
 
@@ -18,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 #: Rows of a file, and of a range that one task reads.
 FILE_ROWS, RANGE_ROWS = 65_536, 16_384
+#: Cells of a file, of a range, and of a piece that is made into Python's objects.
+FILE_CELLS, RANGE_CELLS, PIECE_CELLS = 4_000_000, 4_000_000, 250_000
 MANIFEST = "_files.json"
 KINDS = {IntegerType: np.int32, LongType: np.int64, DoubleType: np.float64, StringType: np.str_}
 
@@ -49,6 +52,24 @@ def as_array(field, values: list) -> np.ndarray:
     return made.reshape(len(values), -1) if nested else made
 
 
+def cells_of(array: pa.Array) -> np.ndarray:
+    """Cells of each row of a column."""
+    if pa.types.is_list(array.type):
+        return array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.ones(len(array), dtype=np.int64)
+
+
+def pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """A batch in slices of at most PIECE_CELLS cells, a row at least, with their cells."""
+    ends = np.cumsum(sum((cells_of(c) for c in batch.columns), np.zeros(batch.num_rows, dtype=np.int64)))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_CELLS, "right")))
+        yield batch.slice(start, stop - start), int(ends[stop - 1]) - before
+        start = stop
+
+
 def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
@@ -96,11 +117,17 @@ class NpzReader(DataSourceReader):
         system, _ = place(self.path)
         out = []
         for name in self.files():
-            with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive, archive.open(f"{self.schema.names[0]}.npy") as first:
-                n = header(first)[0][0]
-            out += [Rows(name, k, min(n, k + RANGE_ROWS)) for k in range(0, n, RANGE_ROWS)]
+            with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
+                shapes = [self.shape(archive, column) for column in self.schema.names]
+            n, width = shapes[0][0], sum(int(np.prod(shape[1:], dtype=np.int64)) for shape in shapes)
+            step = max(1, min(RANGE_ROWS, RANGE_CELLS // max(1, width)))
+            out += [Rows(name, k, min(n, k + step)) for k in range(0, n, step)]
         return out or [Rows("", 0, 0)]
 
+    def shape(self, archive: zipfile.ZipFile, column: str) -> tuple[int, ...]:
+        with archive.open(f"{column}.npy") as file:
+            return header(file)[0]
+
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if partition.stop == partition.start:
             return
@@ -108,7 +135,10 @@ class NpzReader(DataSourceReader):
         wanted = to_arrow_schema(self.schema)
         with system.open_input_file(partition.file) as file, zipfile.ZipFile(file) as archive:
             columns = [rows_of(archive, f.name, partition.start, partition.stop) for f in self.schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c.tolist(), t.type) for c, t in zip(columns, wanted)], schema=wanted)
+        width = sum(int(np.prod(c.shape[1:], dtype=np.int64)) for c in columns)
+        step = max(1, PIECE_CELLS // max(1, width))
+        for k in range(0, partition.stop - partition.start, step):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + step].tolist(), t.type) for c, t in zip(columns, wanted)], schema=wanted)
 
 
 @dataclass
@@ -116,28 +146,34 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class NpzWriter(DataSourceWriter):
+class NpzWriter(DataSourceArrowWriter):
     def __init__(self, schema: StructType, path: str, overwrite: bool):
         for field in schema:
             kind_of(field)
         self.schema, self.path, self.overwrite = schema, path.rstrip("/"), overwrite
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, path = place(self.path)
         system.create_dir(f"{path}/{self.staging}", recursive=True)
-        held, names = [], []
-        for row in rows:
-            held.append(tuple(row))
-            if len(held) == FILE_ROWS:
-                names.append(self.store(system, path, held))
-                held = []
+        held, rows, cells, names = [], 0, 0, []
+        for batch in batches:
+            for piece, size in pieces(batch):
+                if held and (cells + size > FILE_CELLS or rows + piece.num_rows > FILE_ROWS):
+                    names.append(self.store(system, path, held))
+                    held, rows, cells = [], 0, 0
+                held.append([as_array(f, column.to_pylist()) for f, column in zip(self.schema, piece.columns)])
+                rows, cells = rows + piece.num_rows, cells + size
         if held:
             names.append(self.store(system, path, held))
         return Written(names)
 
-    def store(self, system: fs.FileSystem, path: str, held: list[tuple]) -> str:
-        arrays = {f.name: as_array(f, [row[i] for row in held]) for i, f in enumerate(self.schema)}
+    def store(self, system: fs.FileSystem, path: str, held: list[list[np.ndarray]]) -> str:
+        arrays = {}
+        for i, field in enumerate(self.schema):
+            if len({piece[i].shape[1:] for piece in held}) > 1:
+                raise ValueError(f"rows of {field.name} differ in length; pad them first")
+            arrays[field.name] = np.concatenate([piece[i] for piece in held])
         buffer, name = io.BytesIO(), f"part-{uuid.uuid4().hex}.npz"
         np.savez(buffer, **arrays)
         with system.open_output_stream(f"{path}/{self.staging}/{name}") as file:
