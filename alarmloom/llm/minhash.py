@@ -9,13 +9,14 @@ on their whole sets. MATCHES is the largest number that a pair just at the thres
 * Skip: the frequent coordinates have no lists that would have to be merged; they are counted for a pair only
   when it meets in some list, from the signatures that the postings carry (a byte a coordinate; bytes that agree by chance
   add candidates and lose none). Lists of one document are dropped.
-* Sizes of similar sets lie within the similarity of each other. A long list is cut into bands of sizes, each of which meets the next one,
-  and inside a list documents stand in the order of sizes.
-* A long band is dealt to blocks. A block gives not its pairs but a tree of them. When the tree's links are
-  confirmed, most groups of copies are one component; where a tree had links that were not, ROUNDS more trees are made between what
-  is still apart, in other blocks. Then all pairs are looked at that are left: in lists of several components
-  blocks meet each other, each pair counts in the first list that it shares, and only documents that are in
-  a candidate pair of different components go on to a comparison of sets inside a cell.
+* Sizes of similar sets lie within the similarity of each other. A list of over BLOCK documents is cut into bands of sizes, each of which
+  meets the next one, and inside a list documents stand in the order of sizes.
+* A list gives not its candidate pairs but a forest of them, from the bytes alone; blocks of a long band meet each other where their
+  documents are still in several trees. The components of all forests are trunks: a pair of candidates is in one trunk.
+* Whole sets are compared inside trunks, not inside lists, so a document that is in many lists moves once. A trunk of up to TEXTS
+  documents is a cell. A larger one is dealt to cells by hash, each with the same few hubs, which join what is dense; then those outside the
+  trunk's largest component meet the whole trunk, block by block. Only where a large trunk is so sparse that its lists hold
+  fewer rows than that, pairs are looked at in lists, each in the first one that it shares.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ from .phrases import Names, paired
 from .words import parts_of
 
 COORDINATES, LEAST, MISS = 32, 80, 1e-7
-#: Postings in a block of a list; documents and shingles that are compared with one hub in a task.
-BLOCK, TEXTS, SHINGLES = 256, 256, 1 << 17
-COUNTERS, ROUNDS = 1 << 20, 2
+#: Postings in a block of a list; documents and shingles in a block of a trunk; documents that all blocks of a trunk get, about.
+BLOCK, TEXTS, SHINGLES, HUBS = 2048, 256, 1 << 17, 16
+COUNTERS = 1 << 20
 TIMES, PLUS = np.random.default_rng(42).integers(0, 1 << 64, (2, COORDINATES, 1), dtype=np.uint64) | np.uint64(1)
 POSTING = "token long, node long, size long, marks binary"
 
@@ -182,24 +183,42 @@ def near(marks: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, nee
     return out
 
 
-def candidate_pairs(run: np.ndarray, marks: np.ndarray, sizes: np.ndarray, needed: int, least: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in one run of equal numbers in ``run`` that are candidates; none of equal numbers in ``skip``. Rows are sorted by run and size."""
-    left, right = [], []
+def places(run: np.ndarray, sizes: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in one run of equal numbers in ``run`` whose sizes allow the similarity, next neighbours first. Rows are sorted by run and size."""
     i, d = np.arange(len(run)), 0
     while True:
         d += 1
         i = i[i + d < len(run)]
         i = i[(run[i] == run[i + d]) & (100 * sizes[i] >= least * sizes[i + d])]
         if not len(i):
-            break
-        asked = i if skip is None else i[skip[i] != skip[i + d]]
-        some = asked[near(marks, sizes, asked, asked + d, needed, least)]
-        left.append(some)
-        right.append(some + d)
+            return
+        yield i, i + d
+
+
+def candidate_pairs(run: np.ndarray, marks: np.ndarray, sizes: np.ndarray, needed: int, least: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in one run of equal numbers in ``run`` that are candidates; none of equal numbers in ``skip``. Rows are sorted by run and size."""
+    left, right = [], []
+    for i, j in places(run, sizes, least):
+        asked = np.ones(len(i), bool) if skip is None else skip[i] != skip[j]
+        some = near(marks, sizes, i[asked], j[asked], needed, least)
+        left.append(i[asked][some])
+        right.append(j[asked][some])
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def candidate_forest(run: np.ndarray, marks: np.ndarray, sizes: np.ndarray, needed: int, least: int, roots: np.ndarray) -> np.ndarray:
+    """The smallest place that each is joined to by candidate pairs of different ``roots`` in its run; pairs that are joined by then are not looked at."""
+    label = np.arange(len(run))
+    for i, j in places(run, sizes, least):
+        asked = (label[i] != label[j]) & (roots[i] != roots[j])
+        i, j = i[asked], j[asked]
+        some = near(marks, sizes, i, j, needed, least)
+        if some.any():
+            label = components_of(len(run), label[i[some]], label[j[some]])[label]
+    return label
+
+
 def by_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole runs of rows with equal ``keys``, several at a time, with their numbers; input is sorted by ``keys``."""
     held: pa.Table | None = None
@@ -226,7 +245,7 @@ def columns_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def in_cells(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "size")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "size", "node")
 
 
 LIST, CELL = ("token", "band"), ("token", "band", "i", "j")
@@ -247,24 +266,54 @@ def in_bands(live: DataFrame, least: int, block: int) -> DataFrame:
     return both.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block).cast("long")))
 
 
-def candidate_trees(live: DataFrame, needed: int, least: int) -> DataFrame:
-    """Distinct links (a, b) that join what the candidate pairs of different ``root`` inside each block of each list join."""
+def candidate_trees(rows: DataFrame, keys: tuple[str, ...], needed: int, least: int) -> DataFrame:
+    """Distinct links (a, b) that join what the candidate pairs of different ``root`` join inside each of the cells that ``keys`` tell apart."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, run in by_runs(batches, [*LIST, "block"]):
+        for table, run in by_runs(batches, list(keys)):
             nodes, sizes, marks = columns_of(table)
             roots = table.column("root").to_numpy()
-            i, j = candidate_pairs(run, marks, sizes, needed, least, roots)
-            label = components_of(len(nodes), i, j)
+            label = candidate_forest(run, marks, sizes, needed, least, roots)
             moved = np.flatnonzero(roots[label] != roots)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["a", "b"])
 
-    return in_cells(live.select(*LIST, "block", "node", "size", "marks", "root"), *LIST, "block").mapInArrow(join, "a long, b long").distinct()
+    return in_cells(rows.select(*keys, "node", "size", "marks", "root"), *keys).mapInArrow(join, "a long, b long").distinct()
+
+
+def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of each node, itself if ``roots`` (node, root) have none."""
+    held = roots.select(F.col("node").alias("of"), F.col("root").alias("its"))
+    return rows.join(held, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("its", "node")).drop("of", "its")
+
+
+def numbers_to(n: str) -> Column:
+    """0 to ``n`` - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def candidate_links(live: DataFrame, needed: int, least: int, block: int) -> DataFrame:
+    """Links (a, b), stored, that join what all candidate pairs in the lists of ``live`` join."""
+    trees = checkpointed(candidate_trees(live.withColumn("root", F.col("node")), (*LIST, "block"), needed, least))
+    long_ = live.where(F.col("n") > block)
+    if long_.isEmpty():
+        return trees
+    # bands of several blocks and trees: a pair that is apart has a document outside the largest tree
+    long_ = checkpointed(with_root(long_, checkpointed(connected_components(trees))))
+    held = long_.groupBy(*LIST, "root").agg(F.count("*").alias("own"), F.max("n").alias("of_n")).groupBy(*LIST).agg(F.max_by("root", "own").alias("main"), (F.max("of_n") - F.max("own")).alias("outside"))
+    mixed = long_.join(checkpointed(held.where("outside > 0")), list(LIST)).withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    names = [*LIST, "i", "j", "node", "size", "marks", "root"]
+    # few outside: those visit all blocks, and nobody else moves
+    few = mixed.where(F.col("outside") <= block).withColumn("j", F.lit(-1).cast("long"))
+    guests = few.where("root <> main").withColumn("i", numbers_to("blocks")).where("block <> i")
+    # many: each two blocks
+    across = mixed.where(F.col("outside") > block).withColumn("other", numbers_to("blocks")).where("block <> other").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    cells = few.withColumn("i", F.col("block")).select(names).unionByName(guests.select(names)).unionByName(across.select(names))
+    return checkpointed(trees.unionByName(candidate_trees(cells, CELL, needed, least)))
 
 
 def unjoined_in_cells(cells: DataFrame, shared: Broadcast, needed: int, least: int) -> DataFrame:
-    """Rows (CELL, node, size, marks, root) that are in a candidate pair of different roots in their cell, if the cell is of the first list that the pair shares."""
-    names = [*CELL, "node", "size", "marks", "root"]
+    """Rows (CELL, node, size, signature, root) that are in a candidate pair of different roots in their cell, if the cell is of the first list that the pair shares."""
+    names = [*CELL, "node", "size", "signature", "root"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, run in by_runs(batches, list(CELL)):
@@ -283,7 +332,7 @@ def unjoined_in_cells(cells: DataFrame, shared: Broadcast, needed: int, least: i
             own = first == coordinate[left]
             yield from chosen.select(names).take(pa.array(np.union1d(left[own], right[own]))).combine_chunks().to_batches()
 
-    return in_cells(cells.select(*names, "signature"), *CELL).mapInArrow(pick, "token long, band long, i long, j long, node long, size long, marks binary, root long")
+    return in_cells(cells.select(*names, "marks"), *CELL).mapInArrow(pick, "token long, band long, i long, j long, node long, size long, signature binary, root long")
 
 
 # ---------------------------------------------------------------- confirmation on whole sets
@@ -306,64 +355,60 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return checkpointed(found.select("text").mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"]))
 
 
-def similar(own: np.ndarray, others: list[np.ndarray], least: int) -> np.ndarray:
-    """Which of ``others`` have at least ``least`` per cent of the union in common with ``own``; all sorted and distinct."""
-    sizes = np.array([len(x) for x in others])
-    values = np.concatenate(others)
-    at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-    common = np.add.reduceat((own[at] == values).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    return 100 * common >= least * (len(own) + sizes - common)
+def cell_links(table: pa.Table, needed: int, least: int) -> pa.Table:
+    """Links (a, b) that join what the similar pairs of one cell join, but for pairs of one ``root``.
 
-
-def linked(table: pa.Table, a: list[int], b: list[int]) -> pa.Table:
+    Pairs are candidates whose sets have at least ``least`` per cent of their union in common. All pairs count if all rows are
+    of ``side`` 0; else those of a row of side 0 with one of side 2, or with one of side 1 and a greater node.
+    """
+    names, sizes, side, group = (table.column(c).to_numpy() for c in ("node", "size", "side", "root"))
+    group = group.copy()
+    signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(-1, COORDINATES)
+    at, a, b = np.arange(len(names)), [], []
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    codes = marked = None
+    for x in np.flatnonzero(side == 0):
+        others = at > x if not side.any() else (side == 2) | ((side == 1) & (names > names[x]))
+        others = np.flatnonzero(others & (group != group[x]) & (100 * np.minimum(sizes, sizes[x]) >= least * np.maximum(sizes, sizes[x])))
+        others = others[(signs[others] == signs[x]).sum(axis=1) >= needed]
+        if not len(others):
+            continue
+        if codes is None:
+            codes = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64), return_inverse=True)[1]
+            marked = np.zeros(codes.max() + 1, np.int32)
+        own = codes[starts[x] : starts[x + 1]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[codes], starts[:-1])[others]
+        marked[own] = 0
+        for y in others[100 * common >= least * (sizes[x] + sizes[others] - common)]:
+            if group[y] != group[x]:
+                a.append(int(names[x]))
+                b.append(int(names[y]))
+                group[group == group[y]] = group[x]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def confirmed_links(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """Those of ``pairs`` (a, b), stored, whose ``sets`` are similar enough; the pairs of one b are compared in blocks."""
-    sized = pairs.join(nodes.select(F.col("node").alias("a"), "size"), "a")
-    blocks = sized.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("size") / SHINGLES)).cast("long").alias("blocks"))
-    blocks = checkpointed(blocks)
-    dealt = pairs.join(blocks, "b").select("b", F.pmod(F.xxhash64("a"), "blocks").alias("block"), F.col("a").alias("node"))
-    rows = dealt.unionByName(blocks.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("b").alias("node")))
-
-    def link(table: pa.Table) -> pa.Table:
-        hub, nodes_ = table.column("b")[0].as_py(), table.column("node").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        others = [x for x in range(len(nodes_)) if nodes_[x] != hub]
-        if len(others) == len(nodes_) or not others:
-            return linked(table, [], [])
-        good = similar(sets[nodes_.index(hub)], [sets[x] for x in others], least)
-        found = [nodes_[x] for x, ok in zip(others, good) if ok]
-        return linked(table, found, [hub] * len(found))
-
-    return rows.join(sets, "node").groupBy("b", "block").applyInArrow(link, "a long, b long")
-
-
-def links_in_cells(cells: DataFrame, docs: DataFrame, nodes: DataFrame, needed: int, least: int) -> DataFrame:
-    """Links that join the roots of similar sets in each cell; of cells with the same nodes one is enough."""
-    marks = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
-    once = cells.groupBy(*CELL).agg(*marks).groupBy("n", "x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*")
-    kept = checkpointed(cells.join(once, list(CELL)))
-
-    def link(table: pa.Table) -> pa.Table:
-        names, sizes, marks = columns_of(table)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-        group = table.column("root").to_numpy().copy()
-        a, b = [], []
-        for x in range(len(names) - 1):
-            later = np.arange(x + 1, len(names))
-            later = later[group[later] != group[x]]
-            later = later[near(marks, sizes, np.full(len(later), x), later, needed, least)]
-            if len(later):
-                for y in later[similar(sets[x], [sets[y] for y in later], least)].tolist():
-                    if group[y] != group[x]:
-                        a.append(int(names[x]))
-                        b.append(int(names[y]))
-                        group[group == group[y]] = group[x]
-        return linked(table, a, b)
-
-    return kept.join(sets_of(docs, nodes, kept), "node").groupBy(*CELL).applyInArrow(link, "a long, b long")
+def links_in(cells: DataFrame, keys: tuple[str, ...], sets: DataFrame, needed: int, least: int) -> DataFrame:
+    """Links (a, b) of the cells that ``keys`` tell apart (node, size, signature, root, side)."""
+    rows = cells.select(*keys, "node", "size", "signature", "root", "side").join(sets, "node")
+    return rows.groupBy(*keys).applyInArrow(lambda table: cell_links(table, needed, least), "a long, b long")
+
+
+def blocks_of(count: Column, shingles: Column, texts: int) -> Column:
+    return F.greatest(F.ceil(count / texts), F.ceil(shingles / SHINGLES)).cast("long")
+
+
+def links_in_lists(rows: DataFrame, nodes: DataFrame, sets: DataFrame, shared: Broadcast, needed: int, least: int, texts: int) -> DataFrame:
+    """Links of the postings in ``rows`` (LIST, node, size, marks, n, root): blocks of ``texts`` inside, and with each other where a list holds several roots."""
+    mixed = rows.groupBy(*LIST).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(*LIST)
+    dealt = checkpointed(rows.join(mixed, list(LIST)).withColumn("blocks", F.ceil(F.col("n") / texts).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks")))
+    cells = dealt.withColumn("other", numbers_to("blocks")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    signed = cells.select(*CELL, "node", "size", "marks", "root").join(nodes.select("node", "signature"), "node")
+    found = checkpointed(unjoined_in_cells(signed, shared, needed, least).withColumn("side", F.lit(0)))
+    # of cells with the same nodes one is enough
+    same = (F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"))
+    once = found.groupBy(*CELL).agg(*same).groupBy("n", "x", "y").agg(F.min(F.struct(*CELL)).alias("cell")).select("cell.*")
+    return links_in(found.join(once, list(CELL)), CELL, sets, needed, least)
 
 
 def set_links(docs: DataFrame, nodes: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -371,52 +416,56 @@ def set_links(docs: DataFrame, nodes: DataFrame, least: int = LEAST, block: int
 
     ``nodes`` (node, size, signature, first.doc_id, first.text_hash) should be stored.
     """
-    needed = matches_needed(least)
+    needed, texts = matches_needed(least), min(TEXTS, block)
     shared = nodes.sparkSession.sparkContext.broadcast(token_counts(nodes))  # COUNTERS numbers
     posted = postings(nodes, shared, needed)
     lists = checkpointed(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select(F.col("token").alias("of"), "n"))
-
-    def blocks() -> Column:
-        return F.ceil(F.col("n") / block).cast("long")
-
     live = in_bands(checkpointed(posted.join(lists, F.col("token") == F.col("of")).drop("of")), least, block)
-    trees = checkpointed(candidate_trees(live.withColumn("root", F.col("node")), needed, least))
-    sets = sets_of(docs, nodes, trees.select(F.explode(F.array("a", "b")).alias("node")))
-    links = checkpointed(confirmed_links(trees, sets, nodes, least))
+    trunks = connected_components(candidate_links(live, needed, least, block)).select("node", F.col("root").alias("trunk"))
+    placed = checkpointed(trunks.join(nodes.select("node", "size", "signature"), "node").withColumn("root", F.col("node")))
+    sets = sets_of(docs, nodes, placed)
+
+    # cells of whole trunks, and of blocks of large ones with the trunk's hubs
+    large = placed.groupBy(F.col("trunk").alias("of")).agg(F.count("*").alias("n"), blocks_of(F.count("*"), F.sum("size"), texts).alias("blocks")).where("blocks > 1")
+    large = checkpointed(large)  # a row a block at most, as the others are left out
+    dealt = placed.join(F.broadcast(large), F.col("trunk") == F.col("of"), "left").drop("of").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))))
+    hubs = dealt.where("blocks > 1").where(F.pmod(F.xxhash64("node", F.lit(1)), "n") < HUBS).withColumn("i", numbers_to("blocks")).where("i <> own")
+    names = ["trunk", "i", "node", "size", "signature", "root"]
+    cells = dealt.withColumn("i", F.col("own")).select(names).unionByName(hubs.select(names)).withColumn("side", F.lit(0))
+    links = checkpointed(links_in(cells, ("trunk", "i"), sets, needed, least))
+    if large.isEmpty():
+        return links
+
+    # of large trunks, documents outside the largest component meet all
     roots = checkpointed(connected_components(links))
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        held = roots.select(F.col("node").alias("of"), F.col("root").alias("its"))
-        return rows.join(held, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("its", "node")).drop("of", "its")
-
-    # candidates that trees join but links do not; a pair alone has been compared already
-    trunk = checkpointed(rooted(connected_components(trees).select("node", F.col("root").alias("trunk"))))
-    apart = trunk.groupBy("trunk").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("nodes")).where("low < high AND nodes > 2")
-    open_live = checkpointed(live.join(trunk.join(apart.select("trunk"), "trunk").select(F.col("node").alias("open")), F.col("node") == F.col("open")).drop("open"))
-    for round_ in range(ROUNDS):
-        dealt = rooted(open_live).withColumn("block", F.pmod(F.xxhash64("node", F.lit(round_)), blocks()))
-        more = checkpointed(candidate_trees(dealt, needed, least))
-        if more.isEmpty():
-            break
-        links = checkpointed(links.unionByName(confirmed_links(more, sets, nodes, least)))
-        roots = checkpointed(connected_components(links))
-    inside = rooted(open_live).select(*LIST, F.col("block").alias("i"), F.col("block").alias("j"), "node", "size", "marks", "root")
-    # long lists that hold several components: a pair that is apart has a document outside the largest one
-    long_ = checkpointed(rooted(live.where(F.col("n") > block)))
-    held = long_.groupBy(*LIST, "root").agg(F.count("*").alias("own"), F.max("n").alias("of_n")).groupBy(*LIST).agg(F.max_by("root", "own").alias("main"), (F.max("of_n") - F.max("own")).alias("outside"))
-    mixed = long_.join(checkpointed(held.where("outside > 0")), list(LIST)).withColumn("blocks", blocks())
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    # few outside: those visit all blocks, and nobody else moves
-    few = mixed.where(F.col("outside") <= block)
-    guests = few.where("root <> main").withColumn("other", F.explode(every)).where("block <> other")
-    visited = few.select(*LIST, "block", "node", "size", "marks", "root").unionByName(guests.select(*LIST, F.col("other").alias("block"), "node", "size", "marks", "root"))
-    visited = visited.select(*LIST, F.col("block").alias("i"), F.lit(-1).cast("long").alias("j"), "node", "size", "marks", "root")
-    # many: each two blocks
-    across = mixed.where(F.col("outside") > block).withColumn("other", F.explode(every)).where("block <> other")
-    across = across.select(*LIST, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "size", "marks", "root")
-    signed = inside.unionByName(visited).unionByName(across).join(nodes.select("node", "signature"), "node")
-    cells = checkpointed(unjoined_in_cells(signed, shared, needed, least))
-    return links.unionByName(links_in_cells(cells, docs, nodes, needed, least))
+    open_ = checkpointed(with_root(dealt.where("blocks > 1").drop("root"), roots))
+    parts = open_.groupBy("trunk", "n", "blocks", "root").agg(F.count("*").alias("own_n"), F.sum("size").alias("own_size"))
+    main = F.max(F.struct("own_n", "root", "own_size"))
+    held = parts.groupBy("trunk", "n", "blocks").agg(main.alias("main"), (F.col("n") - main["own_n"]).alias("out_n"), (F.sum("own_size") - main["own_size"]).alias("out_size")).where("out_n > 0")
+    held = held.select(F.col("trunk").alias("of"), F.col("main.root").alias("main"), blocks_of(F.col("out_n"), F.col("out_size"), texts).alias("out_blocks"), (F.col("out_n") * F.col("blocks") + F.col("n") * blocks_of(F.col("out_n"), F.col("out_size"), texts)).alias("cost"), "n")
+    held = checkpointed(held)
+
+    # a document has COORDINATES - needed + 1 postings: only beyond that lists may hold fewer rows than the trunk's blocks
+    costly = held.where(F.col("cost") > (COORDINATES - needed + 1) * F.col("n"))
+    sparse = None if costly.isEmpty() else checkpointed(sparse_trunks(live, open_, costly, texts))
+    in_blocks = held if sparse is None else held.join(sparse, F.col("of") == F.col("by_lists"), "left_anti")
+    met = open_.join(F.broadcast(in_blocks.drop("n")), F.col("trunk") == F.col("of"))
+    guests = met.where("root <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), "out_blocks")).withColumn("j", numbers_to("blocks")).withColumn("side", F.lit(0))
+    hosts = met.withColumn("i", numbers_to("out_blocks")).withColumn("j", F.col("own")).withColumn("side", F.when(F.col("root") == F.col("main"), 2).otherwise(1))
+    names = ["trunk", "i", "j", "node", "size", "signature", "root", "side"]
+    links = links.unionByName(links_in(guests.select(names).unionByName(hosts.select(names)), ("trunk", "i", "j"), sets, needed, least))
+    if sparse is None:
+        return links
+    apart = open_.join(F.broadcast(sparse), F.col("trunk") == F.col("by_lists")).select(F.col("node").alias("open"), "root")
+    rows = live.drop("block").join(apart, F.col("node") == F.col("open")).drop("open")
+    return links.unionByName(links_in_lists(rows, nodes, sets, shared, needed, least, texts))
+
+
+def sparse_trunks(live: DataFrame, open_: DataFrame, held: DataFrame, texts: int) -> DataFrame:
+    """Those trunks of ``held`` (of, cost) whose lists, each two blocks of ``texts`` of a list, take fewer rows than ``cost``, as by_lists."""
+    members = open_.join(F.broadcast(held.select("of", "cost")), F.col("trunk") == F.col("of")).select(F.col("node").alias("open"), "of", "cost")
+    rows = live.join(members, F.col("node") == F.col("open"))
+    return rows.groupBy("of").agg(F.sum(F.ceil(F.col("n") / texts)).alias("rows"), F.max("cost").alias("cost")).where("rows < cost").select(F.col("of").alias("by_lists"))
 
 
 def component_report(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:

@@ -158,6 +158,28 @@ def test_signature_join(spark):
     assert report(component_report(made(spark, [(1, None, "en"), (2, "", "en")]))) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_signature_join_moves_a_dense_group_once(spark, monkeypatch):
+    """A group of near copies, many of its pairs below the threshold, in blocks of 8: joins with sets and signatures make fewer rows than there are postings."""
+    from alarmloom.llm.minhash import COORDINATES, component_report, matches_needed
+
+    rng = random.Random(12)
+    base = rng.choices(["w%d" % i for i in range(400)], k=80)
+    pairs = [(i, " ".join(changed(rng, base, 0.06)), "en") for i in range(120)]
+    docs = made(spark, pairs)
+    kind, made_rows = type(docs), []
+    join = kind.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and on == "node":
+            made_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "join", counted)
+    assert report(component_report(docs, block=8)) == sorted(expected_components(pairs), key=repr)
+    assert sum(made_rows) < len(pairs) * (COORDINATES - matches_needed() + 1)
+
+
 def test_matches_needed_bounds_the_misses():
     from alarmloom.llm.minhash import COORDINATES, MISS, matches_needed
 
